@@ -35,7 +35,7 @@ def active_at_many(
     length = F.greatest(hi - lo, F.lit(0))
     level = F.when(length <= width_us, F.lit(0)).otherwise(
         F.ceil(F.log2(length / F.lit(float(width_us)))).cast("int"))
-    size = F.lit(width_us).cast("bigint") * F.shiftleft(F.lit(1).cast("bigint"), F.col("__level"))
+    size = F.lit(width_us).cast("bigint") * F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__level"))
     bucket = lambda t: F.floor(t / size).cast("bigint")
     left = intervals.where(F.col(start) <= F.col(end)).withColumn("__level", level).withColumn(
         "__bucket", F.explode(F.sequence(bucket(lo), bucket(hi))))

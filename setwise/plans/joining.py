@@ -42,7 +42,8 @@ def active_at_many(t: Tables):
     """Orders open at each month start."""
     first, last = F.trunc(F.min("o_orderdate"), "month"), F.max(F.col("o_orderdate").cast("date"))
     probes = t.orders.agg(first.alias("lo"), last.alias("hi")).select(
-        F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).cast("timestamp_ntz").alias("probe"))
+        F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("probe")
+    ).select(F.col("probe").cast("timestamp_ntz").alias("probe"))
     day = 86_400_000_000
     hits = jn.active_at_many(order_intervals(t), "start", "end", probes, "probe", day)
     return hits.groupBy("probe").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum")).select(
