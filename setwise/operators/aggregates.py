@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -67,7 +68,8 @@ def pareto(
     ranked = ordered_rows(
         df, [F.col(measure).desc(), F.col(item).asc()], running={"running": measure}
     )
-    total = df.agg(F.sum(measure)).scalar()
+    # Summed from the stored ranks, so that the input is read once.
+    total = ranked.agg(F.sum(measure)).scalar()
     before = F.col("running") - F.col(measure)
     return ranked.withColumn("total", total).where(before * 100 < F.col("total") * F.lit(coverage))
 
@@ -104,12 +106,8 @@ def bucket_profile(
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per table: its name and row count."""
-    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows")
-             for n, df in tables.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts = [df.selectExpr(f"{literal_text(n)} as table_name", "count(1) as rows") for n, df in tables.items()]
+    return functools.reduce(DataFrame.union, parts)
 
 
 def group_concat(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import functools
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DataType, StringType
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, StructField
 
-_NUMBERS = ("byte", "short", "integer", "long", "float", "double", "decimal")
+_INTEGERS = ("byte", "short", "integer", "long")
+_NUMBERS = (*_INTEGERS, "float", "double", "decimal")
 _TIMES = ("date", "timestamp", "timestamp_ntz")
 
 
@@ -16,13 +18,29 @@ def _kind(t: DataType) -> str:
     return "number" if name in _NUMBERS else "time" if name in _TIMES else "text" if name == "string" else "other"
 
 
-def _comparable(df: DataFrame, column: str) -> Column:
-    """A value whose equality is the column's: arrays and structs as JSON."""
-    return F.to_json(column) if _kind(df.schema[column].dataType) == "other" else F.col(column).cast("string")
+def _comparable(f: StructField) -> tuple[str, str]:
+    """A value whose equality is the column's, in one of three types that many columns share.
+
+    Texts over 64 characters become digests: what is shuffled does not grow
+    with the texts.
+    """
+    t, c = f.dataType.typeName(), f"`{f.name}`"
+    if t in _INTEGERS:
+        return "bigint", f"cast({c} as bigint)"
+    if t in ("float", "double"):
+        return "double", f"cast({c} as double)"
+    if t in ("timestamp", "timestamp_ntz"):
+        return "bigint", f"unix_micros(cast({c} as timestamp))"
+    text = f"to_json({c})" if _kind(f.dataType) == "other" else f"cast({c} as string)"
+    return "string", f"if(length({text}) > 64, concat('sha2:', sha2({text}, 256)), {text})"
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "\\'") + "'"
 
 
-def _stack(rows: list[Column]) -> Column:
-    return F.explode(F.array(*rows)).alias("r")
+def _union(parts: Iterable[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.union, parts)
 
 
 def column_profile(df: DataFrame, table: str, distinct: str = "exact") -> DataFrame:
@@ -34,71 +52,72 @@ def column_profile(df: DataFrame, table: str, distinct: str = "exact") -> DataFr
     """
     if distinct not in ("exact", "approx"):
         raise ValueError(f"distinct must be 'exact' or 'approx', not {distinct!r}")
-    null = F.lit(None)
-    aggs, rows = [F.count(F.lit(1)).alias("n")], []
+    aggs, rows = ["count(1) as n"], []
     for i, f in enumerate(df.schema.fields):
-        kind, c = _kind(f.dataType), F.col(f.name)
-        aggs.append(F.count(c).alias(f"c{i}"))
-        if kind in ("number", "time", "text"):
-            value = c.cast("double") if kind == "number" else c if kind == "text" else F.date_format(
-                c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-            aggs += [F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
+        kind, c = _kind(f.dataType), f"`{f.name}`"
+        aggs.append(f"count({c}) as c{i}")
+        if kind != "other":
+            aggs += [f"min({c}) as lo{i}", f"max({c}) as hi{i}"]
         if kind == "text":
-            aggs.append(F.max(F.length(c)).alias(f"len{i}"))
+            aggs.append(f"max(length({c})) as len{i}")
         if distinct == "approx":
-            aggs.append(F.approx_count_distinct(_comparable(df, f.name)).alias(f"d{i}"))
-        num, txt = kind == "number", kind in ("time", "text")
-        rows.append(F.struct(
-            F.lit(i + 1).alias("ordinal"), F.lit(f.name).alias("column_name"),
-            F.lit(f.dataType.simpleString()).alias("type"), F.lit(f.nullable).alias("nullable"),
-            F.col("n").alias("rows"), (F.col("n") - F.col(f"c{i}")).alias("nulls"),
-            (F.col(f"d{i}") if distinct == "approx" else null.cast("bigint")).alias("distinct"),
-            (F.col(f"lo{i}") if num else null.cast("double")).alias("min_number"),
-            (F.col(f"hi{i}") if num else null.cast("double")).alias("max_number"),
-            (F.col(f"lo{i}") if txt else null.cast("string")).alias("min_text"),
-            (F.col(f"hi{i}") if txt else null.cast("string")).alias("max_text"),
-            (F.col(f"len{i}").cast("bigint") if kind == "text" else null.cast("bigint")).alias("max_length"),
-        ))
-    profile = df.agg(*aggs).select(_stack(rows)).select("r.*")
-    if distinct == "exact":
-        counts = distinct_counts(df)
-        profile = profile.drop("distinct").join(counts, "column_name", "left").withColumn(
-            "distinct", F.coalesce("distinct", F.lit(0).cast("bigint")))
-    return profile.withColumn("table_name", F.lit(table))
+            aggs.append(f"approx_count_distinct({_comparable(f)[1]}) as d{i}")
+        number = [f"cast({x}{i} as double)" if kind == "number" else "cast(null as double)" for x in ("lo", "hi")]
+        text = [{"text": f"{x}{i}", "time": f"date_format({x}{i}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"}.get(
+            kind, "cast(null as string)") for x in ("lo", "hi")]
+        rows.append(", ".join([
+            str(i + 1), _quoted(f.name), _quoted(f.dataType.simpleString()), str(f.nullable).lower(), "n", f"n - c{i}",
+            f"d{i}" if distinct == "approx" else "cast(null as bigint)", *number, *text,
+            f"cast(len{i} as bigint)" if kind == "text" else "cast(null as bigint)"]))
+    profile = df.selectExpr(*aggs).selectExpr(
+        f"{_quoted(table)} as table_name",
+        f"stack({len(rows)}, {', '.join(rows)}) as (ordinal, column_name, type, nullable, rows, nulls, distinct, "
+        "min_number, max_number, min_text, max_text, max_length)")
+    if distinct == "approx":
+        return profile
+    counts = distinct_counts(df).withColumnRenamed("distinct", "__d")
+    return profile.join(counts, "column_name", "left").selectExpr(
+        *[c if c != "distinct" else "coalesce(__d, 0) as distinct" for c in profile.columns])
 
 
 def distinct_counts(df: DataFrame) -> DataFrame:
-    """Exact number of different non-NULL values per column."""
-    pairs = [F.struct(F.lit(c).alias("column_name"), _comparable(df, c).alias("v")) for c in df.columns]
-    return df.select(_stack(pairs)).select("r.*").where("v is not null").distinct().groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("distinct"))
+    """Exact number of different non-NULL values per column.
+
+    Columns of like type share one (column, value) pass, duplicates merged
+    before the shuffle.
+    """
+    classes: dict[str, list[str]] = {}
+    for f in df.schema.fields:
+        type_, value = _comparable(f)
+        classes.setdefault(type_, []).append(f"{_quoted(f.name)}, {value}")
+    return _union(
+        df.selectExpr(f"stack({len(pairs)}, {', '.join(pairs)}) as (column_name, v)").where("v is not null").distinct()
+        .groupBy("column_name").agg(F.count("v").alias("distinct"))
+        for pairs in classes.values())
 
 
 def large_columns(df: DataFrame, table: str, threshold: int = 8000) -> DataFrame:
     """Text columns holding a value of more than ``threshold`` bytes."""
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    texts = [f.name for f in df.schema.fields if _kind(f.dataType) == "text"]
     if not texts:
         return df.sparkSession.createDataFrame([], "table_name string, column_name string, max_bytes bigint")
-    one = df.agg(*[F.max(F.octet_length(c)).cast("bigint").alias(f"b{i}") for i, c in enumerate(texts)])
-    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"b{i}").alias("max_bytes")) for i, c in enumerate(texts)]
-    return one.select(F.lit(table).alias("table_name"), _stack(rows)).select("table_name", "r.*").where(
-        F.col("max_bytes") > threshold)
+    one = df.selectExpr(*[f"cast(max(octet_length(`{c}`)) as bigint) as b{i}" for i, c in enumerate(texts)])
+    rows = ", ".join(f"{_quoted(c)}, b{i}" for i, c in enumerate(texts))
+    return one.selectExpr(
+        f"{_quoted(table)} as table_name", f"stack({len(texts)}, {rows}) as (column_name, max_bytes)"
+    ).where(F.col("max_bytes") > threshold)
 
 
 def candidate_keys(df: DataFrame, table: str) -> DataFrame:
     """Per table how many of its columns are unique and never NULL."""
     n = df.agg(F.count(F.lit(1))).scalar()
     unique = distinct_counts(df).agg(F.count_if(F.col("distinct") == n).alias("key_columns"))
-    return unique.select(F.lit(table).alias("table_name"), "key_columns")
+    return unique.selectExpr(f"{_quoted(table)} as table_name", "key_columns")
 
 
 def keyless_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Tables in which no single column identifies a row."""
-    out = None
-    for name, df in tables.items():
-        part = candidate_keys(df, name)
-        out = part if out is None else out.unionByName(part)
-    return out.where("key_columns = 0").select("table_name")
+    return _union(candidate_keys(df, name) for name, df in tables.items()).where("key_columns = 0").select("table_name")
 
 
 def staleness(
@@ -141,30 +160,32 @@ def fk_edges(tables: Mapping[str, DataFrame], candidates: Sequence[tuple[str, st
 
     Child values are made distinct first, so a frequent key is looked up once.
     """
-    out = None
-    for child, child_col, parent, parent_col in candidates:
-        values = tables[child].select(F.col(child_col).alias("v")).where("v is not null").distinct()
-        missing = values.join(tables[parent].select(F.col(parent_col).alias("v")), "v", "left_anti")
-        part = missing.agg(F.count(F.lit(1)).alias("missing_values")).select(
-            F.lit(child).alias("child"), F.lit(child_col).alias("child_column"),
-            F.lit(parent).alias("parent"), F.lit(parent_col).alias("parent_column"), "missing_values")
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("is_edge", F.col("missing_values") == 0)
-
-
-def data_bytes(df: DataFrame) -> Column:
-    """Bytes of a row's values: fixed widths, texts by length."""
-    width = {"byte": 1, "short": 2, "integer": 4, "long": 8, "float": 4, "double": 8, "date": 4,
-             "timestamp": 8, "timestamp_ntz": 8, "boolean": 1}
-    total = F.lit(0).cast("bigint")
-    for f in df.schema.fields:
-        kind = f.dataType.typeName()
-        if kind == "array":
-            total = total + F.coalesce(F.size(f.name) * F.lit(width.get(f.dataType.elementType.typeName(), 8)), F.lit(0))
-        else:
-            size = F.octet_length(f.name) if kind in ("string", "binary") else F.when(F.col(f.name).isNotNull(), width.get(kind, 8))
-            total = total + F.coalesce(size, F.lit(0))
-    return total
+    def tested(child: str, child_col: str, parent: str, parent_col: str) -> DataFrame:
+        values = tables[child].selectExpr(f"`{child_col}` as v").where("v is not null").distinct()
+        missing = values.join(tables[parent].selectExpr(f"`{parent_col}` as v"), "v", "left_anti")
+        return missing.agg(F.count("v").alias("missing_values")).selectExpr(
+            f"{_quoted(child)} as child", f"{_quoted(child_col)} as child_column", f"{_quoted(parent)} as parent",
+            f"{_quoted(parent_col)} as parent_column", "missing_values", "missing_values = 0 as is_edge")
+
+    return _union(tested(*c) for c in candidates)
+
+
+# Bytes of a value by type.
+_WIDTHS = {"byte": 1, "short": 2, "integer": 4, "long": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8,
+           "timestamp_ntz": 8, "boolean": 1}
+
+
+def data_bytes(df: DataFrame) -> str:
+    """SQL expression for the bytes of a row's values: fixed widths, texts by length."""
+    def size(f: StructField) -> str:
+        c, kind = f"`{f.name}`", f.dataType.typeName()
+        if isinstance(f.dataType, ArrayType):
+            return f"coalesce(size({c}) * {_WIDTHS.get(f.dataType.elementType.typeName(), 8)}, 0)"
+        if kind in ("string", "binary"):
+            return f"coalesce(octet_length({c}), 0)"
+        return f"if({c} is null, 0, {_WIDTHS.get(kind, 8)})"
+
+    return "cast(" + " + ".join(size(f) for f in df.schema.fields) + " as bigint)"
 
 
 def space_report(sizes: DataFrame, table: str = "table_name", rows: str = "rows", size: str = "bytes") -> DataFrame:
@@ -179,9 +200,6 @@ def space_report(sizes: DataFrame, table: str = "table_name", rows: str = "rows"
 
 def table_space(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Size report from the data itself."""
-    out = None
-    for name, df in tables.items():
-        part = df.select(data_bytes(df).alias("b")).agg(F.count(F.lit(1)).alias("rows"), F.sum("b").alias("bytes")).select(
-            F.lit(name).alias("table_name"), "rows", "bytes")
-        out = part if out is None else out.unionByName(part)
-    return space_report(out)
+    return space_report(_union(
+        df.selectExpr(f"{_quoted(name)} as table_name", "count(1) as rows", f"sum({data_bytes(df)}) as bytes")
+        for name, df in tables.items()))
