@@ -180,10 +180,10 @@ def merge_partials(t: Tables) -> DataFrame:
     return out.select("user_id", "event_type", time_text("latest", "latest"), time_text("earliest", "earliest"), "n")
 
 
-@query("two_level_count", sql="""
+@query("count_distinct_sources", sql="""
 WITH o AS (SELECT o_custkey, o_orderkey, COUNT(*) AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
 SELECT o_custkey, SUM(part)::BIGINT AS total, COUNT(*) AS parts FROM o GROUP BY o_custkey HAVING SUM(part) > 40""")
-def two_level_count(t: Tables) -> DataFrame:
+def count_distinct_sources(t: Tables) -> DataFrame:
     # Lines are counted per order before they meet the orders.
     lines = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"))
     rows = t.orders.select("o_orderkey", "o_custkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))

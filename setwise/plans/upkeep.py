@@ -165,25 +165,25 @@ def customer_changes(t: Tables) -> DataFrame:
         F.col("s_acctbal").alias("c_acctbal"), F.lit("CHANGED").alias("c_mktsegment"))
 
 
-@query("keyed_upsert", sql="""
+@query("keyed_table", sql="""
 WITH s AS (SELECT CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE s_suppkey * 20 + 1 END AS k, s_name, s_nationkey, s_acctbal FROM supplier),
 u AS (SELECT * FROM s WHERE k <> 0 AND k IN (SELECT c_custkey FROM customer))
 SELECT * FROM customer WHERE c_custkey NOT IN (SELECT k FROM u)
 UNION ALL SELECT k, s_name, s_nationkey, s_acctbal, 'CHANGED' FROM u
 UNION ALL SELECT (SELECT MAX(c_custkey) FROM customer) + ROW_NUMBER() OVER (ORDER BY s_name, s_nationkey, s_acctbal), s_name, s_nationkey, s_acctbal, 'CHANGED' FROM s WHERE k = 0""")
-def keyed_upsert(t: Tables):
+def keyed_table(t: Tables):
     """Insert where the key is empty, update where it exists."""
     return inc.upsert(t.customer, customer_changes(t), "c_custkey")
 
 
-@query("keyed_delete", sql="""
+@query("keyed_table_delete", sql="""
 SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE s_suppkey * 20 + 1 END FROM supplier)""")
-def keyed_delete(t: Tables):
+def keyed_table_delete(t: Tables):
     return inc.delete_keys(t.customer, customer_changes(t), "c_custkey").select("c_custkey", "c_name")
 
 
-@query("keyed_get", sql="SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey = (SELECT MAX(c_custkey) FROM customer)")
-def keyed_get(t: Tables):
+@query("keyed_table_get", sql="SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey = (SELECT MAX(c_custkey) FROM customer)")
+def keyed_table_get(t: Tables):
     newest = t.customer.agg(F.max("c_custkey")).first()[0]
     return inc.get_by_key(t.customer, "c_custkey", newest).select("c_custkey", "c_name", "c_mktsegment")
 
