@@ -24,8 +24,7 @@ def expected(data):
     return out
 
 
-@pytest.mark.parametrize("slices", [1, 3, 8])
-@pytest.mark.parametrize("hot", [0.0, 0.4, 1.0])
+@pytest.mark.parametrize("slices, hot", [(1, 0.4), (3, 0.0), (8, 0.4), (8, 1.0)])
 def test_matches_plain_loop(make, slices, hot):
     rnd = random.Random(slices * 10 + int(hot * 10))
     data = [(0 if rnd.random() < hot else rnd.choice([None, 1, 2, 3]), i, rnd.choice([None, 1, 5, 7])) for i in range(400)]
@@ -61,7 +60,7 @@ def test_pareto_example(make, rows):
     assert rows(out.select("row_no", "item", "running")) == [(1, "a", 60), (2, "b", 90), (3, "c", 98)]
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(1, 50), min_size=1, max_size=40), st.sampled_from([50, 80, 95]))
 def test_pareto_property(make, values, coverage):
     items = [(f"i{n:03d}", v) for n, v in enumerate(values)]
