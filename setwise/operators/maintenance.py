@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from setwise.functions.times import boundaries
 from setwise.operators.ordered import ordered_rows
 
 QUEUE_KEYS = ["database_id", "object_id", "index_id", "partition_number"]
@@ -91,3 +92,13 @@ def budgeted_queue(queue: DataFrame, order: list, cost: str, budget: float) -> D
     """
     rows = ordered_rows(queue, order, number="queue_no", running={"end_at": cost})
     return rows.withColumn("start_at", F.col("end_at") - F.col(cost)).where(F.col("start_at") < budget)
+
+
+def work_log(queue: DataFrame, outcomes: DataFrame, keys: list[str], started: str, finished: str, error: str) -> DataFrame:
+    """What became of the queued items: start, end, seconds taken and error.
+
+    A failed item has -1 seconds; one not started yet has NULL for all.
+    """
+    seconds = boundaries("second", started, finished)
+    taken = F.when(F.col(error).isNotNull(), F.lit(-1)).otherwise(seconds)
+    return queue.join(outcomes.select(*keys, started, finished, error), keys, "left").withColumn("duration_seconds", taken)

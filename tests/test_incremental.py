@@ -121,3 +121,11 @@ def test_series_delta(make, rows):
     df = make([(1, 1, 5, 0), (1, 2, 9, 0), (1, 3, 4, 0), (1, 4, 6, 1), (2, 1, 7, 0)], "id int, t int, v int, started int")
     out = inc.snapshot_series_delta(df, ["id"], "t", ["v"], "started")
     assert rows(out.select("id", "capture_no", "v_delta")) == [(1, 1, None), (1, 2, 4), (1, 3, None), (1, 4, None), (2, 1, None)]
+
+
+def test_work_log(make, rows):
+    queue = make([(1,), (2,), (3,)], "id int")
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    done = make([(1, at(1), at(9), None), (2, at(9), at(12), "lock timeout")], "id int, began timestamp_ntz, ended timestamp_ntz, error string")
+    out = mt.work_log(queue, done, ["id"], "began", "ended", "error")
+    assert rows(out.select("id", "duration_seconds", "error")) == [(1, 8, None), (2, -1, "lock timeout"), (3, None, None)]
