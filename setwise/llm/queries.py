@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from setwise.llm import bpe, decontaminate, licenses, pii, quality, sharding
+from setwise.llm import bpe, decontaminate, language, licenses, pii, quality, sharding, toxicity
 from setwise.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,21 @@ def op10(spark, read):
     """Token ids of every text, and the bytes they decode to."""
     coded = bpe.decode(bpe.encode(read("documents"), RANKS), RANKS)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op4_language")
+def op4(spark, read):
+    """Language of every document, learned from the documents outside one fold of four."""
+    docs = read("documents")
+    held_out = language.fold("doc_id", 4) == 2
+    model = language.fit(docs.where(~held_out))
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_toxicity")
+def op5(spark, read):
+    """Toxicity of every document, learned from the labels outside one fold of three."""
+    docs = read("documents")
+    held_out = language.fold("doc_id", 3) == 1
+    lexicon = toxicity.fit(docs, read("labels").where(~held_out))
+    return toxicity.rate(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted")
