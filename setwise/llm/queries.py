@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from setwise.llm import bpe, decontaminate, language, licenses, pii, quality, sharding, toxicity
+from setwise.llm import bpe, decontaminate, language, licenses, minhash, pii, quality, sharding, substrings, toxicity
 from setwise.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,45 @@ def op5(spark, read):
     held_out = language.fold("doc_id", 3) == 1
     lexicon = toxicity.fit(docs, read("labels").where(~held_out))
     return toxicity.rate(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op1_near_duplicates", rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, {SPACE_WORDS.format(UPPER)} AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 2, 1))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common.n >= 85 * (x.n + y.n - common.n)),
+both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS doc_id, a AS far FROM both UNION SELECT reach.doc_id, both.b FROM reach JOIN both ON both.a = reach.far),
+least AS (SELECT doc_id, min(far) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+  doc_id = coalesce(component_id, doc_id) AS kept
+FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+""")
+def op1(spark, read):
+    """Near-duplicates on three-word shingles at 85 per cent."""
+    return minhash.near_duplicates(read("documents"), k=3, percent=85).withColumnRenamed("component", "component_id")
+
+
+@query("op6_repeated_passages", rf"""
+WITH words AS (SELECT doc_id, {SPACE_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 49, 0))) AS i FROM words)),
+judged AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) < doc_id AS again FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM judged WHERE again),
+positions AS (SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS word FROM words),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM positions ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+""")
+def op6(spark, read):
+    """Documents without passages that an earlier document has."""
+    return substrings.digest(substrings.remove_repeats(read("documents")))
