@@ -10,7 +10,8 @@ confirmed by counting the shingles they share.
 Pairs are not formed within a bucket. First every class is compared with one
 class of its bucket, the one whose buckets are the largest (a template lies in
 the buckets of all its copies). Then only classes of a bucket that are still
-in another component than most of the bucket are compared with its others.
+in another component than most of the bucket are compared with its others; that
+join keeps nothing but pairs that share enough of a shortened form of the sets.
 """
 
 from __future__ import annotations
@@ -19,18 +20,21 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from setwise.llm.components import components
 from setwise.llm.store import scratch
-from setwise.llm.texts import add_from_text, space_words
+from setwise.llm.texts import add_from_text, parts_of, space_words
 
 # At a similarity of 0.8 a pair misses all bands with a chance of 1e-7.
 BANDS, ROWS, BITS = 40, 5, 2
 WORDS = -(-BANDS * ROWS * BITS // 64)
 # An estimate this far below the threshold (six standard deviations) is no link.
 MARGIN = 0.18
+CELL = 250_000
 
 _random = np.random.default_rng(20_231)
 MULTIPLY = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,6 +149,42 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return whole.select("a", "b", "one", "two").mapInPandas(run, pairs.select("a", "b").schema)
 
 
+def _small_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(key, small): the shingles of some documents as 32-bit numbers."""
+    schema = StructType([texts.schema["key"], *StructType.fromDDL("small array<int>").fields])
+
+    def run(batches):
+        for batch in batches:
+            for part in parts_of(batch, 1):
+                held = [np.unique((shingles(t, k) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0] + [len(x) for x in held]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))], names=schema.names)
+
+    return texts.select("key", "body").mapInArrow(run, schema)
+
+
+def _across(open_ones: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a > b) of different components that met in a bucket and may be linked, one of them not in the largest.
+
+    The join keeps a pair only if enough of their small sets is shared. Equal numbers of different shingles can only
+    make that too many, those within a set are made up for: no link is lost, and few pairs without one are left.
+    """
+    # Around a crowded middle the left side is dealt to cells of about CELL comparisons, the right side is in all of them.
+    cells = F.ceil(F.col("n_left") * F.col("n_all") / CELL)
+    left = open_ones.where("component <> most").select(
+        "middle", F.pmod(F.xxhash64("x.key"), cells).alias("cell"), F.col("component").alias("c1"), F.col("x").alias("a"))
+    right = open_ones.select(
+        F.col("middle").alias("m2"), F.explode(F.sequence(F.lit(0).cast("bigint"), cells - 1)).alias("cell2"),
+        F.col("component").alias("c2"), F.col("x").alias("b"))
+    lost = F.col("a.n") - F.size("a.small") + F.col("b.n") - F.size("b.small")
+    shared = F.size(F.array_intersect("a.small", "b.small")) + lost
+    enough = shared * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
+    here = (F.col("middle") == F.col("m2")) & (F.col("cell") == F.col("cell2"))
+    met = left.join(right, here & (F.col("c1") != F.col("c2")) & _likely("a", "b", percent) & enough)
+    return met.select(F.greatest("a.key", "b.key").alias("a"), F.least("a.key", "b.key").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80,
 ) -> DataFrame:
@@ -164,8 +204,8 @@ def near_duplicates(
     reps = rows.join(classes.select(F.col("rep").alias("key"), "set_id"), ["key", "set_id"], "left_semi")
 
     in_band = reps.select("key", F.explode("bands").alias("bucket"))
-    several = in_band.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = hold.table(in_band.join(several, "bucket"), "members")
+    shared = in_band.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = hold.table(in_band.join(shared, "bucket"), "members")
     standing = members.groupBy("key").agg(F.sum("size").alias("weight"))
     one = reps.select("key", "n", "bits").join(standing, "key").dropDuplicates(["key"])
     members = hold.table(members.select("bucket", "key").distinct().join(one, "key"), "members-described")
@@ -181,15 +221,17 @@ def near_duplicates(
 
     placed = members.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key"))
-    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n_part"))
-    mixed_buckets = parts.groupBy("bucket").agg(
-        F.count("*").alias("n_parts"), F.max_by("component", F.struct("n_part", "component")).alias("most")).where("n_parts > 1")
-    open_ones = hold.table(placed.join(mixed_buckets, "bucket").select(
-        "bucket", "component", "most", F.struct("key", "n", "bits").alias("x")), "open")
-    left = open_ones.where("component <> most").select("bucket", F.col("component").alias("c1"), F.col("x").alias("a"))
-    right = open_ones.select("bucket", F.col("component").alias("c2"), F.col("x").alias("b"))
-    more = left.join(right, (left.bucket == right.bucket) & (F.col("c1") != F.col("c2")) & _likely("a", "b", percent)).select(
-        F.greatest("a.key", "b.key").alias("a"), F.least("a.key", "b.key").alias("b")).distinct()
+    around = placed.join(middle.select("bucket", F.col("a.key").alias("middle")), "bucket").select(
+        "middle", "key", "component", "n", "bits").dropDuplicates(["middle", "key"])
+    around = hold.table(around, "around")
+    parts = around.groupBy("middle", "component").agg(F.count("*").alias("n_part"))
+    several = parts.groupBy("middle").agg(
+        F.count("*").alias("n_parts"), F.sum("n_part").alias("n_all"), (F.sum("n_part") - F.max("n_part")).alias("n_left"),
+        F.max_by("component", F.struct("n_part", "component")).alias("most")).where("n_parts > 1")
+    open_ones = around.join(several, "middle")
+    small = hold.table(_small_sets(texts.join(open_ones.select("key").distinct(), "key", "left_semi"), k), "small-sets")
+    more = _across(open_ones.join(small, "key").select(
+        "middle", "component", "most", "n_all", "n_left", F.struct("key", "n", "bits", "small").alias("x")), percent)
     known = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     late = hold.table(_confirmed(more.join(known, ["a", "b"], "left_anti"), texts, k, percent), "late-links")
     groups = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late.select("a", "b")), "a", "b", hold)

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from setwise.llm import bpe, decontaminate, language, licenses, minhash, pii, quality, sharding, substrings, toxicity
+from setwise.llm.store import reachable
 from setwise.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +23,7 @@ PLAIN_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 def query(name: str, sql: str | None = None):
     def register(fn: Callable[[SparkSession, Callable[[str], DataFrame]], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(configure(spark), lambda table: spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet"))
+            return fn(configure(reachable(spark)), lambda table: spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet"))
 
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
@@ -187,8 +188,8 @@ common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN
 links AS (
   SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
   WHERE 100 * common.n >= 85 * (x.n + y.n - common.n)),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach AS (SELECT DISTINCT a AS doc_id, a AS far FROM both UNION SELECT reach.doc_id, both.b FROM reach JOIN both ON both.a = reach.far),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS doc_id, a AS far FROM sides UNION SELECT reach.doc_id, sides.b FROM reach JOIN sides ON sides.a = reach.far),
 least AS (SELECT doc_id, min(far) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id,
   doc_id = coalesce(component_id, doc_id) AS kept

@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where it stands, if nothing else tells them where."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    return spark
+
+
 class Scratch:
     """A folder of its own under ``spark.checkpoint.dir`` (or the warehouse where that is unset)."""
 
