@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 # name(parameters) -> (type, body)
 SCALARS = {
     "zero_pad(n bigint, width int)": (
-        "string", "if(length(string(n)) <= least(width, 20), lpad(string(n), least(width, 20), '0'), null)"),
+        "string", "if(length(string(n)) <= width, lpad(string(n), width, '0'), null)"),
     "week_us(d date)": ("int", "int(floor((dayofyear(d) + dayofweek(trunc(d, 'year')) - 2) / 7)) + 1"),
     "packed_seconds(hhmmss int)": ("int", "int(hhmmss div 10000 * 3600 + hhmmss div 100 % 100 * 60 + hhmmss % 100)"),
     "packed_datetime(d int, t int)": (
@@ -41,4 +41,4 @@ def register(spark: SparkSession, log_view: str | None = None) -> None:
         spark.sql(f"""create or replace temporary function bucket_profile(since timestamp_ntz) returns table (
             database_name string, touches bigint, avg_duration double, total_duration bigint, avg_fragmentation double, {names})
             return select database_name, count(*), avg(duration_seconds), sum(duration_seconds), avg(fragmentation), {buckets}
-            from {log_view} where started > since group by database_name order by database_name limit 1000""")
+            from {log_view} where started > since group by database_name""")

@@ -8,8 +8,6 @@ from pyspark.sql import Column, functions as F
 
 from setwise.functions.times import col, int_div
 
-PAD_LIMIT = 20
-
 
 def length_trimmed(x: Column | str) -> Column:
     """Length without trailing blanks."""
@@ -17,8 +15,7 @@ def length_trimmed(x: Column | str) -> Column:
 
 
 def zero_pad(n: Column | str, width: int) -> Column:
-    """Fixed-width digits; NULL when the number does not fit. Width stops at 20."""
-    width = min(width, PAD_LIMIT)
+    """Fixed-width digits; NULL when the number does not fit."""
     text = col(n).cast("string")
     return F.when(F.length(text) <= width, F.lpad(text, width, "0"))
 
@@ -53,6 +50,12 @@ def url_path(url: Column | str) -> Column:
     return F.regexp_extract(col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def swap_bytes(hex_text: Column | str, digits: int = 16) -> Column:
+    """``digits`` hex digits with all their bytes in reverse order; NULL for a text of another length."""
+    x = col(hex_text)
+    return F.when(F.length(x) == digits, F.concat(*[F.substring(x, i, 2) for i in range(digits - 1, 0, -2)]))
+
+
 def swap_first_bytes(hex_text: Column | str) -> Column:
     """The first eight hex digits with their four bytes in reverse order."""
     x = col(hex_text)

@@ -57,8 +57,9 @@ def activity_report(
     # Chains are counted before filtering: a hidden session still blocks others.
     blocked = None
     if o.find_block_leaders:
-        one = out.groupBy("session_id").agg(F.max("blocking_session_id").alias("blocking_session_id"))
-        blocked = descendant_count(one, "session_id", "blocking_session_id", "blocked_session_count")
+        waiting = out.select("session_id", "blocking_session_id").distinct()  # a session may wait for several
+        blocked = descendant_count(waiting, "session_id", "blocking_session_id", "blocked_session_count").select(
+            "session_id", "blocked_session_count").distinct()
     out = sh.filter_pair(out, FILTER_FIELDS, o.include, o.include_by, o.exclude, o.exclude_by)
     disabled: list[str] = []
     if previous is not None:
@@ -74,7 +75,7 @@ def activity_report(
         documents = sh.nested_counts(locks, "session_id", "database_name", "request_mode", "locks")
         out = out.join(documents, "session_id", "left")
     if blocked is not None:
-        out = out.join(blocked.select("session_id", "blocked_session_count"), "session_id", "left")
+        out = out.join(blocked, "session_id", "left")
     wide = sh.select_like(out, o.columns, disabled)
     if return_schema or destination:
         ddl = save_as(wide, destination or "", schema_only=return_schema)

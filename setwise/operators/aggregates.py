@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from setwise.functions.measures import floor_zero
 from setwise.functions.times import int_div
 from setwise.operators.ordered import ordered_rows
 
@@ -55,6 +56,11 @@ def share_of_total(df: DataFrame, measure: str, name: str = "pct", type_: str =
     return df.withColumn(name, (F.lit(100) * F.col(measure) / F.nullif(total, F.lit(0))).cast(type_))
 
 
+def share_of_capacity(df: DataFrame, part: str, capacity: str, name: str = "pct", type_: str = "decimal(18,2)") -> DataFrame:
+    """Each row's part as a percentage of its own capacity; a capacity of zero counts as 0.001, so nothing divides by it."""
+    return df.withColumn(name, (F.lit(100) * F.col(part) / floor_zero(capacity)).cast(type_))
+
+
 def pareto(
     df: DataFrame, item: str, measure: str, coverage: float = 95, exclude: Sequence[str] = (),
 ) -> DataFrame:
@@ -84,24 +90,25 @@ def status_summary(df: DataFrame, keys: Sequence[Column], status: str, labels: M
 
 def bucket_profile(
     df: DataFrame, group: str, duration: Column, measure: Column, edges: Sequence[float],
-    closed: str = "both", prefix: str = "bucket", limit: int | None = None,
+    closed: str = "both", prefix: str = "bucket",
 ) -> DataFrame:
     """Per group: touches, average and total duration, average measure, counts per bucket.
 
     ``closed='both'`` counts a value on an inner edge in both neighbours;
-    ``closed='left'`` counts it once. ``limit`` keeps the first groups by name.
+    ``closed='left'`` counts it once, in the bucket that begins there, and the
+    last edge in the last bucket.
     """
     if closed not in ("both", "left"):
         raise ValueError(f"closed must be 'both' or 'left', not {closed!r}")
     counts = []
     for lo, hi in zip(edges, edges[1:]):
-        inside = measure.between(lo, hi) if closed == "both" else (measure >= lo) & (measure < hi)
+        whole = closed == "both" or hi == edges[-1]
+        inside = measure.between(lo, hi) if whole else (measure >= lo) & (measure < hi)
         counts.append(F.count_if(inside).alias(f"{prefix}{hi:g}"))
-    out = df.groupBy(group).agg(
+    return df.groupBy(group).agg(
         F.count(F.lit(1)).alias("touches"), F.avg(duration).alias("avg_duration"),
         F.sum(duration).alias("total_duration"), F.avg(measure).alias("avg_measure"), *counts,
     )
-    return out.orderBy(group).limit(limit) if limit else out
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -148,13 +155,17 @@ def group_concat_parts(
 
 def rollup_strings(
     df: DataFrame, outer: Sequence[str], inner: str, value: str, inner_delimiter: str = ",",
-    outer_delimiter: str = "; ", max_chars: int | None = None, name: str = "joined",
+    outer_delimiter: str = "; ", rows_per_part: int | None = None, name: str = "joined",
 ) -> DataFrame:
-    """Two-level string rollup: distinct values per inner key, then ``inner=values`` per outer key."""
+    """Two-level string rollup: distinct values per inner key, then ``inner=values`` per outer key.
+
+    With ``rows_per_part`` an outer key's text comes as numbered parts of at most so many inner keys.
+    """
     first = group_concat(df, [*outer, inner], value, inner_delimiter, distinct=True, name="__inner")
     labelled = first.withColumn("__item", F.concat(F.col(inner).cast("string"), F.lit("="), F.col("__inner")))
-    out = labelled.groupBy(*outer).agg(ordered_list("__item", outer_delimiter, f"`{inner}`").alias(name))
-    return out.withColumn(name, F.substring(name, 1, max_chars)) if max_chars else out
+    if rows_per_part:
+        return group_concat_parts(labelled, outer, "__item", [F.col(inner).asc()], outer_delimiter, rows_per_part, name)
+    return labelled.groupBy(*outer).agg(ordered_list("__item", outer_delimiter, f"`{inner}`").alias(name))
 
 
 def accumulate_list(

@@ -13,12 +13,6 @@ from setwise.operators.graph import chase_missing
 from setwise.operators.ordered import ordered_rows
 from setwise.session import materialize
 
-# Groups up to these sizes are folded in one task: hits to sort, and firings
-# the fold can come to (the list of firings is copied as it grows).
-FOLD_LIMIT = 200_000
-FIRE_LIMIT = 3_000
-
-
 def match_rules(events: DataFrame, rules: DataFrame, message: str, severity: str, time: str, event_id: str) -> DataFrame:
     """Hits (rule, delay, us, event_id): events whose message or severity a rule names."""
     seen = events.select(
@@ -32,8 +26,13 @@ def match_rules(events: DataFrame, rules: DataFrame, message: str, severity: str
     return pick(by_message).unionByName(pick(by_severity))
 
 
-def fire_alerts(hits: DataFrame, last_fired: DataFrame | None = None, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """The hits that fire: rule, us, event_id. ``last_fired`` (rule, us) carries on from earlier hits."""
+def fire_alerts(hits: DataFrame, last_fired: DataFrame | None = None) -> DataFrame:
+    """The hits that fire: rule, us, event_id. ``last_fired`` (rule, us) carries on from earlier hits.
+
+    A hit that comes a whole delay after the one before fires whatever came
+    earlier, so the runs between such hits are chased apart; within a run every
+    hit points to the next one that its delay lets through.
+    """
     if last_fired is not None:
         earlier = last_fired.select(F.col("rule").alias("__r"), F.col("us").alias("__last"))
         hits = hits.join(earlier, F.col("rule") == F.col("__r"), "left").where(
@@ -41,30 +40,8 @@ def fire_alerts(hits: DataFrame, last_fired: DataFrame | None = None, fold_limit
         ).drop("__r", "__last")
     always = hits.where("delay = 0").select("rule", "us", "event_id")
     # Of hits at the same moment only one can fire: the one with the smallest id.
-    times = materialize(
-        hits.where("delay > 0").groupBy("rule", "delay", "us").agg(F.min("event_id").alias("event_id")), "hits")
-    small, large = _split(times, ["rule"], fold_limit)
-    out = always.unionByName(_fold(small, ["rule"]))
-    if large is None:
-        return out
-    # A hit that comes a whole delay after the one before fires whatever came
-    # earlier, so the runs between such hits can be folded apart.
-    runs = _runs(large)
-    small, large = _split(runs, ["rule", "run"], fold_limit)
-    out = out.unionByName(_fold(small, ["rule", "run"]))
-    return out if large is None else out.unionByName(_double(large))
-
-
-def _split(times: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """The groups small enough to fold, and the larger ones if there are any."""
-    n = F.count(F.lit(1))
-    firings = F.least(n, (F.max("us") - F.min("us")) / F.min("delay") + 1)
-    sizes = times.groupBy(*keys).agg(((n > limit) | (firings > min(limit, FIRE_LIMIT))).alias("__large"))
-    has_large = not sizes.where("__large").isEmpty()
-    if not has_large:
-        return times, None
-    marked = times.join(sizes, keys)
-    return marked.where("not __large").drop("__large"), marked.where("__large").drop("__large")
+    times = hits.where("delay > 0").groupBy("rule", "delay", "us").agg(F.min("event_id").alias("event_id"))
+    return always.unionByName(_double(materialize(_runs(times), "hits")))
 
 
 def _runs(times: DataFrame) -> DataFrame:
@@ -76,15 +53,6 @@ def _runs(times: DataFrame) -> DataFrame:
     return ordered_rows(marked, order, ["rule"], carried={"run": "__start"}).drop("row_no", "__start")
 
 
-def _fold(times: DataFrame, keys: list[str]) -> DataFrame:
-    """Walk the ordered times of each group, keeping those far enough from the last kept."""
-    hits = times.groupBy(*keys, "delay").agg(F.sort_array(F.collect_list(F.struct("us", "event_id"))).alias("h"))
-    kept = F.expr("""
-        aggregate(slice(h, 2, size(h)), slice(h, 1, 1),
-          (kept, x) -> if(x.us >= element_at(kept, -1).us + delay, concat(kept, array(x)), kept))""")
-    return hits.select("rule", F.explode(kept).alias("f")).select("rule", "f.us", "f.event_id")
-
-
 def _double(times: DataFrame) -> DataFrame:
     """The same by pointers: each hit points to the first one of its run that its delay lets through."""
     hits = times.select("rule", "run", "us", F.col("us").alias("at"), F.lit(0).alias("asks"), F.col("us").alias("hit"))

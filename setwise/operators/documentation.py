@@ -6,7 +6,7 @@ import functools
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DataType, StructField
+from pyspark.sql.types import ArrayType, DataType, DecimalType, StructField
 
 _INTEGERS = ("byte", "short", "integer", "long")
 _NUMBERS = (*_INTEGERS, "float", "double", "decimal")
@@ -21,8 +21,8 @@ def _kind(t: DataType) -> str:
 def _comparable(f: StructField) -> tuple[str, str]:
     """A value whose equality is the column's, in one of three types that many columns share.
 
-    Texts over 64 characters become digests: what is shuffled does not grow
-    with the texts.
+    Texts, short or long, are compared by digest: what is shuffled does not
+    grow with the texts.
     """
     t, c = f.dataType.typeName(), f"`{f.name}`"
     if t in _INTEGERS:
@@ -31,8 +31,7 @@ def _comparable(f: StructField) -> tuple[str, str]:
         return "double", f"cast({c} as double)"
     if t in ("timestamp", "timestamp_ntz"):
         return "bigint", f"unix_micros(cast({c} as timestamp))"
-    text = f"to_json({c})" if _kind(f.dataType) == "other" else f"cast({c} as string)"
-    return "string", f"if(length({text}) > 64, concat('sha2:', sha2({text}, 256)), {text})"
+    return "binary", f"unhex(sha2({f'to_json({c})' if _kind(f.dataType) == 'other' else f'cast({c} as string)'}, 256))"
 
 
 def _quoted(x: str) -> str:
@@ -43,12 +42,24 @@ def _union(parts: Iterable[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.union, parts)
 
 
+def _dictionary(f: StructField) -> list[str]:
+    """Type, nullable, precision, scale, comment and default of a column, as SQL."""
+    t = f.dataType
+    precision, scale = (t.precision, t.scale) if isinstance(t, DecimalType) else (getattr(t, "length", None), None)
+    said = [(f.metadata or {}).get(k) for k in ("comment", "CURRENT_DEFAULT")]
+    return [
+        _quoted(t.simpleString()), str(f.nullable).lower(), *[f"cast({'null' if x is None else x} as int)" for x in (precision, scale)],
+        *["cast(null as string)" if x is None else _quoted(x) for x in said]]
+
+
 def column_profile(df: DataFrame, table: str, distinct: str = "exact") -> DataFrame:
     """One row per column: position, type, rows, nulls, distinct, extremes, longest text.
 
     One scan with one-row partial results. ``distinct='approx'`` stays in that
-    scan; ``'exact'`` adds a count over (column, value) pairs merged before the
-    shuffle, so a frequent value costs one row per task.
+    scan; ``'exact'`` adds a second one, for a count over (column, value) pairs
+    merged before the shuffle, so a frequent value costs one row per task.
+    Length, precision and scale follow the type; comment and default are what
+    the table's metadata says.
     """
     if distinct not in ("exact", "approx"):
         raise ValueError(f"distinct must be 'exact' or 'approx', not {distinct!r}")
@@ -66,12 +77,13 @@ def column_profile(df: DataFrame, table: str, distinct: str = "exact") -> DataFr
         text = [{"text": f"{x}{i}", "time": f"date_format({x}{i}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"}.get(
             kind, "cast(null as string)") for x in ("lo", "hi")]
         rows.append(", ".join([
-            str(i + 1), _quoted(f.name), _quoted(f.dataType.simpleString()), str(f.nullable).lower(), "n", f"n - c{i}",
+            str(i + 1), _quoted(f.name), *_dictionary(f), "n", f"n - c{i}",
             f"d{i}" if distinct == "approx" else "cast(null as bigint)", *number, *text,
             f"cast(len{i} as bigint)" if kind == "text" else "cast(null as bigint)"]))
     profile = df.selectExpr(*aggs).selectExpr(
         f"{_quoted(table)} as table_name",
-        f"stack({len(rows)}, {', '.join(rows)}) as (ordinal, column_name, type, nullable, rows, nulls, distinct, "
+        f"stack({len(rows)}, {', '.join(rows)}) as (ordinal, column_name, type, nullable, type_precision, type_scale, "
+        "comment, default_value, rows, nulls, distinct, "
         "min_number, max_number, min_text, max_text, max_length)")
     if distinct == "approx":
         return profile
@@ -80,39 +92,56 @@ def column_profile(df: DataFrame, table: str, distinct: str = "exact") -> DataFr
         *[c if c != "distinct" else "coalesce(__d, 0) as distinct" for c in profile.columns])
 
 
-def distinct_counts(df: DataFrame) -> DataFrame:
-    """Exact number of different non-NULL values per column.
+def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Exact number of different non-NULL values per column, in one pass over the table.
 
-    Columns of like type share one (column, value) pass, duplicates merged
-    before the shuffle.
+    Every value stands in the column of its type class beside the name of its
+    column; duplicates are merged before the shuffle.
     """
-    classes: dict[str, list[str]] = {}
+    classes = ("bigint", "double", "binary")
+    rows = []
     for f in df.schema.fields:
-        type_, value = _comparable(f)
-        classes.setdefault(type_, []).append(f"{_quoted(f.name)}, {value}")
-    return _union(
-        df.selectExpr(f"stack({len(pairs)}, {', '.join(pairs)}) as (column_name, v)").where("v is not null").distinct()
-        .groupBy("column_name").agg(F.count("v").alias("distinct"))
-        for pairs in classes.values())
+        if columns is None or f.name in columns:
+            type_, value = _comparable(f)
+            rows.append(", ".join([_quoted(f.name), *[value if c == type_ else f"cast(null as {c})" for c in classes]]))
+    values = df.selectExpr(f"stack({len(rows)}, {', '.join(rows)}) as (column_name, v1, v2, v3)")
+    return values.where("v1 is not null or v2 is not null or v3 is not null").distinct().groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("distinct"))
 
 
 def large_columns(df: DataFrame, table: str, threshold: int = 8000) -> DataFrame:
-    """Text columns holding a value of more than ``threshold`` bytes."""
-    texts = [f.name for f in df.schema.fields if _kind(f.dataType) == "text"]
-    if not texts:
+    """Columns holding a value of more than ``threshold`` bytes: texts (XML among them) and binary."""
+    wide = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "varchar", "char")]
+    if not wide:
         return df.sparkSession.createDataFrame([], "table_name string, column_name string, max_bytes bigint")
-    one = df.selectExpr(*[f"cast(max(octet_length(`{c}`)) as bigint) as b{i}" for i, c in enumerate(texts)])
-    rows = ", ".join(f"{_quoted(c)}, b{i}" for i, c in enumerate(texts))
+    one = df.selectExpr(*[f"cast(max(octet_length(`{c}`)) as bigint) as b{i}" for i, c in enumerate(wide)])
+    rows = ", ".join(f"{_quoted(c)}, b{i}" for i, c in enumerate(wide))
     return one.selectExpr(
-        f"{_quoted(table)} as table_name", f"stack({len(texts)}, {rows}) as (column_name, max_bytes)"
+        f"{_quoted(table)} as table_name", f"stack({len(wide)}, {rows}) as (column_name, max_bytes)"
     ).where(F.col("max_bytes") > threshold)
 
 
+# Relative error of the approximate counts below, and how many of it a count may be off.
+_ERROR, _TIMES_ERROR = 0.05, 6
+
+
 def candidate_keys(df: DataFrame, table: str) -> DataFrame:
-    """Per table how many of its columns are unique and never NULL."""
-    n = df.agg(F.count(F.lit(1))).scalar()
-    unique = distinct_counts(df).agg(F.count_if(F.col("distinct") == n).alias("key_columns"))
-    return unique.selectExpr(f"{_quoted(table)} as table_name", "key_columns")
+    """Per table how many of its columns are unique and never NULL.
+
+    One pass counts rows, NULLs and approximate values of all columns. Columns
+    with NULLs, and those whose approximate count is out of reach of the rows,
+    are out; only what is left is counted exactly, in a second pass.
+    """
+    names = [f.name for f in df.schema.fields]
+    one = df.selectExpr("count(1) as n", *[x for i, f in enumerate(df.schema.fields) for x in (
+        f"count(`{f.name}`) as c{i}", f"approx_count_distinct({_comparable(f)[1]}, {_ERROR}) as d{i}")]).first()
+    possible = [c for i, c in enumerate(names)
+                if one[f"c{i}"] == one.n and one[f"d{i}"] >= (1 - _TIMES_ERROR * _ERROR) * one.n]
+    head = f"{_quoted(table)} as table_name"
+    if not possible or not one.n:  # in a table without rows every column is unique
+        return df.sparkSession.range(1).selectExpr(head, f"{0 if one.n else len(names)}L as key_columns")
+    unique = distinct_counts(df, possible).agg(F.count_if(F.col("distinct") == one.n).alias("key_columns"))
+    return unique.selectExpr(head, "key_columns")
 
 
 def keyless_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -142,16 +171,24 @@ def key_suffix(column: str) -> str:
     return column.split("_", 1)[-1]
 
 
-def fk_candidates(tables: Mapping[str, DataFrame], suffix: str = "key") -> list[tuple[str, str, str, str]]:
-    """(child, column, parent, column) pairs that share a name ending and a type, from metadata.
+def key_entity(column: str, suffixes: Sequence[str]) -> str:
+    """What a key column names: ``o_custkey`` and ``cust_id`` are both ``cust``; empty if it is no key."""
+    for suffix in suffixes:
+        if column.endswith(suffix) and column != suffix:
+            stem = column[: -len(suffix)].rstrip("_")
+            return stem.split("_", 1)[-1]
+    return ""
+
+
+def fk_candidates(tables: Mapping[str, DataFrame], suffixes: Sequence[str] = ("key", "id")) -> list[tuple[str, str, str, str]]:
+    """(child, column, parent, column) pairs that name the same thing in the same type, from metadata.
 
-    A column can be a parent if its table's name starts with its prefix.
+    A column can be a parent if its table's name starts with what it names.
     """
-    cols = [(t, f.name, f.dataType) for t, df in tables.items() for f in df.schema.fields if f.name.endswith(suffix)]
-    owner = lambda t, c: key_suffix(c)[: -len(suffix)] != "" and t.startswith(key_suffix(c)[: -len(suffix)])
+    cols = [(t, f.name, f.dataType, e) for t, df in tables.items() for f in df.schema.fields if (e := key_entity(f.name, suffixes))]
     return [
-        (ct, cc, pt, pc) for ct, cc, ctype in cols for pt, pc, ptype in cols
-        if (ct, cc) != (pt, pc) and ctype == ptype and key_suffix(cc).endswith(key_suffix(pc)) and owner(pt, pc)
+        (ct, cc, pt, pc) for ct, cc, ctype, ce in cols for pt, pc, ptype, pe in cols
+        if (ct, cc) != (pt, pc) and ctype == ptype and ce.endswith(pe) and pt.startswith(pe)
     ]
 
 

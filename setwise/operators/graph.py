@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from setwise.session import materialize
+from setwise.session import materialize, release
 
 
 def _double(jumps: DataFrame) -> DataFrame:
@@ -25,20 +25,22 @@ def _double(jumps: DataFrame) -> DataFrame:
 def descendant_count(nodes: DataFrame, node: str, blocked_by: str, name: str = "blocked_count") -> DataFrame:
     """Per node, how many others wait for it directly or through others.
 
-    Input has one row per node with the node it waits for, or NULL. Blockers
-    that are not nodes themselves are ignored. Nodes waiting in a circle each
-    count the others of the circle and everything behind it.
+    Input has a row per node and node it waits for, or NULL. Blockers that are
+    not nodes themselves are ignored. Nodes waiting in a circle each count the
+    others of the circle and everything behind it. Where every node waits for
+    one other at most, pointers are doubled; else pairs are (see ``_closure``).
     """
-    spark = nodes.sparkSession
-    pairs = nodes.select(F.col(node).alias("node"), F.col(blocked_by).alias("up"))
-    known = pairs.select(F.col("node").alias("__n"))
+    pairs = nodes.select(F.col(node).alias("node"), F.col(blocked_by).alias("up")).distinct()
+    known = pairs.select(F.col("node").alias("__n")).distinct()
     pairs = materialize(
         pairs.join(known, pairs["up"] == known["__n"], "left")
         .select("node", F.when(F.col("__n") != F.col("node"), F.col("__n")).alias("up")), "edges")
     total, distinct, linked = pairs.agg(
         F.count(F.lit(1)), F.count_distinct("node"), F.count("up")).first()
     if total != distinct:
-        raise ValueError(f"{node} is not unique: keep one blocker per node first (best_row)")
+        behind = _closure(pairs).where("node <> up").groupBy(F.col("up").alias("__up")).agg(F.count(F.lit(1)).alias("below"))
+        every = pairs.select("node").distinct().join(behind, F.col("node") == F.col("__up"), "left")
+        return _attach(nodes, node, every.select("node", F.coalesce("below", F.lit(0)).alias("below")), name)
     rounds = max(total, 1).bit_length()
     # A forest empties within `rounds` doublings; what is left leads into a circle.
     counted, circles = _subtree_sizes(pairs, rounds)
@@ -62,6 +64,25 @@ def _attach(nodes: DataFrame, node: str, counted: DataFrame, name: str) -> DataF
     return nodes.join(counted.select(F.col("node").alias(node), F.col("below").alias(name)), node)
 
 
+def _closure(pairs: DataFrame) -> DataFrame:
+    """(node, up) for everything a node waits for, directly or through others, with several blockers a node.
+
+    A round joins the pairs with themselves, so distances double; it ends when
+    no pair is new, in circles too. The number of pairs is that of the result.
+    """
+    reach = materialize(pairs.where("up is not null").distinct(), "closure")
+    size = reach.count()
+    while True:
+        ahead = reach.select(F.col("node").alias("__via"), F.col("up").alias("__up"))
+        more = reach.join(ahead, F.col("up") == F.col("__via")).select("node", F.col("__up").alias("up"))
+        grown = materialize(reach.union(more).distinct(), "closure")
+        release(reach)
+        grown_size = grown.count()
+        if grown_size == size:
+            return grown
+        reach, size = grown, grown_size
+
+
 def _subtree_sizes(pairs: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame | None]:
     """Sizes of the subtrees (self included), and the jumps that never end, if any.
 
@@ -72,10 +93,11 @@ def _subtree_sizes(pairs: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame
     for _ in range(rounds + 1):
         gained = state.where("up is not null").groupBy(F.col("up").alias("__to")).agg(F.sum("below").alias("__more"))
         jumped = _double(state.select("node", "up"))
-        state = materialize(
+        last, state = state, materialize(
             state.select("node", "below").join(jumped.select("node", F.col("__up").alias("up")), "node")
             .join(gained, F.col("node") == F.col("__to"), "left")
             .select("node", "up", (F.col("below") + F.coalesce("__more", F.lit(0))).alias("below")), "reach")
+        release(last)
         if state.where("up is not null").isEmpty():
             return state, None
     return state, state.where("up is not null")
@@ -87,9 +109,10 @@ def _circle_ids(circle: DataFrame, rounds: int) -> DataFrame:
     for _ in range(rounds):
         ahead = state.select(
             F.col("node").alias("__via"), F.col("up").alias("__up"), F.col("circle").alias("__other"))
-        state = materialize(
+        last, state = state, materialize(
             state.join(ahead, F.col("up") == F.col("__via"))
             .select("node", F.col("__up").alias("up"), F.least("circle", "__other").alias("circle")), "circles")
+        release(last)
     return state.select("node", "circle")
 
 
@@ -106,9 +129,10 @@ def chase_missing(
         # Everything 2^k steps ahead of what is reached: the set doubles its depth.
         ahead = reached.join(jumps, "node").where("up is not null").select(F.col("up").alias("node"))
         grown = materialize(reached.union(ahead).distinct(), "reached")
-        grown_size = grown.count()
-        if grown_size == size:
+        release(reached)
+        reached, last_size, size = grown, size, grown.count()
+        if size == last_size:
             break
-        reached, size = grown, grown_size
-        jumps = materialize(_double(jumps).select("node", F.col("__up").alias("up")), "jumps")
+        last, jumps = jumps, materialize(_double(jumps).select("node", F.col("__up").alias("up")), "jumps")
+        release(last)
     return table.join(reached.withColumnRenamed("node", key), key, "left_semi")

@@ -64,6 +64,19 @@ def rollup_since(
         F.max(time).alias(latest), F.min(time).alias(earliest), F.count(F.lit(1)).alias(count))
 
 
+def rollup_unread(
+    events: DataFrame, read: DataFrame | None, batch: str, keys: Sequence[str], time: str, latest: str = "latest",
+    earliest: str = "earliest", count: str = "n",
+) -> DataFrame:
+    """The same of the events whose ``batch`` (a file or load number) is not among those ``read``.
+
+    What has been read is remembered, not how far time had come: events that
+    are late, or tie with the newest one, are counted with their own batch.
+    """
+    fresh = events if read is None else events.join(read.select(batch).distinct(), batch, "left_anti")
+    return rollup_since(fresh, None, keys, time, latest, earliest, count)
+
+
 def high_water_mark(store: DataFrame, latest: str = "latest"):
     """The newest time the store has seen; None when it is empty. One value reaches the driver."""
     return store.agg(F.max(latest)).first()[0]
@@ -83,21 +96,36 @@ def capacity_snapshot(
     return out if latest is None else out.join(latest, entity, "left")
 
 
-def upsert(target: DataFrame, changes: DataFrame, key: str, empty=0) -> DataFrame:
-    """Apply a change set: rows whose key is empty or NULL get new keys, others update existing rows.
+def upsert(target: DataFrame, changes: DataFrame, key: str, empty=None, order: str | None = None) -> DataFrame:
+    """Apply a change set: rows whose key is empty or NULL are inserted, others update existing rows.
 
-    A change for a key that does not exist changes nothing. New integer keys
-    follow the largest present one in the order of the change set's columns.
+    A change for a key that does not exist changes nothing. Of several changes
+    for one key the last by ``order`` holds; without it they are an error when
+    the result is read. ``empty`` is 0 for numbers and '' for texts. New
+    integer keys follow the largest present one in the order of the change
+    set's columns; text keys are taken as given.
     """
-    is_new = F.col(key).isNull() | (F.col(key) == F.lit(empty))
-    columns = target.columns
-    updates = changes.where(~is_new).join(target.select(key), key, "left_semi").select(*columns)
-    kept = target.join(updates.select(key), key, "left_anti")
-    fresh = changes.where(is_new).drop(key)
-    numbered = ordered_rows(fresh, [F.col(c).asc() for c in fresh.columns], number="__new")
-    base = target.agg(F.coalesce(F.max(key), F.lit(0))).scalar()
     type_ = target.schema[key].dataType
-    inserts = numbered.withColumn(key, (base + F.col("__new")).cast(type_)).select(*columns)
+    text = type_.typeName() in ("string", "varchar", "char")
+    is_new = F.col(key).isNull() | (F.col(key) == F.lit(("" if text else 0) if empty is None else empty))
+    columns = target.columns
+    wanted = changes.where(~is_new).join(target.select(key), key, "left_semi")
+    row = F.struct(*columns)
+    if order:
+        picked = F.max_by(row, F.col(order))
+    else:
+        repeated = F.raise_error(F.concat(F.lit(f"several changes for {key} "), F.col(key).cast("string")))
+        picked = F.when(F.count(F.lit(1)) == 1, F.first(row)).otherwise(repeated)
+    updates = wanted.groupBy(key).agg(picked.alias("__row")).select(*[F.col("__row")[c].alias(c) for c in columns])
+    kept = target.join(changes.where(~is_new).select(key), key, "left_anti")
+    fresh = changes.where(is_new).select(*columns)
+    if text:
+        inserts = fresh
+    else:
+        others = [F.col(c).asc() for c in columns if c != key]
+        numbered = ordered_rows(fresh.drop(key), others, number="__new")
+        base = target.agg(F.coalesce(F.max(key), F.lit(0))).scalar()
+        inserts = numbered.withColumn(key, (base + F.col("__new")).cast(type_)).select(*columns)
     return kept.select(*columns).unionByName(updates).unionByName(inserts)
 
 

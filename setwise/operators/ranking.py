@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,26 +25,41 @@ def keep_first(df: DataFrame, by: Sequence[str], order: Mapping[str, bool]) -> D
     return best_row(df, by, order)
 
 
+_WHOLE = ("byte", "short", "integer", "long")
+
+
+def _descending(df: DataFrame, c: str) -> list[Column] | None:
+    """Columns whose descending order is the ascending one of ``c``, NULL first; None for texts."""
+    kind = df.schema[c].dataType.typeName()
+    turned = {
+        **dict.fromkeys(_WHOLE, lambda x: F.bitwise_not(x)), **dict.fromkeys(("float", "double", "decimal"), lambda x: -x),
+        "date": lambda x: -F.unix_date(x), "timestamp": lambda x: -F.unix_micros(x),
+        "timestamp_ntz": lambda x: -F.unix_micros(x.cast("timestamp")), "boolean": lambda x: ~x}.get(kind)
+    return [F.isnull(c).alias(f"{c}_none"), turned(F.col(c)).alias(c)] if turned else None
+
+
 def best_row(df: DataFrame, by: Sequence[str], order: Mapping[str, bool]) -> DataFrame:
     """One row per group by a multi-column priority (column -> descending?).
 
     All-descending and all-ascending priorities reduce with ``max_by`` and
-    ``min_by``. Mixed ones negate numeric ascending columns.
+    ``min_by``; in mixed ones ascending columns are turned round. Text cannot
+    be: there the columns before a change of direction are decided first, and
+    only the rows that tie in them go on.
     """
+    turned = {c: _descending(df, c) for c, desc in order.items() if not desc}
+    mixed = len(set(order.values())) > 1
+    if mixed and None in turned.values():
+        first = next(iter(order.values()))
+        head = list(takewhile(lambda c: order[c] == first, order))
+        best = (F.max if first else F.min)(F.struct(*head)).alias("__best")
+        tied = with_group_totals(df, by, {"__best": best}).where(F.struct(*head).eqNullSafe(F.col("__best"))).drop("__best")
+        return best_row(tied, by, {c: desc for c, desc in order.items() if c not in head})
     whole = F.struct(*df.columns)
-    directions = set(order.values())
-    if directions == {True}:
-        pick = F.max_by(whole, F.struct(*order))
-    elif directions == {False}:
-        pick = F.min_by(whole, F.struct(*order))
-    else:
-        numeric = {f.name for f in df.schema.fields if f.dataType.typeName() in
-                   ("byte", "short", "integer", "long", "float", "double", "decimal")}
-        ascending = [c for c, desc in order.items() if not desc]
-        if not set(ascending) <= numeric:
-            raise ValueError("mixed directions need numeric ascending columns")
-        keys = [F.col(c) if desc else (-F.col(c)).alias(c) for c, desc in order.items()]
+    if mixed:
+        keys = [x for c, desc in order.items() for x in ([F.col(c)] if desc else turned[c])]
         pick = F.max_by(whole, F.struct(*keys))
+    else:
+        pick = (F.max_by if set(order.values()) == {True} else F.min_by)(whole, F.struct(*order))
     return df.groupBy(*by).agg(pick.alias("__row")).select(
         *[F.col("__row")[c].alias(c) for c in df.columns]
     )
@@ -66,8 +82,8 @@ def latest_or_none(
 
 def dense_ids(df: DataFrame, key: str, name: str = "dense_id") -> DataFrame:
     """Dense surrogate numbers for the distinct keys, in key order, beside each row."""
-    ids = ordered_rows(df.select(key).distinct(), [F.col(key).asc()], number=name)
-    return df.join(ids, key)
+    ids = ordered_rows(df.select(key).distinct(), [F.col(key).asc()], number=name).withColumnRenamed(key, "__key")
+    return df.join(ids, df[key].eqNullSafe(ids["__key"])).drop("__key")  # NULL has a number as well
 
 
 def with_group_totals(df: DataFrame, by: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:

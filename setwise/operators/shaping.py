@@ -11,29 +11,29 @@ from setwise.functions.times import elapsed_parts_text, int_div
 from setwise.functions.xmlpath import drop_namespaces
 from setwise.operators.aggregates import ordered_list
 
-MAX_PIVOT_COLUMNS = 1000
-
 
 def dynamic_pivot(
     df: DataFrame, anchor: str, pivot: str, value: str, agg: str = "max", where: Column | None = None,
-    as_text: bool = False, max_columns: int = MAX_PIVOT_COLUMNS,
+    as_text: bool = False, max_columns: int | None = None,
 ) -> DataFrame:
     """Long to wide with one column per distinct ``pivot`` value under the filter.
 
-    The filter holds for discovery and data alike, NULL pivot values are left
-    out, and more than ``max_columns`` values is an error rather than a cut.
+    The filter holds for discovery and data alike and NULL pivot values are
+    left out. Every value becomes a column; a caller who cannot use more than
+    ``max_columns`` of them gets an error instead of a cut. ``as_text`` gives
+    all columns as whole texts.
     """
     rows = df if where is None else df.where(where)
     rows = rows.where(F.col(pivot).isNotNull())
-    found = [r[0] for r in rows.select(pivot).distinct().limit(max_columns + 1).collect()]
-    if len(found) > max_columns:
+    values = rows.select(pivot).distinct()
+    found = [r[0] for r in (values.limit(max_columns + 1) if max_columns else values).collect()]
+    if max_columns and len(found) > max_columns:
         raise ValueError(f"{pivot} has more than {max_columns} values")
     cell = F.call_function(agg, F.col(value))
     out = rows.groupBy(anchor).pivot(pivot, sorted(found)).agg(cell)
     if not as_text:
         return out
-    cells = [F.substring(F.col(f"`{c}`").cast("string"), 1, 2000).alias(c) for c in out.columns if c != anchor]
-    return out.select(F.substring(F.col(anchor).cast("string"), 1, 200).alias(anchor), *cells)
+    return out.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in out.columns])
 
 
 def static_pivot(df: DataFrame, anchor: Sequence[str], pivot: str, value: str, values: Sequence) -> DataFrame:

@@ -116,7 +116,7 @@ FROM lineitem WHERE l_shipdate > TIMESTAMP '1996-01-01' GROUP BY 1""")
 def bucket_profile(t: Tables) -> DataFrame:
     since = t.lineitem.where(F.col("l_shipdate") > F.lit("1996-01-01").cast("timestamp_ntz"))
     edges = list(range(0, 51, 5))
-    out = ag.bucket_profile(since, "l_returnflag", money("l_extendedprice"), money("l_quantity"), edges, limit=1000)
+    out = ag.bucket_profile(since, "l_returnflag", money("l_extendedprice"), money("l_quantity"), edges)
     return out.withColumns({
         "avg_duration": F.round(F.col("avg_duration").cast("double"), 3),
         "total_duration": F.col("total_duration").cast("double"),
@@ -220,12 +220,12 @@ def group_concat_parts(t: Tables) -> DataFrame:
 @query("rollup_strings", sql="""
 WITH d AS (SELECT DISTINCT n_name, o_orderpriority, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 i AS (SELECT n_name, o_orderpriority, string_agg(o_orderstatus, ',' ORDER BY o_orderstatus) AS s FROM d GROUP BY ALL)
-SELECT n_name, substr(string_agg(o_orderpriority || '=' || s, '; ' ORDER BY o_orderpriority), 1, 1000) AS priorities FROM i GROUP BY n_name""")
+SELECT n_name, string_agg(o_orderpriority || '=' || s, '; ' ORDER BY o_orderpriority) AS priorities FROM i GROUP BY n_name""")
 def rollup_strings(t: Tables) -> DataFrame:
     per_customer = t.orders.select("o_custkey", "o_orderpriority", "o_orderstatus").distinct()
     rows = per_customer.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(
         t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return ag.rollup_strings(rows, ["n_name"], "o_orderpriority", "o_orderstatus", max_chars=1000, name="priorities")
+    return ag.rollup_strings(rows, ["n_name"], "o_orderpriority", "o_orderstatus", name="priorities")
 
 
 @query("accumulate_list", sql="""
@@ -257,3 +257,19 @@ def txn_digest(t: Tables) -> DataFrame:
         F.round("o_totalprice").cast("bigint").alias("bytes"), "o_orderdate")
     out = ag.txn_digest(rows, ["o_custkey"], "o_orderpriority", "writes", "bytes", "o_orderdate")
     return out.select("o_custkey", "digest", day_text("first_begin", "first_begin"))
+
+
+@query("share_of_capacity", sql="""
+WITH q AS (SELECT l_partkey, SUM(CAST(l_quantity AS DECIMAL(18,2))) AS moved, SUM(CAST(l_quantity AS DECIMAL(18,2))) FILTER (l_returnflag = 'R') AS back
+  FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01' GROUP BY 1)
+SELECT p_partkey, CAST(COALESCE(back, 0) AS DOUBLE) AS back, CAST(COALESCE(moved, 0) AS DOUBLE) AS moved,
+  ROUND(CAST(100 * COALESCE(back, 0) AS DOUBLE) / CASE WHEN COALESCE(moved, 0) = 0 THEN 0.001 ELSE CAST(moved AS DOUBLE) END, 2) AS pct
+FROM part LEFT JOIN q ON l_partkey = p_partkey""")
+def share_of_capacity(t: Tables) -> DataFrame:
+    """Share of each part's early quantity that came back; parts that never moved have a capacity of zero."""
+    early = t.lineitem.where(F.col("l_shipdate") < F.lit("1995-06-01").cast("timestamp_ntz"))
+    moved = early.groupBy("l_partkey").agg(
+        F.sum(money("l_quantity")).alias("moved"), F.sum(F.when(F.col("l_returnflag") == "R", money("l_quantity"))).alias("back"))
+    rows = t.part.select("p_partkey").join(moved, F.col("l_partkey") == F.col("p_partkey"), "left").select(
+        "p_partkey", *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in ("back", "moved")])
+    return ag.share_of_capacity(rows, "back", "moved", type_="double").withColumn("pct", F.round("pct", 2))

@@ -39,12 +39,26 @@ def all_tables(t: Tables) -> dict[str, DataFrame]:
     return {n: t.read(n) for n in TABLE_NAMES}
 
 
+# Types of the columns that are not of their kind's usual type.
+_TYPES = {
+    "int": "r_regionkey n_nationkey n_regionkey c_nationkey s_nationkey p_size l_linenumber label quality toxic".split(),
+    "double": "c_acctbal s_acctbal p_retailprice o_totalprice l_quantity l_extendedprice l_discount l_tax value".split(),
+}
+
+
+def _sql_type(kind: str, column: str) -> str:
+    usual = {"n": "bigint", "s": "string", "t": "timestamp_ntz", "a": "array<float>"}[kind]
+    name = next((n for n, columns in _TYPES.items() if column in columns), usual)
+    return (f"'{name}' AS type, true AS nullable, NULL::INT AS type_precision, NULL::INT AS type_scale, NULL::VARCHAR AS comment, "
+            "NULL::VARCHAR AS default_value")
+
+
 def _profile_sql(table: str) -> str:
     parts = []
     for i, (c, k) in enumerate(column_kinds(table)):
         text = {"s": c, "t": f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"}.get(k)
         parts.append(
-            f"SELECT '{table}' AS table_name, {i + 1} AS ordinal, '{c}' AS column_name, COUNT(*) AS rows, COUNT(*) - COUNT({c}) AS nulls, "
+            f"SELECT '{table}' AS table_name, {i + 1} AS ordinal, '{c}' AS column_name, {_sql_type(k, c)}, COUNT(*) AS rows, COUNT(*) - COUNT({c}) AS nulls, "
             f"COUNT(DISTINCT {c}) AS distinct_values, COALESCE({f'MIN({c})::DOUBLE' if k == 'n' else 'NULL'}, 0) AS min_number, "
             f"COALESCE({f'MAX({c})::DOUBLE' if k == 'n' else 'NULL'}, 0) AS max_number, COALESCE({f'MIN({text})' if text else 'NULL'}, '') AS min_text, "
             f"COALESCE({f'MAX({text})' if text else 'NULL'}, '') AS max_text, COALESCE({f'MAX(length({c}))' if k == 's' else 'NULL'}, 0) AS max_length FROM {table}")
@@ -60,7 +74,7 @@ def column_profile(t: Tables):
     """Every column of every table with facts from its data."""
     out = _stack([doc.column_profile(df, n) for n, df in all_tables(t).items()])
     return out.select(
-        "table_name", "ordinal", "column_name", "rows", "nulls", F.col("distinct").alias("distinct_values"),
+        "table_name", "ordinal", "column_name", "type", "nullable", "type_precision", "type_scale", "comment", "default_value", "rows", "nulls", F.col("distinct").alias("distinct_values"),
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("min_number", "max_number", "max_length")],
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("min_text", "max_text")])
 
@@ -93,7 +107,7 @@ _EDGES = [
     ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"),
     ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"),
     ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
-    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id"),
 ]
 
 
@@ -102,7 +116,7 @@ _EDGES = [
     f"COUNT(*) = 0 AS is_edge FROM {a} WHERE {b} IS NOT NULL AND {b} NOT IN (SELECT {d} FROM {c})" for a, b, c, d in _EDGES))
 def fk_edges(t: Tables):
     """Candidate references found in the metadata, tested on the data."""
-    tables = {n: t.read(n) for n in TABLE_NAMES[:7]}
+    tables = all_tables(t)
     return doc.fk_edges(tables, doc.fk_candidates(tables))
 
 

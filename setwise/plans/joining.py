@@ -272,3 +272,15 @@ def chase_missing(t: Tables):
     last = t.conversations.where("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("turn"))
     seeds = turns.join(last, ["conv_id", "turn"], "left_semi")
     return graph.chase_missing(seeds, turns, "node", "waits_for").select("conv_id", "turn")
+
+
+@query("descendant_count_multi", sql="""
+WITH RECURSIVE e AS (SELECT c_custkey AS n, unnest([c_custkey // 2, c_custkey // 3]) AS u FROM customer),
+k AS (SELECT DISTINCT n, u FROM e WHERE u <> n AND u IN (SELECT c_custkey FROM customer)),
+r AS (SELECT n, u FROM k UNION SELECT r.n, k.u FROM r JOIN k ON k.n = r.u),
+c AS (SELECT u, COUNT(*) AS m FROM r GROUP BY u)
+SELECT c_custkey, COALESCE(m, 0) AS blocked_count FROM customer LEFT JOIN c ON u = c_custkey""")
+def descendant_count_multi(t: Tables):
+    """Customers that wait for two others each: everybody behind one is counted once."""
+    half = t.customer.select("c_custkey", F.explode(F.array(F.expr("c_custkey div 2"), F.expr("c_custkey div 3"))).alias("waits_for"))
+    return graph.descendant_count(half, "c_custkey", "waits_for").select("c_custkey", "blocked_count").distinct()

@@ -256,13 +256,14 @@ def path_split(t: Tables):
 
 
 @query("guid_bytes", sql="""
-WITH h AS (SELECT o_orderkey, o_custkey, lpad(hex(o_orderkey), 8, '0') AS x FROM orders)
-SELECT o_orderkey, o_custkey, substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2) AS swapped FROM h""")
+WITH h AS (SELECT o_orderkey, o_custkey, lpad(hex(o_orderkey), 16, '0') AS x FROM orders)
+SELECT o_orderkey, o_custkey, substr(x, 15, 2) || substr(x, 13, 2) || substr(x, 11, 2) || substr(x, 9, 2) || substr(x, 7, 2)
+  || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2) AS swapped FROM h""")
 def guid_bytes(t: Tables):
     """Byte-swapped hex keys as the join key between two tables that write them differently."""
-    code = F.lpad(F.hex("o_orderkey"), 8, "0")
-    plain = t.orders.select("o_custkey", tx.swap_first_bytes(code).alias("swapped"))
-    swapped = t.orders.select("o_orderkey", tx.swap_first_bytes(code).alias("swapped"))
+    code = F.lpad(F.hex("o_orderkey"), 16, "0")  # a 64-bit key never has more digits
+    plain = t.orders.select("o_custkey", tx.swap_bytes(code).alias("swapped"))
+    swapped = t.orders.select("o_orderkey", tx.swap_bytes(code).alias("swapped"))
     return swapped.join(plain, "swapped").select("o_orderkey", "o_custkey", "swapped")
 
 

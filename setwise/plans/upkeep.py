@@ -72,6 +72,22 @@ def hwm_rollup(t: Tables):
     return merged.select("user_id", "event_type", time_text("latest", "latest"), time_text("earliest", "earliest"), "n")
 
 
+@query("rollup_unread", sql="""
+SELECT user_id, event_type, strftime(MAX(ts), '%Y-%m-%d %H:%M:%S.%f') AS latest, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S.%f') AS earliest,
+  COUNT(*) AS n FROM events GROUP BY ALL""")
+def rollup_unread(t: Tables):
+    """Four loads, each with events of the whole time: what was read is remembered, so late and tied ones are counted."""
+    loads = t.events.withColumn("load", F.col("event_id") % 4)
+    store, done = scratch_path(t.spark, "rollup"), scratch_path(t.spark, "loads")
+    for arrived in range(4):
+        read = None if not arrived else t.spark.read.schema("load bigint").parquet(done)
+        source = loads.where(F.col("load") <= arrived)
+        sinks.append(inc.rollup_unread(source, read, "load", ["user_id", "event_type"], "ts"), store)
+        sinks.append(source.select("load").distinct(), done)
+    merged = ag.merge_partials(t.spark.read.parquet(store), ["user_id", "event_type"], ["latest"], ["earliest"], ["n"])
+    return merged.select("user_id", "event_type", time_text("latest", "latest"), time_text("earliest", "earliest"), "n")
+
+
 def daily_summary(orders: DataFrame) -> DataFrame:
     return orders.groupBy(F.col("o_orderdate").cast("date").alias("snapshot_date")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(money("o_totalprice")).alias("price"))
@@ -176,6 +192,22 @@ def keyed_table(t: Tables):
     return inc.upsert(t.customer, customer_changes(t), "c_custkey")
 
 
+@query("keyed_table_text", sql="""
+WITH s AS (SELECT CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE c_name END AS k, s_nationkey, s_acctbal FROM supplier JOIN customer ON c_custkey = s_suppkey * 10),
+v AS (SELECT k, s_nationkey, s_acctbal, 1 AS version FROM s UNION ALL SELECT k, s_nationkey, s_acctbal + 1, 2 FROM s)
+SELECT c_name, c_nationkey, c_acctbal FROM customer WHERE c_name NOT IN (SELECT k FROM s)
+UNION ALL SELECT k, s_nationkey, s_acctbal FROM v WHERE k <> '' AND version = 2
+UNION ALL SELECT k, s_nationkey, s_acctbal FROM v WHERE k = ''""")
+def keyed_table_text(t: Tables):
+    """Text keys: an empty one inserts as it is; of two changes for a key the later version holds."""
+    named = t.supplier.join(t.customer, F.col("c_custkey") == F.col("s_suppkey") * 10).select(
+        F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(F.col("c_name")).alias("c_name"), F.col("s_nationkey").alias("c_nationkey"),
+        F.col("s_acctbal").alias("c_acctbal"))
+    versions = named.withColumn("version", F.lit(1)).unionByName(
+        named.withColumns({"c_acctbal": F.col("c_acctbal") + 1, "version": F.lit(2)}))
+    return inc.upsert(t.customer.select("c_name", "c_nationkey", "c_acctbal"), versions, "c_name", order="version")
+
+
 @query("keyed_table_delete", sql="""
 SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE s_suppkey * 20 + 1 END FROM supplier)""")
 def keyed_table_delete(t: Tables):

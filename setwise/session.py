@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +17,6 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-_local_scratch: dict[str, str] = {}
-
 
 def builder(app: str = "setwise", master: str | None = None) -> SparkSession.Builder:
     b = SparkSession.builder.appName(app)
@@ -33,36 +31,50 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else built."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
-    # The stock 200 shuffle partitions only suits a cluster: a one-machine
-    # session left at the default gets two per core instead.
-    if is_local(spark) and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        spark.conf.set("spark.sql.shuffle.partitions", str(2 * spark.sparkContext.defaultParallelism))
     return spark
 
 
-def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``, else one under the warehouse, which executors share too."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return root.rstrip("/") if root else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+class Scratch:
+    """Everything that operators store between its beginning and its end: ``with Scratch(spark): report.collect()``.
 
-    Only a one-machine session may fall back to a temporary folder: on a
-    cluster a driver-local path would be lost with, or unseen by, executors.
+    What is stored is removed at the end. Without one, intermediate tables stay
+    until the caller clears the shared folder, since a lazy result may read them.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not is_local(spark):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_scratch:
-        _local_scratch[app] = tempfile.mkdtemp(prefix="setwise-")
-    return _local_scratch[app]
+
+    _open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch._open.remove(self)
+        for path in self.paths:
+            remove(self.spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    if Scratch._open:
+        Scratch._open[-1].paths.append(path)
+    return path
+
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -70,4 +82,12 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     and a lost executor costs a re-read instead of a re-run."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[stored] = path
+    return stored
+
+
+def release(df: DataFrame) -> None:
+    """Remove what ``materialize`` stored; nothing may read it any more."""
+    if path := _paths.pop(df, None):
+        remove(df.sparkSession, path)

@@ -62,7 +62,12 @@ def jdbc_table(spark: SparkSession, url: str, table: str, partition_column: str
 
 
 def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+    """Rows written in the program, as part of the plan: its size is known, so a join broadcasts these and not the data."""
+    fields = StructType.fromDDL(schema).fields
+    if not rows:
+        return spark.createDataFrame([], schema)
+    table = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows])
+    return spark.range(1).select(F.inline(table))
 
 
 def file_bytes(spark: SparkSession, path: str) -> DataFrame:

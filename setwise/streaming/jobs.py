@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from setwise.functions.times import col
-from setwise.operators.alerts import FOLD_LIMIT, fire_alerts
+from setwise.operators.alerts import fire_alerts
 from setwise.operators.incremental import snapshot_series_delta
 from setwise.operators.ranking import latest_per_group
 from setwise.session import materialize
@@ -83,7 +83,6 @@ def windowed_rollup(source: DataFrame, keys: Sequence[str], time: str, width: st
 
 def stream_alerts(
     source: DataFrame, hits: Callable[[DataFrame], DataFrame], target: str, state: str, checkpoint: str,
-    fold_limit: int = FOLD_LIMIT,
 ) -> StreamingQuery:
     """Alerts as they are due. The state is the last firing of each rule.
 
@@ -94,7 +93,7 @@ def stream_alerts(
 
     def work(df: DataFrame, batch: int) -> None:
         before = fired_last.before(df.sparkSession, batch)
-        fired = materialize(fire_alerts(hits(df), before, fold_limit), "fired")
+        fired = materialize(fire_alerts(hits(df), before), "fired")
         _put(fired, target, batch)
         fired_last.store(fired.groupBy("rule").agg(F.max("us").alias("us")), before, batch)
 

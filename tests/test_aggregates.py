@@ -1,3 +1,5 @@
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def test_share_of_nothing(make):
 def test_buckets_overlap_on_edges(make):
     df = make([("x", 5, 10.0), ("x", 7, 99.0), ("y", 1, 0.0)], "db string, s int, frag double")
     profile = lambda closed: {r.db: r.asDict() for r in ag.bucket_profile(
-        df, "db", F.col("s"), F.col("frag"), range(0, 101, 10), closed, "frag", 1000).collect()}
+        df, "db", F.col("s"), F.col("frag"), range(0, 101, 10), closed, "frag").collect()}
     both, left = profile("both"), profile("left")
     assert (both["x"]["frag10"], both["x"]["frag20"], both["x"]["frag100"]) == (1, 1, 1)
     assert (left["x"]["frag10"], left["x"]["frag20"]) == (0, 1)
@@ -46,7 +48,21 @@ def test_group_concat_sorts_by_value_not_text(make, rows):
 def test_rollup_strings_has_no_entities(make, rows):
     df = make([("s1", "to", "a&b"), ("s1", "to", "<c>"), ("s1", "cc", "d"), ("s2", "to", "e")], "s string, p string, v string")
     assert rows(ag.rollup_strings(df, ["s"], "p", "v")) == [("s1", "cc=d; to=<c>,a&b"), ("s2", "to=e")]
-    assert rows(ag.rollup_strings(df, ["s"], "p", "v", max_chars=4)) == [("s1", "cc=d"), ("s2", "to=e")]
+    parts = ag.rollup_strings(df, ["s"], "p", "v", rows_per_part=1)
+    assert rows(parts.select("s", "part_no", "joined")) == [("s1", 1, "cc=d"), ("s1", 2, "to=<c>,a&b"), ("s2", 1, "to=e")]
+    long = make([("s", f"k{i:04d}", "v" * 30) for i in range(200)], "s string, p string, v string")
+    assert len(ag.rollup_strings(long, ["s"], "p", "v").first().joined) > 7000
+
+
+def test_bucket_profile_keeps_every_group_and_the_last_edge(make):
+    df = make([(f"g{i:05d}", 1, 100) for i in range(1500)], "g string, d int, m int")
+    out = ag.bucket_profile(df, "g", F.col("d"), F.col("m"), [0, 50, 100], closed="left").collect()
+    assert len(out) == 1500 and all(r.bucket100 == 1 and r.bucket50 == 0 for r in out)
+
+
+def test_share_of_capacity(make):
+    df = make([(1.0, 4.0), (1.0, 0.0)], "part double, whole double")
+    assert [float(r.pct) for r in ag.share_of_capacity(df, "part", "whole").collect()] == [25.0, 100000.0]
 
 
 def test_accumulate_list(make):
@@ -83,8 +99,20 @@ def test_best_row_directions(make, rows):
     assert rows(rk.best_row(df, ["k"], {"a": True, "b": False}).select("k", "c")) == [(1, "y"), (2, "w")]
     assert rows(rk.best_row(df, ["k"], {"a": True, "b": True}).select("k", "c")) == [(1, "x"), (2, "w")]
     assert rows(rk.best_row(df, ["k"], {"a": False}).select("k", "c")) == [(1, "z"), (2, "w")]
-    with pytest.raises(ValueError):
-        rk.best_row(df, ["k"], {"a": True, "c": False})
+    assert rows(rk.best_row(df, ["k"], {"a": True, "c": False}).select("k", "c")) == [(1, "x"), (2, "w")]
+    assert rows(rk.best_row(df, ["k"], {"c": False, "a": True}).select("k", "c")) == [(1, "x"), (2, "w")]
+
+
+def test_best_row_null_and_dates_in_mixed_directions(make, rows):
+    df = make([(1, 5, None, date(2024, 1, 2)), (1, 5, 3, date(2024, 1, 1)), (1, 4, 1, date(2020, 1, 1)), (None, 1, 1, None)],
+              "k int, a int, b int, d date")
+    assert rows(rk.keep_first(df, ["k"], {"a": True, "b": False}).select("k", "b")) == [(1, None), (None, 1)]
+    assert rows(rk.keep_first(df, ["k"], {"a": True, "d": False}).select("k", "b")) == [(1, 3), (None, 1)]
+
+
+def test_dense_ids_number_null(make, rows):
+    df = make([("b",), (None,), ("a",), (None,)], "k string")
+    assert sorted((r.dense_id, r.k) for r in rk.dense_ids(df, "k").collect()) == [(1, None), (1, None), (2, "a"), (3, "b")]
 
 
 def test_reductions_use_no_window(make, plan_of):

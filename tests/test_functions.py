@@ -1,6 +1,7 @@
 """Column helpers on literal values."""
 
 from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,9 +84,9 @@ def test_age_days(value):
     assert value(tm.age_days(F.lit("2024-03-01"), F.lit(None).cast("date"))) is None
 
 
-@pytest.mark.parametrize("n, width, out", [(5, 4, "0005"), (12345, 3, None), (7, 25, "0" * 19 + "7")])
+@pytest.mark.parametrize("n, width, out", [(5, 4, "0005"), (12345, 3, None), (7, 25, "0" * 24 + "7"), (10**21 + 5, 25, "0001" + "0" * 20 + "5")])
 def test_zero_pad(value, n, width, out):
-    assert value(tx.zero_pad(F.lit(n), width)) == out
+    assert value(tx.zero_pad(F.lit(n if n < 2**63 else Decimal(n)), width)) == out
 
 
 def test_names_and_paths(value):

@@ -129,3 +129,18 @@ def test_work_log(make, rows):
     done = make([(1, at(1), at(9), None), (2, at(9), at(12), "lock timeout")], "id int, began timestamp_ntz, ended timestamp_ntz, error string")
     out = mt.work_log(queue, done, ["id"], "began", "ended", "error")
     assert rows(out.select("id", "duration_seconds", "error")) == [(1, 8, None), (2, -1, "lock timeout"), (3, None, None)]
+
+
+def test_upsert_repeated_and_text_keys(make, rows):
+    target = make([("a", 1), ("b", 2)], "id string, v int")
+    changes = make([("a", 5, 1), ("a", 6, 2), ("", 7, 1), ("zz", 8, 1)], "id string, v int, at int")
+    assert rows(inc.upsert(target, changes, "id", order="at")) == [("", 7), ("a", 6), ("b", 2)]
+    with pytest.raises(Exception, match="several changes for id a"):
+        inc.upsert(target, changes, "id").collect()
+
+
+def test_rollup_unread_counts_late_and_tied(make, rows):
+    loads = make([(1, "k", 10), (1, "k", 20), (2, "k", 20), (2, "k", 5)], "load int, k string, t int")
+    first = inc.rollup_unread(loads.where("load = 1"), None, "load", ["k"], "t")
+    second = inc.rollup_unread(loads, loads.where("load = 1").select("load"), "load", ["k"], "t")
+    assert rows(first) == [("k", 20, 10, 2)] and rows(second) == [("k", 20, 5, 2)]

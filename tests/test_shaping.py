@@ -20,6 +20,12 @@ def test_dynamic_pivot_count_and_limit(make, rows):
         sh.dynamic_pivot(df, "TaskID", "KEY", "Value", max_columns=2)
 
 
+def test_pivot_text_is_whole(make):
+    df = make([("a" * 300, "c", "x" * 3000), ("a" * 300 + "b", "c", "y")], "k string, c string, v string")
+    got = {r.k: r.c for r in sh.dynamic_pivot(df, "k", "c", "v", as_text=True).collect()}
+    assert got == {"a" * 300: "x" * 3000, "a" * 300 + "b": "y"}
+
+
 def test_pivot_then_unpivot(make, rows):
     df = make([(i % 4, "abc"[i % 3], i) for i in range(40)], "k int, c string, v int")
     wide = sh.dynamic_pivot(df, "k", "c", "v", "sum")
