@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -27,24 +27,23 @@ def spine_over(df: DataFrame, moment: str, step: str = "1 day") -> DataFrame:
 
 
 def time_slots(spark: SparkSession, start: datetime | str, end: datetime | str, minutes: int = 15) -> DataFrame:
-    """Fixed-width slots from ``start`` to ``end`` inclusive: slot_id from 1, slot_time, week_day (Sunday 1)."""
-    first, last = (F.lit(str(x)).cast("timestamp_ntz") for x in (start, end))
-    return _number_slots(spark.range(1).select(F.sequence(first, last, F.expr(f"interval {minutes} minutes")).alias("s")))
+    """Fixed-width slots from ``start`` to ``end`` inclusive: slot_id from 1, slot_time, week_day (Sunday 1).
 
-
-def slots_over(df: DataFrame, moment: str, minutes: int = 15) -> DataFrame:
-    """Slots from midnight of a table's first day to midnight after its last."""
-    t = F.col(moment).cast("timestamp_ntz")
-    bounds = df.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).where("lo is not null")
-    first = F.col("lo").cast("date").cast("timestamp_ntz")
-    last = F.date_add(F.col("hi").cast("date"), 1).cast("timestamp_ntz")
-    return _number_slots(bounds.select(F.sequence(first, last, F.expr(f"interval {minutes} minutes")).alias("s")))
+    A range of numbers, so the axis is made in as many tasks as it needs.
+    """
+    first, last = (datetime.fromisoformat(str(x)) for x in (start, end))
+    slots = (last - first) // timedelta(minutes=minutes) + 1
+    at = F.lit(str(first)).cast("timestamp_ntz")
+    return spark.range(max(slots, 0)).withColumn("slot_time", F.timestamp_add("MINUTE", (F.col("id") * minutes).cast("int"), at)).select(
+        (F.col("id") + 1).cast("int").alias("slot_id"), "slot_time", F.dayofweek("slot_time").alias("week_day"))
 
 
-def _number_slots(df: DataFrame) -> DataFrame:
-    return df.select(F.posexplode("s").alias("p", "slot_time")).select(
-        (F.col("p") + 1).alias("slot_id"), "slot_time", F.dayofweek("slot_time").alias("week_day")
-    )
+def slots_over(df: DataFrame, moment: str, minutes: int = 15) -> DataFrame:
+    """Slots from midnight of a table's first day to midnight after its last; the two days reach the driver."""
+    day = F.col(moment).cast("timestamp_ntz").cast("date")
+    first, last = df.agg(F.min(day), F.date_add(F.max(day), 1)).first()
+    slots = time_slots(df.sparkSession, first or "2000-01-01", last or "2000-01-01", minutes)
+    return slots if first else slots.limit(0)
 
 
 def calendar(spark: SparkSession, start: date | str, end: date | str, holidays: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from setwise.operators.aggregates import group_concat
 from setwise.operators.ordered import ordered_rows
 
 
@@ -84,14 +85,18 @@ def high_water_mark(store: DataFrame, latest: str = "latest"):
 
 def capacity_snapshot(
     files: DataFrame, entity: str, kind: str, kinds: Mapping[str, str], size: str, used: str,
-    latest: DataFrame | None = None, per_unit: int = 128,
+    latest: DataFrame | None = None, per_unit: int = 128, also: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Per entity: size and free space by kind (pages over ``per_unit``), and columns of its latest row."""
+    """Per entity: size and free space by kind (pages over ``per_unit``), and columns of its latest row.
+
+    ``latest`` is another table by entity; what comes from the same rows is an aggregate in ``also``, in the same pass.
+    """
     total = lambda c, k: F.sum(F.when(F.col(kind) == k, F.col(c)))
     out = files.groupBy(entity).agg(
         *[(total(size, k) / per_unit).cast("decimal(20,4)").alias(f"{label}_size") for label, k in kinds.items()],
         *[((total(size, k) - total(used, k)) / per_unit).cast("decimal(20,4)").alias(f"{label}_free")
           for label, k in kinds.items()],
+        *[c.alias(name) for name, c in (also or {}).items()],
     )
     return out if latest is None else out.join(latest, entity, "left")
 
@@ -152,12 +157,14 @@ def update_from(target: DataFrame, source: DataFrame, key: str, columns: Mapping
 
 def restore_chain(
     backups: DataFrame, entity: str, kind: str, started: str, lsn: str, set_id: str, copy_only: Column,
-    full="D", diff="I", log="L",
+    full="D", diff="I", log="L", media: DataFrame | None = None, media_set: str = "media_set_id", device: str = "physical_device_name",
 ) -> DataFrame:
     """Per entity what to restore: newest full, newest later differential, then every log from there on.
 
     All entities at once: two reductions per entity, joined back to the rows.
-    Adds ``step`` 1 (full), 2 (differential), 3 (log).
+    Adds ``step`` 1 (full), 2 (differential), 3 (log). With ``media`` (media
+    set and device, joined by ``media_set``) also ``devices``: the set's device
+    names in order, as one text; NULL for a set without any.
     """
     rows = backups.withColumn("__copy", copy_only)
     newest = lambda cond: F.max_by(
@@ -174,4 +181,7 @@ def restore_chain(
         .when(F.col(set_id) == F.col("__diff")[set_id], 2)
         .when((F.col(kind) == log) & (F.col(lsn) >= from_lsn), 3)
     )
-    return joined.withColumn("step", step).where("step is not null").select(*backups.columns, "step")
+    chain = joined.withColumn("step", step).where("step is not null").select(*backups.columns, "step")
+    if media is None:
+        return chain
+    return chain.join(group_concat(media, [media_set], device, ", ", distinct=True, name="devices"), media_set, "left")

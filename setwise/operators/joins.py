@@ -6,9 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from setwise.functions.times import micros, slot_of
-
-_LEVELS = 44
+from setwise.functions.times import int_div, micros, slot_of
 
 
 def active_at(df: DataFrame, start: Column, end: Column, moment: Column, state: str | None = None, running=4) -> DataFrame:
@@ -28,20 +26,21 @@ def active_at_many(
 
     An interval goes to the one width, ``width_us`` doubled ``level`` times,
     that is at least its length: there it touches at most two buckets however
-    long it is. A probe goes to its bucket at each level that occurs. The
-    equality join on (level, bucket) can then split hot buckets at run time.
+    long it is. A probe goes to its bucket at each level that occurs, which a
+    narrow pass over the intervals finds. The equality join on (level, bucket)
+    can then split hot buckets at run time.
     """
     lo, hi = micros(start), micros(end)
     length = F.greatest(hi - lo, F.lit(0))
-    level = F.when(length <= width_us, F.lit(0)).otherwise(
-        F.ceil(F.log2(length / F.lit(float(width_us)))).cast("int"))
+    # Widths spanned, rounded up; the level is the number of bits of one less.
+    spans = int_div(length + (width_us - 1), width_us)
+    level = F.when(spans <= 1, F.lit(0)).otherwise(F.length(F.bin(spans - 1)))
     size = F.lit(width_us).cast("bigint") * F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__level"))
-    bucket = lambda t: F.floor(t / size).cast("bigint")
+    bucket = lambda t: int_div(t - F.pmod(t, size), size)
     left = intervals.where(F.col(start) <= F.col(end)).withColumn("__level", level).withColumn(
         "__bucket", F.explode(F.sequence(bucket(lo), bucket(hi))))
-    right = probes.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1)))).where(
-        F.lit(width_us) * F.pow(F.lit(2.0), F.col("__level")) < 2.0**62
-    ).withColumn("__bucket", bucket(micros(probe)))
+    levels = intervals.where(F.col(start) <= F.col(end)).agg(F.collect_set(level)).scalar()  # a few dozen at most
+    right = probes.withColumn("__level", F.explode(levels)).withColumn("__bucket", bucket(micros(probe)))
     inside = (F.col(probe) >= F.col(start)) & (F.col(probe) <= F.col(end))
     return left.join(right, ["__level", "__bucket"]).where(inside).drop("__level", "__bucket")
 

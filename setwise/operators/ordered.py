@@ -33,11 +33,13 @@ def ordered_rows(
     columns: ``running`` sums up to the current row, ``carried`` the last
     non-NULL value up to the current row, ``previous`` the value one row
     before. ``order`` must end in a tiebreak for a repeatable result.
+    ``slices`` fixes the number of slices, which else follows their size.
     """
     by, running, carried, previous = list(by), dict(running or {}), dict(carried or {}), dict(previous or {})
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sliced = df.repartitionByRange(n, *[F.col(k).asc() for k in by], *order).withColumn(
-        _SLICE, F.spark_partition_id())
+    keys = [*[F.col(k).asc() for k in by], *order]
+    # Without a number, AQE joins small slices by their size; the session's shuffle partitions are the most there can be.
+    ranged = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
+    sliced = ranged.withColumn(_SLICE, F.spark_partition_id())
     local = Window.partitionBy(_SLICE, *by).orderBy(*order)
     so_far = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Stored once: the slice a row falls into must not be drawn again when the

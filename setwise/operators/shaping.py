@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from setwise.functions.texts import pad_left, thousands, wildcard_regex
 from setwise.functions.times import elapsed_parts_text, int_div
@@ -64,6 +65,48 @@ def xml_nodes(df: DataFrame, xml: str, row_tag: str, fields: Mapping[str, str],
     )
 
 
+def xml_nodes_anywhere(df: DataFrame, xml: str, row_tag: str, fields: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
+    """One row per ``row_tag`` element at any depth, in document order, with typed fields.
+
+    ``fields`` maps child element names, or ``_name`` for attributes, to types;
+    a node without one gives NULL for it. Namespaces are resolved by the parser
+    and names compared without them; the text itself is never edited, so CDATA
+    and values that look like markup stay as they are. Text that is no XML has
+    no nodes. SQL has no way to index nodes, so a parser runs over Arrow batches.
+    """
+    names = list(fields)
+    kept = df.select(*keep).schema.fields
+    schema = StructType([*kept, *[StructField(f"__{i}", StringType()) for i in range(len(names))]])
+    n, out_names = len(kept), [f.name for f in schema]
+
+    def parse(batches):
+        from xml.etree import ElementTree
+
+        import pyarrow as pa
+
+        local = lambda name: name.rsplit("}", 1)[-1]
+        for batch in batches:
+            index, rows = [], []
+            for i, text in enumerate(batch.column(n).to_pylist()):
+                try:
+                    root = ElementTree.fromstring(text or "")
+                except ElementTree.ParseError:
+                    continue
+                for node in root.iter():
+                    if local(node.tag) == row_tag:
+                        found = {f"_{local(k)}": v for k, v in node.attrib.items()}
+                        for child in node:
+                            found.setdefault(local(child.tag), "".join(child.itertext()))
+                        index.append(i)
+                        rows.append([found.get(name) for name in names])
+            columns = [pa.array([r[j] for r in rows], pa.string()) for j in range(len(names))]
+            at = pa.array(index, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[:n]], *columns], names=out_names)
+
+    nodes = df.select(*keep, xml).mapInArrow(parse, schema)
+    return nodes.select(*keep, *[F.col(f"__{i}").cast(t).alias(name.lstrip("_")) for i, (name, t) in enumerate(fields.items())])
+
+
 def nested_counts(df: DataFrame, entity: str, group: str, item: str, name: str = "doc") -> DataFrame:
     """Per entity one document: groups in order, in each group its items with counts.
 

@@ -84,6 +84,20 @@ def xml_nodes(t: Tables):
     return out.select("c_custkey", "rank", F.coalesce(number("Balance"), F.lit(-999999.0)).alias("balance"))
 
 
+@query("xml_nodes_deep", sql="""
+SELECT o_orderkey, o_orderkey AS id, 'status <b xmlns="x">' || o_orderstatus || '</b> & more' AS body, NULL::DOUBLE AS price FROM orders
+UNION ALL SELECT o_orderkey, -1, o_orderpriority, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) FROM orders""")
+def xml_nodes_deep(t: Tables):
+    """Query nodes at two depths of a document with namespaces, one of them with CDATA that looks like markup."""
+    xml = F.concat(
+        F.lit('<r:Report xmlns:r="urn:example:report"><r:Sets><r:Set><r:Query r:id="'), F.col("o_orderkey").cast("string"),
+        F.lit('"><r:Body><![CDATA[status <b xmlns="x">'), F.col("o_orderstatus"), F.lit('</b> & more]]></r:Body></r:Query></r:Set></r:Sets><Query id="-1"><Body>'),
+        F.col("o_orderpriority"), F.lit("</Body><Price>"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("</Price></Query></r:Report>"))
+    rows = t.orders.select("o_orderkey", xml.alias("xml"))
+    out = sh.xml_nodes_anywhere(rows, "xml", "Query", {"_id": "bigint", "Body": "string", "Price": "decimal(18,2)"}, ["o_orderkey"])
+    return out.select("o_orderkey", "id", F.col("Body").alias("body"), number("Price", "price"))
+
+
 @query("xml_value", sql="SELECT c_custkey, c_name || ' & <co>' AS recipient, c_mktsegment AS segment FROM customer")
 def xml_value(t: Tables):
     """Values picked by the name beside them."""

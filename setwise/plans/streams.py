@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from setwise.functions.measures import money
 from setwise.operators import aggregates as ag
 from setwise.operators import alerts as al
 from setwise.plans.registry import day_text, number, query, time_text
 from setwise.session import scratch_path
+from setwise.sources import sinks
 from setwise.sources.tables import Tables, event_stream, literal_rows
 from setwise.streaming import jobs
 
@@ -22,8 +26,25 @@ RULES = [
 RULE_SCHEMA = "name string, message_id string, severity int, delay_seconds int"
 
 
-def event_source(t: Tables) -> DataFrame:
-    return event_stream(t.spark, t.folder, EVENTS, glob="events.parquet")
+# The times at which the events are cut into arrivals.
+ARRIVALS = (None, "2024-01-10", "2024-01-20", None)
+
+
+def in_arrivals(t: Tables, run: Callable[[DataFrame, str, str], StreamingQuery]) -> None:
+    """All events, landing in three parts; after each the same job runs until what is there is read.
+
+    The job gets the stream, its checkpoint and the folder. State, checkpoint
+    and output carry over from run to run, as they would from day to day.
+    """
+    landed, checkpoint = scratch_path(t.spark, "landed"), scratch_path(t.spark, "checkpoint")
+    for lo, hi in zip(ARRIVALS, ARRIVALS[1:]):
+        part = t.events
+        if lo:
+            part = part.where(F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
+        if hi:
+            part = part.where(F.col("ts") < F.lit(hi).cast("timestamp_ntz"))
+        sinks.append(part, landed)
+        run(event_stream(t.spark, landed, EVENTS), checkpoint, landed).awaitTermination()
 
 
 @query("stream_login_rollup", sql="""
@@ -32,7 +53,7 @@ SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour, event_
 def stream_login_rollup(t: Tables):
     """Hourly rollup from partials written by the stream."""
     target = scratch_path(t.spark, "login-rollup")
-    jobs.stream_rollup(event_source(t), target, scratch_path(t.spark, "checkpoint"), ["event_type"], "ts").awaitTermination()
+    in_arrivals(t, lambda source, checkpoint, _: jobs.stream_rollup(source, target, checkpoint, ["event_type"], "ts"))
     partials = t.spark.read.parquet(target)
     out = ag.merge_partials(partials, ["window_start", "event_type"], ["latest"], ["earliest"], ["n"])
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "event_type", time_text("latest", "latest"),
@@ -66,10 +87,8 @@ def alerts(t: Tables):
 
 @query("stream_alerts", sql=_ALERTS)
 def stream_alerts(t: Tables):
-    target = scratch_path(t.spark, "alerts")
-    jobs.stream_alerts(
-        event_source(t), rule_hits, target, scratch_path(t.spark, "alert-state"), scratch_path(t.spark, "checkpoint")
-    ).awaitTermination()
+    target, state = scratch_path(t.spark, "alerts"), scratch_path(t.spark, "alert-state")
+    in_arrivals(t, lambda source, checkpoint, _: jobs.stream_alerts(source, rule_hits, target, state, checkpoint))
     return t.spark.read.schema("rule string, us bigint, event_id bigint").parquet(target).select("rule", "us", "event_id")
 
 
@@ -79,11 +98,11 @@ WITH l AS (SELECT event_id, ROUND(value * 100)::BIGINT AS cents, event_type, LAG
 SELECT event_id, COALESCE(CASE WHEN event_type = pt AND cents >= p THEN cents - p END, -1) AS cents_delta FROM l""")
 def stream_delta(t: Tables):
     """Growth between consecutive events of a user, kept up by the stream."""
-    rows = event_source(t).select("event_id", "user_id", "ts", "event_type", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
-    target = scratch_path(t.spark, "delta")
-    jobs.stream_delta(
-        rows, target, scratch_path(t.spark, "delta-state"), scratch_path(t.spark, "checkpoint"), ["user_id"], "ts", ["cents"],
-        "event_type", ["event_id"]).awaitTermination()
+    cents = F.round(F.col("value") * 100).cast("bigint").alias("cents")
+    target, state = scratch_path(t.spark, "delta"), scratch_path(t.spark, "delta-state")
+    in_arrivals(t, lambda source, checkpoint, _: jobs.stream_delta(
+        source.select("event_id", "user_id", "ts", "event_type", cents), target, state, checkpoint, ["user_id"], "ts", ["cents"],
+        "event_type", ["event_id"]))
     return t.spark.read.parquet(target).select("event_id", F.coalesce("cents_delta", F.lit(-1)).alias("cents_delta"))
 
 
@@ -95,7 +114,7 @@ def day_summary(rows: DataFrame) -> DataFrame:
 SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY ALL""")
 def stream_daily_snapshot(t: Tables):
     target = scratch_path(t.spark, "daily")
-    jobs.stream_daily_snapshot(
-        event_source(t), lambda: t.events, target, scratch_path(t.spark, "checkpoint"), "ts", day_summary).awaitTermination()
+    in_arrivals(t, lambda source, checkpoint, landed: jobs.stream_daily_snapshot(
+        source, lambda: t.spark.read.schema(EVENTS).parquet(landed), target, checkpoint, "ts", day_summary))
     stored = t.spark.read.schema("event_type string, n bigint, value decimal(28,2), snapshot_date date").parquet(target)
     return stored.select(day_text("snapshot_date", "day"), "event_type", "n", number("value"))

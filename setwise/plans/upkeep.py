@@ -113,9 +113,10 @@ SELECT l_suppkey, ROUND(d / 128, 4) AS data_size, ROUND(l / 128, 4) AS log_size,
   strftime(m, '%Y-%m-%d') AS latest FROM s""")
 def capacity_snapshot(t: Tables):
     """Per supplier: size and free space by kind, and the latest date."""
-    latest = t.lineitem.groupBy("l_suppkey").agg(F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("latest"))
-    files = t.lineitem.select("l_suppkey", "l_linestatus", F.col("l_quantity").cast("bigint").alias("pages"), "l_linenumber")
-    out = inc.capacity_snapshot(files, "l_suppkey", "l_linestatus", {"data": "O", "log": "F"}, "pages", "l_linenumber", latest)
+    files = t.lineitem.select("l_suppkey", "l_linestatus", F.col("l_quantity").cast("bigint").alias("pages"), "l_linenumber", "l_shipdate")
+    out = inc.capacity_snapshot(
+        files, "l_suppkey", "l_linestatus", {"data": "O", "log": "F"}, "pages", "l_linenumber",
+        also={"latest": F.date_format(F.max("l_shipdate"), "yyyy-MM-dd")})
     return out.select("l_suppkey", *[number(c) for c in ("data_size", "log_size", "data_free", "log_free")], "latest")
 
 
@@ -253,6 +254,36 @@ def restore_chain(t: Tables):
     return out.select("o_custkey", "o_orderkey", "step")
 
 
+@query("restore_files", sql="""
+WITH f AS (SELECT o_custkey, o_orderdate AS fd, o_orderkey AS fk FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r
+  FROM orders WHERE o_orderstatus = 'F') WHERE r = 1),
+m AS (SELECT l_orderkey, string_agg('disk' || s, ', ' ORDER BY 'disk' || s) AS devices FROM (SELECT DISTINCT l_orderkey, l_suppkey AS s FROM lineitem) GROUP BY 1)
+SELECT f.o_custkey, fk AS o_orderkey, devices FROM f LEFT JOIN m ON l_orderkey = fk""")
+def restore_files(t: Tables):
+    """The newest full backup of each customer with the list of its devices."""
+    rows = t.orders.where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", F.col("o_orderkey").alias("lsn"))
+    media = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("disk"), F.col("l_suppkey").cast("string")).alias("device"))
+    out = inc.restore_chain(
+        rows, "o_custkey", "o_orderstatus", "o_orderdate", "lsn", "o_orderkey", F.lit(False), "F", "P", "O", media, "o_orderkey", "device")
+    return out.select("o_custkey", "o_orderkey", "devices")
+
+
+@query("work_log", sql="""
+SELECT o_orderkey, strftime(MIN(l_shipdate), '%Y-%m-%d') AS started, CASE WHEN o_orderstatus = 'P' THEN 'stopped' END AS error,
+  CASE WHEN MIN(l_shipdate) IS NULL THEN NULL WHEN o_orderstatus = 'P' THEN -1 ELSE (epoch(MAX(l_shipdate)) - epoch(MIN(l_shipdate)))::BIGINT END AS duration_seconds
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus
+HAVING o_orderstatus <> 'P' OR MIN(l_shipdate) IS NOT NULL""")
+def work_log(t: Tables):
+    """Orders as queued work: begun with the first shipment, done with the last, failed where partial, or not started."""
+    times = t.lineitem.groupBy("l_orderkey").agg(F.min("l_shipdate").alias("started"), F.max("l_shipdate").alias("finished"))
+    outcomes = times.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "o_orderkey", "started", "finished", F.when(F.col("o_orderstatus") == "P", "stopped").alias("error"))
+    queue = t.orders.select("o_orderkey", "o_orderstatus")
+    out = mt.work_log(queue, outcomes, ["o_orderkey"], "started", "finished", "error")
+    return out.where("o_orderstatus <> 'P' or started is not null").select(
+        "o_orderkey", day_text("started", "started"), "error", F.col("duration_seconds").cast("bigint").alias("duration_seconds"))
+
+
 @query("update_from", sql="""
 SELECT d.doc_id, lang, COALESCE(l.quality, -1) AS quality, COALESCE(l.toxic, 0) AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def update_from(t: Tables):
