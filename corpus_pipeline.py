@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from setwise.llm import bpe, decontaminate, minhash, pii, quality
-from setwise.llm.store import reachable, scratch
+from setwise.llm.store import prepare, scratch
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -24,7 +24,7 @@ class Shielded:
     """Documents under column names that no operator makes, and the way back."""
 
     def __init__(self, docs: DataFrame):
-        reachable(docs.sparkSession)
+        prepare(docs.sparkSession)
         self.names = docs.columns
         self.safe = {name: f"column_{i}_" for i, name in enumerate(self.names)}
         self.docs, self.columns = docs.toDF(*self.safe.values()), list(self.safe.values())
@@ -67,8 +67,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id with n_tokens, ids and starts (little-endian unsigned 32-bit integers) and whether decoding gives the text back."""
-    reachable(spark)
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), RANKS, keep=("doc_id", "text")), RANKS)
+    coded = bpe.encode(docs.select("doc_id", "text"), RANKS, keep=("doc_id", "text"), decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return coded.select("doc_id", "n_tokens", "ids", "starts", F.sha2("ids", 256).alias("ids_sha256"), same.alias("decodes"))
 

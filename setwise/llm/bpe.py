@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from setwise.llm.texts import add_from_text
 
-CACHE_ENTRIES, CACHE_PIECE = 600_000, 64  # pieces longer than so many bytes are merged anew
+CACHE_ENTRIES, CACHE_PIECE = 300_000, 64  # pieces longer than so many bytes are merged anew
 
 # Code points that count as white space.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -217,14 +217,21 @@ def _ranks_of(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(read_ranks(path))
 
 
-def encode(docs: DataFrame, ranks: str, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+def decode_ids(packed: Sequence[bytes | None], tokens: dict[int, bytes]) -> list[bytes]:
+    return [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in packed]
+
+
+def encode(
+    docs: DataFrame, ranks: str, keep: Sequence[str] = ("doc_id",), text: str = "text", decoded: str | None = None,
+) -> DataFrame:
     """``keep`` columns with n_tokens, ids and starts of every whole text.
 
     ``ids`` are little-endian unsigned 32-bit integers; ``starts`` in the same
     form give the byte of the text at which each token begins, so any range of
-    tokens can be decoded to a place in the text. NULL and empty texts have no
-    tokens. Texts of any length are encoded whole. ``keep`` must not have the
-    new names.
+    tokens can be decoded to a place in the text. With ``decoded`` a column of
+    that name holds what the ids decode to, found in the same pass. NULL and
+    empty texts have no tokens. Texts of any length are encoded whole. ``keep``
+    must not have the new names.
     """
     shared = _ranks_of(docs.sparkSession, ranks)
 
@@ -240,11 +247,14 @@ def encode(docs: DataFrame, ranks: str, keep: Sequence[str] = ("doc_id",), text:
             for x in ids:
                 long = np.cumsum(size[np.frombuffer(x, "<u4")])
                 starts.append(np.concatenate([[0], long[:-1]]).astype("<u4").tobytes() if len(long) else b"")
-            return [len(x) // 4 for x in ids], pa.array(ids, pa.binary()), pa.array(starts, pa.binary())
+            out = [[len(x) // 4 for x in ids], pa.array(ids, pa.binary()), pa.array(starts, pa.binary())]
+            return [*out, pa.array(decode_ids(ids, tokens), pa.binary())] if decoded else out
 
+        tokens = {i: token for token, i in shared.value.items()} if decoded else {}
         return run
 
-    return add_from_text(docs, work, "n_tokens bigint, ids binary, starts binary", keep, text, 1_000_000)
+    fields = "n_tokens bigint, ids binary, starts binary" + (f", `{decoded}` binary" if decoded else "")
+    return add_from_text(docs, work, fields, keep, text, 1_000_000)
 
 
 def decode(encoded: DataFrame, ranks: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -255,7 +265,7 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids", into: str = "decode
         tokens = {i: token for token, i in shared.value.items()}
 
         def run(packed):
-            return [pa.array([b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in packed], pa.binary())]
+            return [pa.array(decode_ids(packed, tokens), pa.binary())]
 
         return run
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from setwise.llm.store import scratch
+from setwise.llm.store import prepare, scratch
 from setwise.llm.texts import parts_of, plain_words
 
 WINDOW = 13
@@ -85,7 +85,7 @@ def find_contamination(
     id count once; items without an id are left out. An empty benchmark leaves
     every document clean. Columns of ``keep`` must not have the new names.
     """
-    spark, keep = docs.sparkSession, list(keep)
+    spark, keep = prepare(docs.sparkSession), list(keep)
     wanted = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("body")).where("item is not null and body is not null")
     size = wanted.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))

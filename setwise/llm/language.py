@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from setwise.llm.store import prepare
 from setwise.llm.texts import add_from_text, parts_of
 
 SLOTS = 1 << 14
@@ -119,6 +120,7 @@ class Model:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Counts of all rows with a text and a language; the table that reaches the driver has a fixed bound."""
+    prepare(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     names = sorted(r[0] for r in known.select(lang).distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(names) > MOST_LANGUAGES:

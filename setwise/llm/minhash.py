@@ -35,6 +35,8 @@ WORDS = -(-BANDS * ROWS * BITS // 64)
 # An estimate this far below the threshold (six standard deviations) is no link.
 MARGIN = 0.18
 CELL = 250_000
+# Most words a worker remembers the hashes of.
+HASHES = 200_000
 
 _random = np.random.default_rng(20_231)
 MULTIPLY = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,7 +48,7 @@ class WordHashes(dict):
     """Word -> 64-bit hash, forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= HASHES:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from setwise.llm import bpe, decontaminate, language, licenses, minhash, pii, quality, sharding, substrings, toxicity
-from setwise.llm.store import reachable
+from setwise.llm.store import prepare
 from setwise.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +23,7 @@ PLAIN_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 def query(name: str, sql: str | None = None):
     def register(fn: Callable[[SparkSession, Callable[[str], DataFrame]], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(configure(reachable(spark)), lambda table: spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet"))
+            return fn(configure(prepare(spark)), lambda table: spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet"))
 
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
@@ -155,7 +155,7 @@ def op9(spark, read):
 @query("op10_byte_bpe")
 def op10(spark, read):
     """Token ids of every text, and the bytes they decode to."""
-    coded = bpe.decode(bpe.encode(read("documents"), RANKS), RANKS)
+    coded = bpe.encode(read("documents"), RANKS, decoded="decoded")
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -8,8 +8,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def reachable(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where it stands, if nothing else tells them where."""
+# Most rows of an Arrow batch: a batch is held whole, and texts may be long.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Bound Arrow batches of this session, and let Python workers import this package from where it stands."""
+    if not 0 < int(spark.conf.get(*map(str, ARROW_ROWS))) <= ARROW_ROWS[1]:
+        spark.conf.set(*ARROW_ROWS)
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark
 
@@ -18,7 +24,7 @@ class Scratch:
     """A folder of its own under ``spark.checkpoint.dir`` (or the warehouse where that is unset)."""
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark = prepare(spark)
         root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
         self.folder = f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
         self._held: list[tuple[DataFrame, str]] = []

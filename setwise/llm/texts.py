@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from setwise.llm.store import prepare
+
 # Texts are handed to a function in parts of about so many characters, so that
 # a task's memory does not depend on how many rows an Arrow batch holds.
 PART_CHARS = 4_000_000
@@ -60,6 +62,7 @@ def add_from_text(
     ``work`` is called once a task and returns the function: from a list of
     texts to one list (or Arrow array) per field of ``fields``.
     """
+    prepare(df.sparkSession)
     kept = df.select(*[f"`{c}`" for c in keep]).schema
     added = StructType.fromDDL(fields)
     schema = StructType(kept.fields + added.fields)
