@@ -213,8 +213,8 @@ def near_duplicates(
     members = hold.table(members.select("bucket", "key").distinct().join(one, "key"), "members-described")
     texts = hold.table(named.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "texts")
 
-    middle = members.groupBy("bucket").agg(F.max_by(
-        F.struct("key", "n", "bits"), F.struct("weight", "key")).alias("a"))
+    middle = hold.table(members.groupBy("bucket").agg(F.max_by(
+        F.struct("key", "n", "bits"), F.struct("weight", "key")).alias("a")), "middles")
     stars = members.select("bucket", F.struct("key", "n", "bits").alias("b")).join(middle, "bucket").where(
         (F.col("a.key") != F.col("b.key")) & _likely("a", "b", percent))
     tried = hold.table(stars.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct(), "tried")
@@ -227,9 +227,10 @@ def near_duplicates(
         "middle", "key", "component", "n", "bits").dropDuplicates(["middle", "key"])
     around = hold.table(around, "around")
     parts = around.groupBy("middle", "component").agg(F.count("*").alias("n_part"))
-    several = parts.groupBy("middle").agg(
+    # Stored, so that AQE may split a crowded middle in the join below.
+    several = hold.table(parts.groupBy("middle").agg(
         F.count("*").alias("n_parts"), F.sum("n_part").alias("n_all"), (F.sum("n_part") - F.max("n_part")).alias("n_left"),
-        F.max_by("component", F.struct("n_part", "component")).alias("most")).where("n_parts > 1")
+        F.max_by("component", F.struct("n_part", "component")).alias("most")).where("n_parts > 1"), "crowded")
     open_ones = around.join(several, "middle")
     small = hold.table(_small_sets(texts.join(open_ones.select("key").distinct(), "key", "left_semi"), k), "small-sets")
     more = _across(open_ones.join(small, "key").select(
