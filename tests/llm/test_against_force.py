@@ -226,7 +226,7 @@ def test_suffix_array_repeats():
 
 
 def test_folding_and_exceptions():
-    assert toxicity.fold("Ídi0t m0ron сlоwn 2024 c1own") == "idiot moron clown 2024 clown"
+    assert toxicity.fold("Ídi0t m0ron сlоwn 2024 cl0wn") == "idiot moron clown 2024 clown"
     lexicon = toxicity.Lexicon({("clown", True): 3.0, ("mor", False): 2.0}, frozenset({("clown", "fish")}), (0.0, 1.0, 1.0))
     a = lexicon.automaton()
     assert [h[2] for h in toxicity.hits(toxicity.fold("A clown, a clown fish, clowning m0rons"), a, lexicon.exceptions)] == [3.0, 2.0]
