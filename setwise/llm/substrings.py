@@ -11,7 +11,9 @@ Suffixes are partitioned by prefixes of variable length. An anchor's sequence
 is the prefix of a group that fits in memory; where too many suffixes share
 it, the prefix is lengthened to the whole window, and a group is then a single
 node of depth SPAN of which only the smallest document is needed. Suffixes
-with the same words on both sides are one leaf, counted before the shuffle.
+with the same words on both sides are one leaf, counted before the shuffle. A
+leaf is represented by one suffix of its smallest document; what is found for
+it holds at every place where that document has the leaf.
 
 In a memory-sized group two trees are grown level by level, one over the words
 after the anchor and one over the words before it. A node of depth a in the
@@ -62,6 +64,13 @@ class Sequences:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+def choices(grams: np.ndarray) -> np.ndarray:
+    """The position that the window at each position chooses: the first one with its least hash."""
+    windows = np.lib.stride_tricks.sliding_window_view(grams, BEFORE + 1)
+    parts = np.array_split(np.arange(len(windows)), 1 + len(windows) // 20_000)
+    return np.concatenate([part + windows[part].argmin(1) for part in parts])
+
+
 def anchors_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, hash of the GRAM words there, hash of all words that windows with the anchor may have)."""
     n = len(words)
@@ -70,9 +79,7 @@ def anchors_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     seq = Sequences(words)
     at = np.arange(n - GRAM + 1)
     grams = seq.between(at, at + GRAM)
-    windows = np.lib.stride_tricks.sliding_window_view(grams, BEFORE + 1)
-    chosen = np.unique(np.concatenate([
-        part + windows[part].argmin(1) for part in np.array_split(np.arange(len(windows)), 1 + len(windows) // 20_000)]))
+    chosen = np.unique(choices(grams))
     first, last = np.maximum(chosen - BEFORE, 0), np.minimum(chosen + SPAN, n)
     whole = mixed(seq.between(first, last) + (chosen - first).astype(np.uint64) * STEP)
     return chosen, grams[chosen], whole
@@ -83,21 +90,22 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _describe(named: DataFrame) -> DataFrame:
-    """One row per anchor: key, at, prefix, whole, size (words of the document)."""
-    schema = widened(named, "at int, prefix bigint, whole bigint, size int")
+    """One row per anchor: key, mark, at, prefix, whole, size (words of the document)."""
+    schema = widened(named, "mark bigint, at int, prefix bigint, whole bigint, size int")
 
     def run(batches):
         for batch in batches:
             for part in parts_of(batch, 1):
-                keys, made = part.column(0), [[], [], [], [], []]
+                keys, marks, made = part.column(0), part.column(2), [[], [], [], [], []]
                 for i, text in enumerate(part.column(1).to_pylist()):
                     words = space_words(text)
                     at, gram, whole = anchors_of(words)
                     for column, x in zip(made, (np.full(len(at), i), at, gram, whole, np.full(len(at), len(words))), strict=True):
                         column.append(x)
                 row, at, gram, whole, size = (np.concatenate(x) for x in made)
+                row = pa.array(row.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([
-                    keys.take(pa.array(row.astype(np.int64))), pa.array(at.astype(np.int32)), _signed(gram.astype(np.uint64)),
+                    keys.take(row), marks.take(row), pa.array(at.astype(np.int32)), _signed(gram.astype(np.uint64)),
                     _signed(whole.astype(np.uint64)), pa.array(size.astype(np.int32))], names=schema.names)
 
     return named.where("key IS NOT NULL").mapInArrow(run, schema)
@@ -105,8 +113,8 @@ def _describe(named: DataFrame) -> DataFrame:
 
 def _contexts(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From (key, body, spots): the words around an anchor, and windows by the hash of all their words."""
-    around_schema = widened(wanted, "prefix bigint, at int, before int, around binary")
-    window_schema = widened(wanted, "window bigint, window2 bigint, at int")
+    around_schema = widened(wanted, "prefix bigint, whole bigint, before int, around binary")
+    window_schema = widened(wanted, "prefix bigint, whole bigint, window bigint, window2 bigint, ahead int")
 
     def around(batches):
         for batch in batches:
@@ -119,9 +127,9 @@ def _contexts(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
                         if not s["long"] and at < len(words):
                             first = max(at - BEFORE, 0)
                             index.append(i)
-                            rows.append((s["prefix"], at, at - first, b" ".join(words[first : at + SPAN])))
+                            rows.append((s["prefix"], s["whole"], at - first, b" ".join(words[first : at + SPAN])))
                 if rows:
-                    columns = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
+                    columns = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(index)), *columns], names=around_schema.names)
 
     def windows(batches):
@@ -129,15 +137,18 @@ def _contexts(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
             for part in parts_of(batch, 1):
                 for i, (text, spots) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     words = space_words(text)
-                    starts = np.unique(np.array([
-                        p for s in spots if s["long"] for p in range(max(s["at"] - BEFORE, 0), min(s["at"], len(words) - SPAN) + 1)], np.int64))
-                    if len(starts):
-                        seq = Sequences(words)
-                        one = seq.between(starts, starts + SPAN)
-                        two = seq.between(starts, starts + SPAN // 2)
-                        yield pa.RecordBatch.from_arrays([
-                            part.column(0).take(pa.array(np.full(len(starts), i))), _signed(one), _signed(two),
-                            pa.array(starts.astype(np.int32))], names=window_schema.names)
+                    seq, at = Sequences(words), np.arange(len(words) - GRAM + 1)
+                    long = {s["at"]: s for s in spots if s["long"]}
+                    # Equal windows choose equal anchors: a window is looked up at the one it chooses.
+                    chosen = choices(seq.between(at, at + GRAM))
+                    starts = np.flatnonzero(np.isin(chosen, np.fromiter(long, np.int64)))
+                    chosen = chosen[starts]
+                    one = seq.between(starts, starts + SPAN)
+                    two = seq.between(starts, starts + SPAN // 2)
+                    yield pa.RecordBatch.from_arrays([
+                        part.column(0).take(pa.array(np.full(len(starts), i))),
+                        *[pa.array([long[c][f] for c in chosen.tolist()], pa.int64()) for f in ("prefix", "whole")],
+                        _signed(one), _signed(two), pa.array((chosen - starts).astype(np.int32))], names=window_schema.names)
 
     return wanted.where("exists(spots, s -> NOT s.long)").mapInArrow(around, around_schema), wanted.where(
         "exists(spots, s -> s.long)").mapInArrow(windows, window_schema)
@@ -185,8 +196,8 @@ def repeats_of(prefix: np.ndarray, rank: np.ndarray, before: np.ndarray, around:
 
 
 def _trees(contexts: DataFrame) -> DataFrame:
-    """(key, start, end) of the words to remove, from suffixes sorted by prefix; whole groups are worked on together."""
-    schema = widened(contexts, "start int, end int")
+    """(key, prefix, whole, low, high): first and last offset of repeated windows, from suffixes sorted by prefix; whole groups are worked on together."""
+    schema = widened(contexts, "prefix bigint, whole bigint, low int, high int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -194,12 +205,11 @@ def _trees(contexts: DataFrame) -> DataFrame:
         def work(table: pa.Table) -> pa.RecordBatch:
             keys = table.column("key").combine_chunks()
             order = pc.rank(keys, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
-            at = table.column("at").to_numpy()
-            found, low, high = repeats_of(
-                table.column("prefix").to_numpy(), order, table.column("before").to_numpy(), table.column("around").to_pylist())
+            prefix, whole = table.column("prefix").to_numpy(), table.column("whole").to_numpy()
+            found, low, high = repeats_of(prefix, order, table.column("before").to_numpy(), table.column("around").to_pylist())
             return pa.RecordBatch.from_arrays([
-                keys.take(pa.array(found)), pa.array((at[found] - high).astype(np.int32)),
-                pa.array((at[found] - low + SPAN).astype(np.int32))], names=schema.names)
+                keys.take(pa.array(found)), pa.array(prefix[found]), pa.array(whole[found]),
+                pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=schema.names)
 
         for batch in batches:
             held.append(batch)
@@ -220,31 +230,35 @@ def _trees(contexts: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """(key, start, end): words of windows that a document with a smaller key has as well; spans may overlap."""
     hold = scratch(docs.sparkSession)
-    named = docs.select(F.col(key).alias("key"), F.col(text).alias("body"))
+    # The mark tells rows that repeat a key apart, as a position is one of its own row's words.
+    named = docs.select(F.col(key).alias("key"), F.col(text).alias("body"), F.xxhash64(text).alias("mark"))
     anchors = hold.table(_describe(named), "anchors")
     leaves = anchors.groupBy("prefix", "whole").agg(
-        F.min("key").alias("least"), F.max("key").alias("most"), F.min_by("at", "key").alias("at"))
-    leaves = hold.table(leaves, "leaves")
+        F.min("key").alias("least"), F.max("key").alias("most"), F.min_by(F.struct("at", "mark"), "key").alias("first"))
+    leaves = hold.table(leaves.select("prefix", "whole", "least", "most", "first.*"), "leaves")
 
     # The same words on both sides in a smaller document: all windows with the anchor are repeats.
-    twins = leaves.where("least < most").select("prefix", "whole", "least")
-    alike = anchors.join(twins, ["prefix", "whole"]).where("key > least").select(
-        "key", F.greatest(F.col("at") - BEFORE, F.lit(0)).alias("start"),
-        (F.least(F.col("at"), F.col("size") - SPAN) + SPAN).alias("end"))
+    twins = leaves.where("least < most").select("prefix", "whole", "least", F.lit(0).alias("low"), F.lit(BEFORE).alias("high"), F.lit(True).alias("twin"))
 
     # Different words around one prefix, in different documents: these suffixes go to the trees.
     nodes = leaves.groupBy("prefix").agg(F.count("*").alias("n"), F.min("least").alias("low"), F.max("most").alias("high")).where(
         "n > 1 AND low < high").select("prefix", (F.col("n") > group).alias("long"))
-    spots = leaves.join(nodes, "prefix").groupBy(F.col("least").alias("key")).agg(F.collect_list(F.struct("prefix", "at", "long")).alias("spots"))
-    wanted = hold.table(named.join(spots, "key").select("key", "body", "spots"), "wanted")
+    spots = leaves.join(nodes, "prefix").groupBy(F.col("least").alias("key"), "mark").agg(
+        F.collect_list(F.struct("prefix", "whole", "at", "long")).alias("spots"))
+    wanted = hold.table(named.join(spots, ["key", "mark"]).select("key", "body", "spots"), "wanted")
     around, windows = _contexts(wanted)
     found = _trees(around)
 
     windows = hold.table(windows, "windows")
     least = windows.groupBy("window", "window2").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
-    single = windows.join(least, ["window", "window2"]).where("key > least").select(
-        "key", F.col("at").alias("start"), (F.col("at") + SPAN).alias("end"))
-    return alike.union(found).union(single).withColumns({"start": F.col("start").cast("int"), "end": F.col("end").cast("int")})
+    single = windows.join(least, ["window", "window2"]).where("key > least").groupBy("key", "prefix", "whole").agg(
+        F.min("ahead").alias("low"), F.max("ahead").alias("high"))
+
+    # A leaf's smallest document loses what was found for it at every place where it has the leaf, the others all windows with it.
+    shown = found.union(single).select("prefix", "whole", F.col("key").alias("least"), "low", "high", F.lit(False).alias("twin"))
+    return anchors.join(twins.union(shown), ["prefix", "whole"]).where("CASE WHEN twin THEN key > least ELSE key = least END").select(
+        "key", F.greatest(F.col("at") - F.col("high"), F.lit(0)).cast("int").alias("start"),
+        (F.least(F.col("at") - F.col("low"), F.col("size") - SPAN) + SPAN).cast("int").alias("end"))
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
