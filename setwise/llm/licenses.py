@@ -1,11 +1,12 @@
-"""License scan: an exact set-similarity join of text lines with license templates, in DataFrame operations only.
-
-A line matches a template when it holds ``threshold`` of the template's
-distinct words. Template words are ordered by the number of documents that
-hold them, rarest first. A line that matches must hold one of the first
-|T| - a + 1 words of the template (a: words needed), must have a words at all,
-and at the first word in common must have enough words left in that order;
-what remains is counted exactly.
+"""License scan: an exact set-similarity join of text windows with license templates, in DataFrame operations only.
+
+A window is a run of consecutive words of the whole text, wherever its lines
+end, at most ``STRETCH`` times as long as the template. It matches when it holds
+``threshold`` of the template's distinct words. Template words are ordered by
+the number of documents that hold them, rarest first. A window that matches must
+hold one of the first |T| - a + 1 words of the template (a: words needed), so
+only words near one of those are looked at; every window that ends in one of
+the template's words is then counted exactly.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from setwise.llm.store import scratch
 from setwise.llm.texts import LETTERS
 
 THRESHOLD = 0.85
+STRETCH = 2  # words of a window for each word of the template
 
 # The phrases of the base scan and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -60,11 +62,11 @@ def _words_array(words: Sequence[str]) -> Column:
 
 def scan_licenses(
     docs: DataFrame, key: str = "doc_id", text: str = "text", templates: Mapping[str, str] = TEMPLATES,
-    phrases: Mapping[str, str] = PHRASES, threshold: float = THRESHOLD,
+    phrases: Mapping[str, str] = PHRASES, threshold: float = THRESHOLD, stretch: int = STRETCH,
 ) -> DataFrame:
     """One row per document: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    ``score`` is the largest share of a template's words in a line that meets
+    ``score`` is the largest share of a template's words in a window that meets
     the threshold, else 0. NULL and empty texts have no words, no labels and
     score 0. Repeated rows each get their row. Templates and phrases are
     parameters of fixed size; what is broadcast follows from them alone.
@@ -72,6 +74,7 @@ def scan_licenses(
     spark, hold = docs.sparkSession, scratch(docs.sparkSession)
     sets = {name: list(dict.fromkeys(t.split())) for name, t in templates.items()}
     needed = {name: math.ceil(threshold * len(words) - 1e-9) for name, words in sets.items()}
+    widths = {name: stretch * len(t.split()) for name, t in templates.items()}
     vocabulary = sorted({w for words in sets.values() for w in words})
 
     starts = {label: phrase_starts("words", phrase.split()) for phrase, label in phrases.items()}
@@ -82,9 +85,9 @@ def scan_licenses(
         F.array_intersect("words", _words_array(vocabulary)).alias("known"))
     places = F.concat(*[F.col(f"at_{i}") for i in range(len(starts))])
     # Only a document that has enough words of some template keeps its text.
-    possible = [F.size(F.array_intersect("known", _words_array(w))) >= needed[name] for name, w in sets.items()]
-    any_of = possible[0]
-    for p in possible[1:]:
+    possible = {name: F.size(F.array_intersect("known", _words_array(w))) >= needed[name] for name, w in sets.items()}
+    any_of = F.lit(False)
+    for p in possible.values():
         any_of = any_of | p
     first = hold.table(base.select(
         F.monotonically_increasing_id().alias("row"), "key", "n_words", F.size(places).cast("bigint").alias("n_base"),
@@ -98,23 +101,24 @@ def scan_licenses(
     order = hold.table(spark.range(1).select(words).join(held, "word", "left").select(
         "word", F.row_number().over(Window.orderBy(F.coalesce("held", F.lit(0)), "word")).alias("rank")), "order")
     rows = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("template"), _words_array(w).alias("words"), F.lit(len(w)).alias("size"), F.lit(needed[n]).alias("needed"))
+        F.struct(F.lit(n).alias("template"), _words_array(w).alias("words"), F.lit(len(w)).alias("size"),
+                 F.lit(needed[n]).alias("needed"), F.lit(widths[n]).alias("width"))
         for n, w in sets.items()])).alias("t")
-    template_words = spark.range(1).select(rows).select("t.*").select("template", "size", "needed", F.explode("words").alias("word")).join(
+    template_words = spark.range(1).select(rows).select("t.*").select("template", "size", "needed", "width", F.explode("words").alias("word")).join(
         F.broadcast(order), "word").withColumn("t_at", F.row_number().over(Window.partitionBy("template").orderBy("rank")))
-    prefixes = template_words.where("t_at <= size - needed + 1")
-
-    lines = first.where("body IS NOT NULL").select("row", F.posexplode(F.split("body", "\n")).alias("line", "body")).select(
-        "row", "line", F.array_distinct(plain_words(F.col("body"))).alias("set"))
-    tokens = lines.select("row", "line", F.explode(F.array_intersect("set", _words_array(vocabulary))).alias("word")).join(F.broadcast(order), "word")
-    line = Window.partitionBy("row", "line")
-    tokens = hold.table(tokens.select(
-        "row", "line", "word", F.row_number().over(line.orderBy("rank")).alias("l_at"), F.count("*").over(line).alias("l_size")), "tokens")
-    left = F.least(F.col("size") - F.col("t_at"), F.col("l_size") - F.col("l_at")) + 1
-    candidates = tokens.join(F.broadcast(prefixes), "word").where(
-        (F.col("l_size") >= F.col("needed")) & (left >= F.col("needed"))).select("row", "line", "template").distinct()
-    both = candidates.join(tokens, ["row", "line"]).join(F.broadcast(template_words), ["template", "word"])
-    matches = both.groupBy("row", "line", "template", "size", "needed").agg(F.count("*").alias("shared")).where("shared >= needed")
+    template_words = template_words.withColumn("rare", F.col("t_at") <= F.col("size") - F.col("needed") + 1)
+
+    # Positions of a template's words, in cells as long as its windows.
+    maybe = F.array(*[F.when(p, name) for name, p in possible.items()]).alias("possible")
+    read = first.where("body IS NOT NULL").select("row", maybe, F.posexplode(plain_words(F.col("body"))).alias("at", "word"))
+    tokens = hold.table(read.join(F.broadcast(template_words), "word").where("array_contains(possible, template)").select(
+        "row", "template", "size", "needed", "width", "at", "word", "rare", F.expr("at div width").alias("cell")), "tokens")
+    # A window with a rare word lies in that word's cell and the two beside it.
+    cells = tokens.where("rare").select("row", "template", F.explode(F.expr("array(cell - 1, cell, cell + 1)")).alias("cell")).distinct()
+    near = tokens.join(cells, ["row", "template", "cell"], "left_semi")
+    before = Window.partitionBy("row", "template").orderBy("at").rangeBetween(1 - max(widths.values()), 0)
+    shared = F.expr("size(array_distinct(transform(filter(seen, x -> x.at > at - width), x -> x.word)))")
+    matches = near.withColumn("seen", F.collect_list(F.struct("at", "word")).over(before)).withColumn("shared", shared).where("shared >= needed")
     found = matches.groupBy("row").agg(
         F.collect_set("template").alias("templates"), F.max(F.col("shared") / F.col("size")).alias("best"))
     none = F.array().cast("array<string>")
