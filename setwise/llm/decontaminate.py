@@ -33,7 +33,7 @@ BLOCK_BYTES = 16_000_000
 class WordSearch:
     """Wu-Manber tables for patterns of one length (a list of words each)."""
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], list[str]]):
+    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], list[str | None]]):
         self.length, self.step = length, min(2, length)
         self.far = length - self.step + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
@@ -65,8 +65,8 @@ def item_windows(words: list[bytes], window: int = WINDOW) -> set[tuple[bytes, .
     return {tuple(words[i : i + window]) for i in range(max(len(words) - window, 0) + 1)} if words else set()
 
 
-def searches(items: list[tuple[str, str]], window: int = WINDOW) -> list[WordSearch]:
-    by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
+def searches(items: list[tuple[str | None, str]], window: int = WINDOW) -> list[WordSearch]:
+    by_length: dict[int, dict[tuple[bytes, ...], list[str | None]]] = defaultdict(lambda: defaultdict(list))
     for item, text in items:
         for w in item_windows(plain_words(text), window):
             by_length[len(w)][w].append(item)
@@ -82,11 +82,12 @@ def find_contamination(
     ``hit`` words lie inside an occurrence of an item window; a document is
     contaminated when ``percent`` of its words or more are hit. NULL and empty
     texts (of either table) have no words and no windows; items that repeat an
-    id count once; items without an id are left out. An empty benchmark leaves
+    id count once; items without an id hit as others do, count as one in
+    ``n_items`` and are not in ``items``. An empty benchmark leaves
     every document clean. Columns of ``keep`` must not have the new names.
     """
     spark, keep = prepare(docs.sparkSession), list(keep)
-    wanted = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("body")).where("item is not null and body is not null")
+    wanted = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("body")).where("body is not null")
     size = wanted.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     found = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"),
@@ -99,7 +100,7 @@ def find_contamination(
             found = scratch(spark).table(found.select(*keep, "__text", "__spans", "__items"), "decontaminate")
         found = _search(found, shared, keep, window)
     return found.select(
-        *keep, F.col("__items").alias("items"), "n_words", "n_hit", F.size("__items").cast("bigint").alias("n_items"), "items_sha256",
+        *keep, F.array_compact("__items").alias("items"), "n_words", "n_hit", F.size("__items").cast("bigint").alias("n_items"), "items_sha256",
         ((F.col("n_hit") > 0) & (F.col("n_hit") * F.lit(100) >= F.col("n_words") * F.lit(percent))).alias("contaminated"))
 
 
@@ -118,7 +119,7 @@ def _search(found: DataFrame, shared, keep: list[str], window: int) -> DataFrame
     return found.mapInArrow(run, schema)
 
 
-def _hits(tables: list[WordSearch], text: str | None, spans: list[int], items: list[str]):
+def _hits(tables: list[WordSearch], text: str | None, spans: list[int], items: list[str | None]):
     words, spans, items = plain_words(text), list(spans), set(items)
     for table in tables:
         for start, owners in table.find(words):
@@ -128,5 +129,6 @@ def _hits(tables: list[WordSearch], text: str | None, spans: list[int], items: l
     at = np.asarray(spans, np.int64).reshape(-1, 2)
     np.add.at(edges, at[:, 0], 1)
     np.subtract.at(edges, at[:, 1], 1)
-    found = sorted(items)
-    return spans, found, len(words), int((np.cumsum(edges[:-1]) > 0).sum()), hashlib.sha256(",".join(found).encode()).hexdigest()
+    named = sorted(i for i in items if i is not None)
+    found = [*named, None] if None in items else named
+    return spans, found, len(words), int((np.cumsum(edges[:-1]) > 0).sum()), hashlib.sha256(",".join(named).encode()).hexdigest()
