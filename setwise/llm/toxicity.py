@@ -27,7 +27,7 @@ from setwise.llm.store import scratch
 from setwise.llm.texts import add_from_text
 
 SAMPLE = 20_000  # most labelled rows to learn from
-ENTRIES = 3_000  # most lexicon entries
+ENTRIES = 3_000  # most exceptions
 STEMS = range(4, 9)  # lengths of word beginnings that may be entries
 SUPPORT, ODDS, SIGMAS = 3, 2.0, 3.5  # an entry's least toxic documents, log odds and standard deviations
 
@@ -190,7 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     found = counted.where(F.col("bad") >= SUPPORT).select("entry", "whole", "bad", odds.alias("weight"), (odds / error).alias("sigmas"))
-    top = found.where((F.col("weight") >= ODDS) & (F.col("sigmas") >= SIGMAS)).orderBy(F.desc("sigmas"), "entry", "whole").limit(ENTRIES).collect()
+    # As many as the sample's words allow, no more.
+    top = found.where((F.col("weight") >= ODDS) & (F.col("sigmas") >= SIGMAS)).orderBy(F.desc("sigmas"), "entry", "whole").collect()
     # A beginning that hardly occurs outside one longer entry says no more than that entry.
     longest: dict[str, int] = {}
     for r in top:
