@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from setwise.llm import bpe, decontaminate, language, licenses, minhash, pii, quality, sharding, substrings, toxicity
+from setwise.llm import bpe, decontaminate, language, licenses, merkle, minhash, pii, quality, sharding, substrings, toxicity
 from setwise.llm.store import prepare
 from setwise.session import configure
 
@@ -40,10 +40,13 @@ def op2(spark, read):
     return pii.find_personal(read("documents"))
 
 
-@query("op3_interleave", rf"""
-WITH crc AS (
+CRC_TABLE = """crc AS (
   SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
-    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"""
+
+
+@query("op3_interleave", rf"""
+WITH {CRC_TABLE},
 octets AS (
   SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size,
     list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::INT) AS x FROM documents),
@@ -217,3 +220,57 @@ FROM words LEFT JOIN kept USING (doc_id)
 def op6(spark, read):
     """Documents without passages that an earlier document has."""
     return substrings.digest(substrings.remove_repeats(read("documents")))
+
+
+def _said(*columns: str) -> str:
+    return " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in columns)
+
+
+def _levels_sql(name: str, source: str) -> str:
+    """All levels of the trees over (tree, pos, h, n): runs of two become their digest."""
+    return f"""
+{name} AS (
+  SELECT tree, 0 AS level, pos, h, n FROM {source}
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 2, n)"""
+
+
+@query("op13_merkle_manifest", rf"""
+WITH RECURSIVE {CRC_TABLE},
+octets AS (SELECT *, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::INT) AS x FROM documents),
+marked AS (
+  SELECT *, coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, x), lambda a, y: xor(a >> 8, tab[xor(a & 255, y) + 1])), 4294967295) % 7 = 0, false) AS hit
+  FROM octets, crc),
+said AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS tree, sha256({_said("doc_id", "source", "lang", "n_chars", "text")}) AS h,
+    sha256({_said("doc_id", "source", "lang", "(n_chars::HUGEINT + hit::INT)", "text")}) AS start FROM marked),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM said),
+{_levels_sql("low", "leaves")},
+tops AS (
+  SELECT 0 AS tree, low.tree AS name, h, row_number() OVER (ORDER BY encode(low.tree)) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+{_levels_sql("high", "tops")},
+path AS (
+  SELECT l.doc_id, l.tree, l.pos, 0 AS part, v.level, (l.pos >> v.level) & 1 AS side, s.h AS beside
+  FROM leaves l JOIN (SELECT DISTINCT tree, level FROM low WHERE n > 1) v USING (tree)
+  LEFT JOIN low s ON s.tree = l.tree AND s.level = v.level AND s.pos = xor(l.pos >> v.level, 1)
+  UNION ALL
+  SELECT l.doc_id, l.tree, l.pos, 1, v.level, (t.pos >> v.level) & 1, s.h
+  FROM leaves l JOIN tops t ON t.name = l.tree, (SELECT DISTINCT level FROM high WHERE n > 1) v
+  LEFT JOIN high s ON s.level = v.level AND s.pos = xor(t.pos >> v.level, 1)),
+paths AS (SELECT tree, pos, list({{'side': side, 'beside': beside}} ORDER BY part, level) AS steps, string_agg(beside, '' ORDER BY part, level) AS proof
+  FROM path GROUP BY tree, pos),
+begun AS (SELECT l.*, t.h AS subroot, coalesce(steps, []) AS steps, coalesce(proof, '') AS proof
+  FROM leaves l JOIN tops t ON t.name = l.tree LEFT JOIN paths p ON p.tree = l.tree AND p.pos = l.pos),
+fold AS (
+  SELECT tree, pos, 0 AS k, start AS now FROM begun
+  UNION ALL
+  SELECT f.tree, f.pos, k + 1, sha256(CASE WHEN steps[k + 1].beside IS NULL THEN now WHEN steps[k + 1].side = 1 THEN steps[k + 1].beside || now ELSE now || steps[k + 1].beside END)
+  FROM fold f JOIN begun b ON b.tree = f.tree AND b.pos = f.pos WHERE k < len(steps)),
+root AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT doc_id, b.h AS leaf, subroot, root, sha256(proof) AS proof_sha256, now AS folded_root, now = root AS verified
+FROM begun b JOIN fold f ON f.tree = b.tree AND f.pos = b.pos AND f.k = len(steps), root
+""")
+def op13(spark, read):
+    """A manifest of all documents, and whether each still folds to its root after some counts were raised."""
+    return merkle.prove(read("documents"), merkle.with_count_raised())
