@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from setwise.llm import bpe, decontaminate, language, licenses, merkle, minhash, pii, quality, sharding, substrings, toxicity
+from setwise.llm import alignment, bpe, decontaminate, language, licenses, merkle, minhash, pii, quality, sharding, substrings, toxicity
 from setwise.llm.store import prepare
 from setwise.session import configure
 
@@ -274,3 +274,9 @@ FROM begun b JOIN fold f ON f.tree = b.tree AND f.pos = b.pos AND f.k = len(step
 def op13(spark, read):
     """A manifest of all documents, and whether each still folds to its root after some counts were raised."""
     return merkle.prove(read("documents"), merkle.with_count_raised())
+
+
+@query("op12_token_alignment")
+def op12(spark, read):
+    """Two tokenizers aligned on every text, and how often their ids are linked."""
+    return alignment.align(read("documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
