@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from setwise.llm import alignment, bpe, decontaminate, language, licenses, merkle, minhash, pii, quality, sharding, substrings, toxicity
+from setwise.llm import alignment, bpe, decontaminate, group_join, language, licenses, merkle, minhash, pii, quality, sharding, substrings, toxicity
 from setwise.llm.store import prepare
 from setwise.session import configure
 
@@ -180,12 +180,14 @@ def op5(spark, read):
     return toxicity.rate(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-@query("op1_near_duplicates", rf"""
+def _linked_sql(k: int, more: str = "") -> str:
+    """Components of all pairs of documents with 85 per cent of their k-word shingles in common."""
+    return rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, {SPACE_WORDS.format(UPPER)} AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
 grams AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 3], ' ') AS g
-  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 2, 1))) AS i FROM words WHERE len(w) > 0)),
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + {k}], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - {k} + 1, 1))) AS i FROM words WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
 links AS (
@@ -194,10 +196,12 @@ links AS (
 sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT DISTINCT a AS doc_id, a AS far FROM sides UNION SELECT reach.doc_id, sides.b FROM reach JOIN sides ON sides.a = reach.far),
 least AS (SELECT doc_id, min(far) AS component_id FROM reach GROUP BY doc_id)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id,
-  doc_id = coalesce(component_id, doc_id) AS kept
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id{more}
 FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
-""")
+"""
+
+
+@query("op1_near_duplicates", _linked_sql(3, ", doc_id = coalesce(component_id, doc_id) AS kept"))
 def op1(spark, read):
     """Near-duplicates on three-word shingles at 85 per cent."""
     return minhash.near_duplicates(read("documents"), k=3, percent=85).withColumnRenamed("component", "component_id")
@@ -280,3 +284,9 @@ def op13(spark, read):
 def op12(spark, read):
     """Two tokenizers aligned on every text, and how often their ids are linked."""
     return alignment.align(read("documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op11_group_join", _linked_sql(4))
+def op11(spark, read):
+    """Documents that share 85 per cent of their four-word shingles, over a token-group matrix."""
+    return group_join.similar_groups(read("documents")).withColumnRenamed("component", "component_id")

@@ -6,6 +6,7 @@ import random
 import re
 import struct
 
+import brute
 import pytest
 import tiktoken
 from public_tokenizers import PATTERN, path
@@ -25,20 +26,6 @@ def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-def components_by_force(keys, links):
-    parent = {k: k for k in keys}
-
-    def root(k):
-        while parent[k] != k:
-            k = parent[k]
-        return k
-
-    for a, b in links:
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
-    return {k: root(k) for k in keys}
-
-
 def edited(rng, words, share):
     return [rng.choice(("uno", "dos", "tres")) + str(rng.randrange(99)) if rng.random() < share else w for w in words]
 
@@ -59,7 +46,7 @@ def copies(seed, groups=6, size=25):
 @pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates(spark, documents, k, percent):
     for rows in (copies(k), documents):
-        want = components_by_force([i for i, _ in rows], minhash.similar_pairs_by_force(rows, k, percent))
+        want = brute.components([i for i, _ in rows], brute.similar_pairs(rows, k, percent))
         found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), k=k, percent=percent).collect()
         assert {r.doc_id: r.component for r in found} == want
         assert all(r.kept == (r.doc_id == r.component) for r in found)

@@ -1,10 +1,11 @@
 """Registered queries against their SQL, and the pipeline stage by stage against plain Python."""
 
+import brute
 import pytest
 from check import compare
 
 import corpus_pipeline
-from setwise.llm import bpe, minhash, queries
+from setwise.llm import bpe, queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -17,7 +18,7 @@ def test_query_matches_sql(spark, name):
 def test_pipeline(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     kept = {r.doc_id for r in queries.QUERIES["op8_quality"](spark, FOLDER).collect() if r.kept}
-    links = minhash.similar_pairs_by_force([(i, docs[i].text) for i in sorted(kept)], 5, 80)
+    links = brute.similar_pairs([(i, docs[i].text) for i in sorted(kept)], 5, 80)
     least = {i: i for i in kept}
     for a, b in sorted(links) * 3:
         least[a] = least[b] = min(least[a], least[b])
