@@ -39,18 +39,21 @@ def snapshot_delta(
 
 def snapshot_series_delta(
     series: DataFrame, entity: Sequence[str], time: str, metrics: Sequence[str], started: str | None = None,
-    tiebreak: Sequence[str] = (),
+    tiebreak: Sequence[str] = (), before: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Differences between consecutive captures of each entity in a whole series."""
+    """Differences between consecutive captures of each entity in a whole series.
+
+    ``before`` names new columns with the value that a column had in the capture before.
+    """
     watched = [*metrics, *([started] if started else [])]
     rows = ordered_rows(
         series, [F.col(time).asc(), *[F.col(c).asc() for c in tiebreak]], entity, number="capture_no",
-        previous={f"__{c}": c for c in watched})
+        previous={f"__{c}": c for c in watched} | dict(before or {}))
     same = F.col("capture_no") > 1
     if started:
         same = same & F.col(started).eqNullSafe(F.col(f"__{started}"))
     return rows.select(
-        *series.columns, "capture_no", *[_delta(F.col(m), F.col(f"__{m}"), same).alias(f"{m}_delta") for m in metrics])
+        *series.columns, "capture_no", *[_delta(F.col(m), F.col(f"__{m}"), same).alias(f"{m}_delta") for m in metrics], *(before or {}))
 
 
 def rollup_since(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from setwise.functions.measures import money
@@ -26,23 +27,26 @@ RULES = [
 RULE_SCHEMA = "name string, message_id string, severity int, delay_seconds int"
 
 
-# The times at which the events are cut into arrivals.
-ARRIVALS = (None, "2024-01-10", "2024-01-20", None)
+# The times at which the events are cut into arrivals, each of one range or more.
+ARRIVALS = [[(None, "2024-01-10")], [("2024-01-10", "2024-01-20")], [("2024-01-20", None)]]
+# The same with two days that land after the week that follows them.
+LATE_ARRIVALS = [[(None, "2024-01-10")], [("2024-01-12", "2024-01-20")], [("2024-01-10", "2024-01-12"), ("2024-01-20", None)]]
 
 
-def in_arrivals(t: Tables, run: Callable[[DataFrame, str, str], StreamingQuery]) -> None:
-    """All events, landing in three parts; after each the same job runs until what is there is read.
+def _within(lo: str | None, hi: str | None) -> Column:
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    return (F.col("ts") >= at(lo) if lo else F.lit(True)) & (F.col("ts") < at(hi) if hi else F.lit(True))
+
+
+def in_arrivals(t: Tables, run: Callable[[DataFrame, str, str], StreamingQuery], arrivals=ARRIVALS) -> None:
+    """All events, landing in several parts; after each the same job runs until what is there is read.
 
     The job gets the stream, its checkpoint and the folder. State, checkpoint
     and output carry over from run to run, as they would from day to day.
     """
     landed, checkpoint = scratch_path(t.spark, "landed"), scratch_path(t.spark, "checkpoint")
-    for lo, hi in zip(ARRIVALS, ARRIVALS[1:]):
-        part = t.events
-        if lo:
-            part = part.where(F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
-        if hi:
-            part = part.where(F.col("ts") < F.lit(hi).cast("timestamp_ntz"))
+    for ranges in arrivals:
+        part = t.events.where(reduce(Column.__or__, [_within(*r) for r in ranges]))
         sinks.append(part, landed)
         run(event_stream(t.spark, landed, EVENTS), checkpoint, landed).awaitTermination()
 
@@ -87,9 +91,10 @@ def alerts(t: Tables):
 
 @query("stream_alerts", sql=_ALERTS)
 def stream_alerts(t: Tables):
+    """Alerts kept up by the stream while some days arrive late."""
     target, state = scratch_path(t.spark, "alerts"), scratch_path(t.spark, "alert-state")
-    in_arrivals(t, lambda source, checkpoint, _: jobs.stream_alerts(source, rule_hits, target, state, checkpoint))
-    return t.spark.read.schema("rule string, us bigint, event_id bigint").parquet(target).select("rule", "us", "event_id")
+    in_arrivals(t, lambda source, checkpoint, _: jobs.stream_alerts(source, rule_hits, target, state, checkpoint), LATE_ARRIVALS)
+    return jobs.current_alerts(t.spark, target)
 
 
 @query("stream_delta", sql="""
@@ -97,13 +102,14 @@ WITH l AS (SELECT event_id, ROUND(value * 100)::BIGINT AS cents, event_type, LAG
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT event_id, COALESCE(CASE WHEN event_type = pt AND cents >= p THEN cents - p END, -1) AS cents_delta FROM l""")
 def stream_delta(t: Tables):
-    """Growth between consecutive events of a user, kept up by the stream."""
+    """Growth between consecutive events of a user, kept up by the stream while some days arrive late."""
     cents = F.round(F.col("value") * 100).cast("bigint").alias("cents")
     target, state = scratch_path(t.spark, "delta"), scratch_path(t.spark, "delta-state")
     in_arrivals(t, lambda source, checkpoint, _: jobs.stream_delta(
         source.select("event_id", "user_id", "ts", "event_type", cents), target, state, checkpoint, ["user_id"], "ts", ["cents"],
-        "event_type", ["event_id"]))
-    return t.spark.read.parquet(target).select("event_id", F.coalesce("cents_delta", F.lit(-1)).alias("cents_delta"))
+        "event_type", ["event_id"]), LATE_ARRIVALS)
+    newest = jobs.current_captures(t.spark.read.parquet(target), ["user_id"], "ts", ["event_id"])
+    return newest.select("event_id", F.coalesce("cents_delta", F.lit(-1)).alias("cents_delta"))
 
 
 def day_summary(rows: DataFrame) -> DataFrame:

@@ -2,31 +2,53 @@
 
 Every micro-batch writes folders named after its number and replaces them when
 it runs again after a failure; nothing depends on how often a batch ran.
+
+Rows may arrive late. A job then writes what changes from the late moment on
+under the number of the present batch, and reading takes the newest version:
+``current_captures`` and ``current_alerts``. No stored batch is rewritten.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from setwise.functions.times import col
 from setwise.operators.alerts import fire_alerts
 from setwise.operators.incremental import snapshot_series_delta
 from setwise.operators.ranking import latest_per_group
-from setwise.session import materialize
+from setwise.session import Scratch, materialize
 from setwise.sources.sinks import replace_partitions
 
 
 def run_batches(source: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    writer = source.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+    def run(df: DataFrame, batch: int) -> None:
+        with Scratch(df.sparkSession):  # what operators store in a batch goes with it
+            work(df, batch)
+
+    writer = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _put(df: DataFrame, folder: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+def _put(df: DataFrame, folder: str, batch: int, by: str = "batch") -> None:
+    df.write.mode("overwrite").parquet(f"{folder}/{by}={batch}")
+
+
+class BatchHistory:
+    """All rows of earlier batches, read only for keys with late rows and only from the late moment on."""
+
+    def __init__(self, folder: str, schema: StructType):
+        self.folder, self.schema = folder, schema
+
+    def before(self, spark: SparkSession, batch: int) -> DataFrame:
+        held = spark.read.schema(StructType([*self.schema.fields, StructField("__batch", LongType())])).parquet(self.folder)
+        return held.where(F.col("__batch") < batch).drop("__batch")
+
+    def store(self, df: DataFrame, batch: int) -> None:
+        _put(df.select(*self.schema.names), self.folder, batch, "__batch")
 
 
 class BatchState:
@@ -84,43 +106,100 @@ def windowed_rollup(source: DataFrame, keys: Sequence[str], time: str, width: st
 def stream_alerts(
     source: DataFrame, hits: Callable[[DataFrame], DataFrame], target: str, state: str, checkpoint: str,
 ) -> StreamingQuery:
-    """Alerts as they are due. The state is the last firing of each rule.
+    """Alerts as they are due, whatever the order in which hits arrive; ``current_alerts`` reads them.
 
-    Hits that arrive after a later one has fired count as suppressed.
+    The state is the last firing of each rule and the hits. A hit no later than
+    its rule's last firing reopens the rule from that moment on: its hits since
+    are folded again, after the firing that stood before them, and what had
+    fired since is withdrawn on reading.
     """
-    schema = StructType.fromDDL("rule string, us bigint")
-    fired_last = BatchState(state, schema, ["rule"], ["us"])
+    fired_last = BatchState(f"{state}/last", StructType.fromDDL("rule string, us bigint, batch bigint"), ["rule"], ["batch"])
+    seen = BatchHistory(f"{state}/hits", StructType.fromDDL("rule string, delay bigint, us bigint, event_id bigint"))
 
     def work(df: DataFrame, batch: int) -> None:
-        before = fired_last.before(df.sparkSession, batch)
-        fired = materialize(fire_alerts(hits(df), before), "fired")
-        _put(fired, target, batch)
-        fired_last.store(fired.groupBy("rule").agg(F.max("us").alias("us")), before, batch)
+        spark = df.sparkSession
+        before = fired_last.before(spark, batch)
+        fresh = materialize(hits(df).select(*seen.schema.names), "fresh")
+        timed = fresh.where("delay > 0").groupBy("rule", "delay", "us").agg(F.min("event_id").alias("event_id"))
+        seen.store(timed, batch)
+        since = timed.groupBy("rule").agg(F.min("us").alias("since"))
+        due, carried = fresh, before
+        if before is not None:
+            late = materialize(before.join(since, "rule").where("since <= us").select("rule", "since"), "late")
+            first = late.agg(F.min("since")).first()[0]
+            if first is not None:
+                held = seen.before(spark, batch).where(F.col("us") >= first).join(late, "rule").where("us >= since")
+                due = fresh.unionByName(held.drop("since"))
+                stood = current_alerts(spark, target, batch).join(late, "rule").where("us < since").groupBy("rule").agg(F.max("us").alias("us"))
+                carried = before.select("rule", "us").join(late, "rule", "left_anti").unionByName(stood)
+        fired = materialize(fire_alerts(due, carried), "fired")
+        _put(fired, f"{target}/fired", batch)
+        _put(since, f"{target}/since", batch)
+        last = fired.join(since, "rule", "left_semi").groupBy("rule").agg(F.max("us").alias("us"))
+        fired_last.store(last.withColumn("batch", F.lit(batch).cast("bigint")), before, batch)
 
     return run_batches(source, work, checkpoint)
 
 
+def current_alerts(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """(rule, us, event_id): the firings that no later batch has reopened, of batches before ``before`` if given.
+
+    Per rule and batch there is one moment since which the batch has folded again.
+    """
+    read = lambda part, ddl: spark.read.schema(f"{ddl}, batch bigint").parquet(f"{target}/{part}")
+    fired, since = read("fired", "rule string, us bigint, event_id bigint"), read("since", "rule string, since bigint")
+    if before is not None:
+        fired, since = (x.where(F.col("batch") < before) for x in (fired, since))
+    later = Window.partitionBy("rule").orderBy(F.col("batch").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    reopened = since.select("rule", "batch", F.min("since").over(later).alias("again"))
+    return fired.join(reopened, ["rule", "batch"], "left").where("again IS NULL OR us < again").select("rule", "us", "event_id")
+
+
 def stream_delta(
     source: DataFrame, target: str, state: str, checkpoint: str, entity: Sequence[str], time: str,
     metrics: Sequence[str], started: str, tiebreak: Sequence[str],
 ) -> StreamingQuery:
-    """Differences between consecutive captures of each entity, across batches."""
-    columns = source.schema
-    last = BatchState(state, columns, entity, [time, *tiebreak])
+    """Differences between consecutive captures of each entity, across batches and in any order of arrival.
+
+    The state is the last capture of each entity, and all captures for entities
+    with late ones. A late capture gets its own difference, and the one after it
+    a new version; ``current_captures`` reads the newest. ``tiebreak`` tells
+    captures of one moment apart.
+    """
+    columns, order = source.schema, [time, *tiebreak]
+    last = BatchState(f"{state}/last", columns, entity, order)
+    seen = BatchHistory(f"{state}/rows", columns)
+    moment = F.struct(*order)
 
     def work(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        before = last.before(spark, batch)
+        seen.store(df, batch)
         rows = df.withColumn("__new", F.lit(True))
-        before = last.before(df.sparkSession, batch)
         if before is not None:
-            touched = df.select(*entity).distinct()
-            rows = rows.unionByName(before.join(touched, list(entity), "left_semi").withColumn("__new", F.lit(False)))
-        out = snapshot_series_delta(rows, entity, time, metrics, started, tiebreak).where("__new")
-        _put(out.drop("__new", "capture_no"), target, batch)
+            first = df.groupBy(*entity).agg(F.min(moment).alias("__first"))
+            known = before.join(first, list(entity))
+            late = materialize(known.where(F.col("__first") < moment).select(*entity, "__first"), "late")
+            earlier = known.where(F.col("__first") >= moment).drop("__first")
+            if not late.isEmpty():
+                held = seen.before(spark, batch).join(late, list(entity))
+                after = held.where(moment >= F.col("__first")).drop("__first")
+                just_before = latest_per_group(held.where(moment < F.col("__first")).drop("__first"), entity, time, tiebreak)
+                earlier = earlier.unionByName(after).unionByName(just_before)
+            rows = rows.unionByName(earlier.withColumn("__new", F.lit(False)))
+        out = snapshot_series_delta(rows, entity, time, metrics, started, tiebreak, before={"__after_new": "__new"})
+        changed = F.col("__new") | F.coalesce(F.col("__after_new"), F.lit(False))
+        _put(out.where(changed).drop("__new", "__after_new", "capture_no"), target, batch)
         last.store(latest_per_group(df, entity, time, tiebreak), before, batch)
 
     return run_batches(source, work, checkpoint)
 
 
+def current_captures(captures: DataFrame, entity: Sequence[str], time: str, tiebreak: Sequence[str]) -> DataFrame:
+    """The newest version of each capture that ``stream_delta`` wrote."""
+    return latest_per_group(captures, [*entity, time, *tiebreak], "batch").drop("batch")
+
+
 def stream_daily_snapshot(
     source: DataFrame, reread: Callable[[], DataFrame], target: str, checkpoint: str, time: str,
     summarise: Callable[[DataFrame], DataFrame], day: str = "snapshot_date",
