@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from setwise.llm.store import Scratch, scratch
 
-HEIGHT = 8
+HEIGHT = 9
 RUN = 4096
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 # A leaf is numbered by its range partition and its place there.
@@ -39,10 +39,12 @@ def digest(values: Sequence[Column]) -> Column:
 def _numbered(rows: DataFrame, order: Sequence[Column], tree: str, hold: Scratch) -> DataFrame:
     """``rows`` with g, their number in ``order`` over the whole table, and pos and n within their ``tree``, by which they are ordered first."""
     # The last order deals identical rows to several partitions; they are interchangeable.
-    stored = hold.table(rows, "unnumbered").withColumn("tie", F.monotonically_increasing_id())
+    unnumbered = hold.table(rows, "unnumbered")
     order = [*order, F.col("tie")]
-    ranged = stored.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
-    stored = hold.table(ranged.withColumn("at", F.monotonically_increasing_id()), "ranged").select(
+    ranged = unnumbered.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
+    ranged = hold.table(ranged.withColumn("at", F.monotonically_increasing_id()), "ranged")
+    hold.drop(unnumbered)
+    stored = ranged.select(
         *rows.columns, F.shiftright("at", _PLACE_BITS).alias("part"), F.col("at").bitwiseAND((1 << _PLACE_BITS) - 1).alias("place"))
     # One row a partition.
     parts = stored.groupBy("part").agg(F.count("*").alias("held")).select(
@@ -51,8 +53,10 @@ def _numbered(rows: DataFrame, order: Sequence[Column], tree: str, hold: Scratch
     whole = runs.groupBy(tree).agg(F.min(F.col("passed") + F.col("place")).alias("first"), F.sum("held").alias("n"))
     places = runs.join(whole, tree).select("part", tree, "passed", "first", "n")
     # By partition and tree: a large tree is spread over as many keys as it has partitions.
-    return stored.join(places, ["part", tree]).select(
-        *rows.columns, (F.col("passed") + F.col("place")).alias("g"), (F.col("passed") + F.col("place") - F.col("first")).alias("pos"), "n")
+    numbered = hold.table(stored.join(places, ["part", tree]).select(
+        *rows.columns, (F.col("passed") + F.col("place")).alias("g"), (F.col("passed") + F.col("place") - F.col("first")).alias("pos"), "n"), "numbered")
+    hold.drop(ranged)
+    return numbered
 
 
 def _id(kind: str, level: Column | int, block: Column, tree: Column) -> Column:
@@ -103,7 +107,7 @@ WITH RECURSIVE climb (key, g, leaf, at, slot, hash, proof, subroot, root) AS (
     aggregate({path}, c.proof, (held, p) -> concat(held, coalesce(p.beside, X''))),
     coalesce(c.subroot, n.subroot), n.root
   FROM climb c JOIN {{nodes}} n ON n.id = c.at AND n.run = c.g div {run})
-SELECT key, leaf, subroot, root, proof, hash FROM climb WHERE at IS NULL"""
+SELECT key, leaf, subroot, root, unhex(sha2(lower(hex(proof)), 256)) AS proof, hash FROM climb WHERE at IS NULL"""
 
 
 def _recursive(spark: SparkSession, sql: str, hold: Scratch, name: str, **views: DataFrame) -> DataFrame:
@@ -134,10 +138,10 @@ def prove(
     tree = F.coalesce(F.concat(F.lit("1"), F.col(f"`{group}`").cast("string")), F.lit("0"))
     rows = docs.select(
         F.col(f"`{key}`").alias("key"), tree.alias("tree"), F.unhex(leaf).alias("leaf"), F.unhex(leaf if now is None else now).alias("start"))
-    leaves = hold.table(_numbered(rows, [F.col("tree"), F.col("key").asc_nulls_first(), F.col("leaf")], "tree", hold), "leaves")
+    leaves = _numbered(rows, [F.col("tree"), F.col("key").asc_nulls_first(), F.col("leaf")], "tree", hold)
 
     of_group, tops = _grow(leaves.select("tree", "pos", "n", F.col("leaf").alias("hash"), F.col("g").alias("lo"), F.col("g").alias("hi")), "g", height, hold)
-    ranked = hold.table(_numbered(tops.withColumn("one", F.lit("")), [F.col("one"), F.col("tree")], "one", hold), "ranked")
+    ranked = _numbered(tops.withColumn("one", F.lit("")), [F.col("one"), F.col("tree")], "one", hold)
     of_root, _ = _grow(ranked.select(F.lit("").alias("tree"), "pos", "n", "hash", "lo", "hi"), "r", height, hold)
 
     above = ranked.select(
@@ -155,7 +159,7 @@ def prove(
     text = lambda c: F.lower(F.hex(c))
     return climbed.select(
         F.col("key").alias(key), text("leaf").alias("leaf"), text("subroot").alias("subroot"), text("root").alias("root"),
-        F.sha2(text("proof"), 256).alias("proof_sha256"), text("hash").alias("folded_root"), (F.col("hash") == F.col("root")).alias("verified"))
+        text("proof").alias("proof_sha256"), text("hash").alias("folded_root"), (F.col("hash") == F.col("root")).alias("verified"))
 
 
 def with_count_raised(key: str = "doc_id", count: str = "n_chars", fields: Sequence[str] = FIELDS, every: int = 7) -> Column:

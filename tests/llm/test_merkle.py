@@ -67,7 +67,7 @@ def table(n, langs):
     return rows
 
 
-@pytest.mark.parametrize(("n", "langs", "height", "run"), [(1, 1, 8, 4096), (9, 9, 2, 8), (65, 3, 2, 8), (300, 70, 8, 4096)])
+@pytest.mark.parametrize(("n", "langs", "height", "run"), [(1, 1, 9, 4096), (9, 9, 2, 8), (65, 3, 2, 8), (300, 70, 9, 4096)])
 def test_against_force(spark, n, langs, height, run):
     rows = table(n, langs)
     found = merkle.prove(spark.createDataFrame(rows, SCHEMA), merkle.with_count_raised(), height=height, run=run)
