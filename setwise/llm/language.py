@@ -118,13 +118,13 @@ class Model:
     uses: np.ndarray  # [script, language]
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Counts of all rows with a text and a language; the table that reaches the driver has a fixed bound."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST_LANGUAGES) -> Model:
+    """Counts of all rows with a text and a language; ``most`` languages bound the model, and more are an error."""
     prepare(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    names = sorted(r[0] for r in known.select(lang).distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    names = sorted(r[0] for r in known.select(lang).distinct().limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"more than {most} languages: raise ``most``")
     slots, scripts = np.zeros((len(names), SLOTS)), np.zeros((len(names), len(NAMES)))
     for r in _counts(known, text, lang).toLocalIterator():
         (scripts if r.kind else slots)[names.index(r.lang), r.slot] = r.n
@@ -193,7 +193,9 @@ def identify(
     """``keep`` columns with lang_pred, score (share of letters) and lang_spans of every whole text.
 
     NULL texts, texts without a letter and models without a language give
-    ``und``, score 0 and no spans. Columns of ``keep`` must not have the new names.
+    ``und``, score 0 and no spans. Very long texts are read whole, rows that repeat get the same result each, of
+    languages with as many letters the first by name is predicted, and an empty table stays empty.
+    Columns of ``keep`` must not have the new names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = "lang_pred string, score double, lang_spans array<struct<start:int,end:int,lang:string>>"

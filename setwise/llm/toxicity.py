@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text, normalised by length.
 
 Folding maps case, accents, letters of other scripts that look Latin, and
-digits or signs that stand for letters inside a word, one code point to one.
+digits or signs beside letters to the letters they stand for, one code point to
+one. Signs that may be punctuation are read both ways.
 Entries are whole words or beginnings of words; a word counts with the
 heaviest entry that begins where it begins. Where an exception phrase starts
 at the word (or ends with it), it does not count. The sum of weights, and that
@@ -13,7 +14,9 @@ Lexicon, exceptions and curve are learned from a bounded sample of labelled rows
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
+from bisect import bisect
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,7 +30,6 @@ from setwise.llm.store import scratch
 from setwise.llm.texts import add_from_text
 
 SAMPLE = 20_000  # most labelled rows to learn from
-ENTRIES = 3_000  # most exceptions
 STEMS = range(4, 9)  # lengths of word beginnings that may be entries
 SUPPORT, ODDS, SIGMAS = 3, 2.0, 3.5  # an entry's least toxic documents, log odds and standard deviations
 
@@ -53,32 +55,41 @@ def _fold_table() -> dict[int, str]:
     return table | {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
-def fold(text: str | None) -> str:
-    """Folded text of the same length; digits and signs are folded between two letters or other substitutes."""
+_RUN = re.compile(f"[{re.escape(''.join(SUBSTITUTES))}]+")
+_SIGNS = re.compile("[!$]")  # may be punctuation as well
+
+
+def readings(text: str | None) -> list[str]:
+    """Folded texts of the same length: one in which ``!`` and ``$`` beside letters are letters, and one in which they are signs if that differs.
+
+    A run of substitutes is folded whole where a letter stands directly before or after it; numbers stay.
+    """
     if not text:
-        return ""
+        return [""]
     out = text.translate(_fold_table())
-    if not any(c in out for c in SUBSTITUTES):
-        return out
-    chars = list(out)
-    n = len(chars)
-    for c, letter in SUBSTITUTES.items():
-        at = out.find(c)
-        while at >= 0:
-            before = chars[at - 1] if at else " "
-            ahead = at + 1
-            while ahead < n and out[ahead] in SUBSTITUTES and ahead < at + 4:
-                ahead += 1
-            if ahead < n and out[ahead].isalpha() and (before.isalpha() or before.isspace() or before in SUBSTITUTES):
-                chars[at] = letter
-            at = out.find(c, at + 1)
-    return "".join(chars)
-
-
-def fold_words(text: str | None) -> list[str]:
-    """Runs of letters of the folded text."""
-    folded = fold(text)
-    return "".join([c if c.isalpha() else " " for c in folded]).split()
+    chars, signs = None, False
+    for m in _RUN.finditer(out):
+        start, end = m.span()
+        if (start and out[start - 1].isalpha()) or (end < len(out) and out[end].isalpha()):
+            chars = chars or list(out)
+            chars[start:end] = [SUBSTITUTES[c] for c in m.group()]
+            signs = signs or _SIGNS.search(m.group()) is not None
+    if chars is None:
+        return [out]
+    eager = "".join(chars)
+    if not signs:
+        return [eager]
+    return [eager, "".join([c if c in "!$" else e for c, e in zip(out, eager, strict=True)])]
+
+
+def fold(text: str | None) -> str:
+    """The reading in which signs beside letters are letters."""
+    return readings(text)[0]
+
+
+def fold_words(text: str | None) -> set[str]:
+    """Runs of letters of all readings."""
+    return {w for folded in readings(text) for w in "".join([c if c.isalpha() else " " for c in folded]).split()}
 
 
 @dataclass
@@ -108,13 +119,13 @@ def _word_at(text: str, start: int) -> int:
 def _neighbours(text: str, start: int, end: int) -> tuple[str, str]:
     """The words before and after."""
     a = start - 1
-    while a >= 0 and not text[a].isalpha() and start - a < 8:
+    while a >= 0 and not text[a].isalpha():
         a -= 1
     b = a
     while b >= 0 and text[b].isalpha():
         b -= 1
     c = end
-    while c < len(text) and not text[c].isalpha() and c - end < 8:
+    while c < len(text) and not text[c].isalpha():
         c += 1
     return text[b + 1 : a + 1], text[c : _word_at(text, c)]
 
@@ -141,6 +152,19 @@ def hits(folded: str, automaton, exceptions: frozenset) -> list[tuple[int, int,
     return found
 
 
+def hits_of(text: str | None, automaton, exceptions: frozenset) -> list[tuple[int, int, float]]:
+    """``hits`` in all readings of a text; of words that overlap the heaviest, then the first."""
+    read = readings(text)
+    if len(read) == 1:
+        return hits(read[0], automaton, exceptions)
+    kept: list[tuple[int, int, float]] = []
+    for start, end, weight in sorted({h for r in read for h in hits(r, automaton, exceptions)}, key=lambda h: (-h[2], h[0], h[1])):
+        at = bisect(kept, (start,))
+        if (not at or kept[at - 1][1] <= start) and (at == len(kept) or kept[at][0] >= end):
+            kept.insert(at, (start, end, weight))
+    return kept
+
+
 def features(total: float, words: int) -> tuple[float, float]:
     return math.log1p(total), math.log1p(100 * total / max(words, 20))
 
@@ -162,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Learn from at most ``sample`` labelled rows (those with the smallest digest of their key).
 
     Rows without a key or label are no examples; without examples of both kinds the lexicon is empty and
-    every score is 0.
+    every score is below 1e-8. Of rows that repeat a key the highest label counts; texts are read whole.
     """
     spark = docs.sparkSession
     chosen = labels.where(F.col(key).isNotNull() & F.col(toxic).isNotNull()).groupBy(F.col(key).alias("k")).agg(
@@ -206,25 +230,25 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for frame in frames:
             held: dict[tuple[str, str], list[int]] = {}
             for body, label in zip(frame["text"], frame["toxic"], strict=True):
-                folded = fold(body)
                 seen = set()
-                for start, end, _ in hits(folded, automaton, frozenset()):
-                    before, after = _neighbours(folded, start, end)
-                    seen |= {p for p in ((before, folded[start:end]), (folded[start:end], after)) if all(p)}
+                for folded in readings(body):
+                    for start, end, _ in hits(folded, automaton, frozenset()):
+                        before, after = _neighbours(folded, start, end)
+                        seen |= {p for p in ((before, folded[start:end]), (folded[start:end], after)) if all(p)}
                 for pair in seen:
                     held.setdefault(pair, [0, 0])[label] += 1
             yield pd.DataFrame([(*p, b, a) for p, (a, b) in held.items()], columns=["one", "two", "bad", "good"])
 
     phrases = rows.mapInPandas(pairs, "one string, two string, bad bigint, good bigint").groupBy("one", "two").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("good >= 5 AND bad = 0")
-    lexicon.exceptions = frozenset((r.one, r.two) for r in phrases.orderBy(F.desc("good"), "one", "two").limit(ENTRIES).collect())
+    lexicon.exceptions = frozenset((r.one, r.two) for r in phrases.collect())  # as many as the sample has
     shared = spark.sparkContext.broadcast(lexicon)
 
     def measured(frames):
         automaton = shared.value.automaton()
         for frame in frames:
             yield pd.DataFrame([
-                (*features(sum(h[2] for h in hits(fold(b), automaton, shared.value.exceptions)), len((b or "").split())), t)
+                (*features(sum(h[2] for h in hits_of(b, automaton, shared.value.exceptions)), len((b or "").split())), t)
                 for b, t in zip(frame["text"], frame["toxic"], strict=True)], columns=["total", "density", "toxic"])
 
     # Two numbers a sampled row.
@@ -236,8 +260,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def rate(docs: DataFrame, lexicon: Lexicon, keep: Sequence[str] = ("doc_id",), text: str = "text", least: float = 0.7) -> DataFrame:
     """``keep`` columns with score (0 to 1), predicted (score >= ``least``) and toxic_spans (code points) of every whole text.
 
-    NULL and empty texts have no hits and the curve's lowest score. Columns of
-    ``keep`` must not have the new names.
+    NULL and empty texts have no hits and the curve's lowest score. Very long texts are read whole, rows that repeat
+    get the same result each, scores equal to ``least`` are predicted, and an empty table stays empty.
+    Columns of ``keep`` must not have the new names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -248,7 +273,7 @@ def rate(docs: DataFrame, lexicon: Lexicon, keep: Sequence[str] = ("doc_id",), t
         def run(texts):
             scores, spans = [], []
             for text in texts:
-                found = hits(fold(text), automaton, shared.value.exceptions)
+                found = hits_of(text, automaton, shared.value.exceptions)
                 x, y = features(sum(h[2] for h in found), len((text or "").split()))
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x + c * y)))))
                 spans.append([{"start": s, "end": e} for s, e, _ in found])
