@@ -1,4 +1,8 @@
-"""Reading XML text columns."""
+"""Reading XML text columns with Spark's own parsers.
+
+Names are compared without their namespace prefix by asking for local names;
+values are never edited, so CDATA and what looks like markup in it stay.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,29 @@ from pyspark.sql import Column, functions as F
 
 from setwise.functions.times import col
 
+_BAD = "__not_xml"
+PARSE = {"ignoreNamespace": "true"}
+
+
+def quoted(text: str) -> str:
+    """An XPath literal for any text: what holds both quotes is put together from parts."""
+    if '"' not in text:
+        return f'"{text}"'
+    if "'" not in text:
+        return f"'{text}'"
+    parts = [f'"{part}"' for part in text.split('"')]
+    return f"""concat({", '\"', ".join(parts)})"""
+
 
-def drop_namespaces(xml: Column | str) -> Column:
-    """Remove namespace declarations and element prefixes, so plain paths match."""
-    no_decl = F.regexp_replace(col(xml), r"""\sxmlns(:[\w.-]+)?\s*=\s*("[^"]*"|'[^']*')""", "")
-    return F.regexp_replace(no_decl, r"(</?)[\w.-]+:", "$1")
+def step(name: str) -> str:
+    """An element of that local name, or with a leading underscore an attribute."""
+    return f"@*[local-name()={quoted(name[1:])}]" if name.startswith("_") else f"*[local-name()={quoted(name)}]"
+
+
+def is_xml(xml: Column | str) -> Column:
+    """Whether the text parses; a document that declares entities of its own and uses them does not."""
+    options = PARSE | {"columnNameOfCorruptRecord": _BAD, "mode": "PERMISSIVE"}
+    return F.from_xml(col(xml), f"__any string, {_BAD} string", options)[_BAD].isNull() & col(xml).isNotNull()
 
 
 def xml_escape(x: Column | str) -> Column:
@@ -20,6 +42,28 @@ def xml_escape(x: Column | str) -> Column:
     return out
 
 
+def cdata_as_text(xml: Column | str) -> Column:
+    """The same document with its CDATA sections written as escaped text.
+
+    A path gives of a run of text and CDATA only the first part; of escaped text it gives all.
+    """
+    opened = F.lit("<![CDATA[")
+    pieces = F.split(col(xml), r"<!\[CDATA\[")
+
+    def rewritten(piece: Column, i: Column) -> Column:
+        end = F.instr(piece, "]]>")
+        inside, rest = F.substr(piece, F.lit(1), end - 1), F.substr(piece, end + 3)
+        return F.when(i == 0, piece).when(end == 0, F.concat(opened, piece)).otherwise(F.concat(xml_escape(inside), rest))
+
+    return F.when(F.contains(col(xml), opened), F.array_join(F.transform(pieces, rewritten), "")).otherwise(col(xml))
+
+
+def paths(xml: Column | str, path: str) -> Column:
+    """Values of all nodes of an XPath in document order, NULL for nodes that are elements; NULL for text that is no XML."""
+    return F.when(is_xml(xml), F.xpath(cdata_as_text(xml), F.lit(path)))
+
+
 def value_by_sibling(xml: Column | str, row: str, name: str, value_tag: str = "Value", name_tag: str = "Name") -> Column:
-    """Text of ``value_tag`` in the ``row`` element whose ``name_tag`` equals ``name``."""
-    return F.xpath_string(col(xml), F.lit(f'//{row}/{value_tag}[../{name_tag}="{name}"]'))
+    """Text of ``value_tag`` in the first ``row`` element whose ``name_tag`` equals ``name``, '' without one; NULL for text that is no XML."""
+    path = f"//{step(row)}/{step(value_tag)}[../{step(name_tag)}={quoted(name)}]"
+    return F.when(is_xml(xml), F.xpath_string(col(xml), F.lit(path)))

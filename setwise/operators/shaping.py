@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from setwise.functions.texts import pad_left, thousands, wildcard_regex
 from setwise.functions.times import elapsed_parts_text, int_div
-from setwise.functions.xmlpath import drop_namespaces
+from setwise.functions.xmlpath import PARSE, paths, step
 from setwise.operators.aggregates import ordered_list
 
 
@@ -56,55 +55,50 @@ def xml_nodes(df: DataFrame, xml: str, row_tag: str, fields: Mapping[str, str],
     """One row per ``row_tag`` child of the document root, with typed fields.
 
     ``fields`` maps element names, or ``_name`` for attributes, to types.
-    Namespaces are ignored. Nodes missing a field give NULL for it.
+    Namespaces are ignored by the parser. Nodes missing a field give NULL for
+    it, and text that is no XML has no nodes.
     """
     ddl = f"`{row_tag}` array<struct<{', '.join(f'`{n}`: {t}' for n, t in fields.items())}>>"
-    parsed = F.from_xml(drop_namespaces(xml), ddl)
+    parsed = F.from_xml(xml, ddl, PARSE)
     return df.select(*keep, F.explode(parsed[row_tag]).alias("__node")).select(
         *keep, *[F.col("__node")[n].alias(n.lstrip("_")) for n in fields]
     )
 
 
-def xml_nodes_anywhere(df: DataFrame, xml: str, row_tag: str, fields: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
-    """One row per ``row_tag`` element at any depth, in document order, with typed fields.
+def xml_nodes_anywhere(
+    df: DataFrame, xml: str, row_tag: str, fields: Mapping[str, str], keep: Sequence[str] = (), nesting: int = 2,
+) -> DataFrame:
+    """One row per ``row_tag`` element at any depth, with typed fields.
 
     ``fields`` maps child element names, or ``_name`` for attributes, to types;
-    a node without one gives NULL for it. Namespaces are resolved by the parser
-    and names compared without them; the text itself is never edited, so CDATA
-    and values that look like markup stay as they are. Text that is no XML has
-    no nodes. SQL has no way to index nodes, so a parser runs over Arrow batches.
+    a node without one, or with an empty one, gives NULL for it, and of several
+    children of one name the first counts, markup inside it left out. Names are
+    compared without namespaces. Text that is no XML has no nodes. ``nesting``
+    is how deep ``row_tag`` elements may stand inside each other; a document in
+    which they go deeper is an error.
+
+    A path that asks for the nodes and one field of each gives both in document
+    order: nodes come as NULL, values as text, so every value belongs to the
+    last node before it. Nodes that stand inside others are asked for apart.
     """
-    names = list(fields)
-    kept = df.select(*keep).schema.fields
-    schema = StructType([*kept, *[StructField(f"__{i}", StringType()) for i in range(len(names))]])
-    n, out_names = len(kept), [f.name for f in schema]
-
-    def parse(batches):
-        from xml.etree import ElementTree
-
-        import pyarrow as pa
-
-        local = lambda name: name.rsplit("}", 1)[-1]
-        for batch in batches:
-            index, rows = [], []
-            for i, text in enumerate(batch.column(n).to_pylist()):
-                try:
-                    root = ElementTree.fromstring(text or "")
-                except ElementTree.ParseError:
-                    continue
-                for node in root.iter():
-                    if local(node.tag) == row_tag:
-                        found = {f"_{local(k)}": v for k, v in node.attrib.items()}
-                        for child in node:
-                            found.setdefault(local(child.tag), "".join(child.itertext()))
-                        index.append(i)
-                        rows.append([found.get(name) for name in names])
-            columns = [pa.array([r[j] for r in rows], pa.string()) for j in range(len(names))]
-            at = pa.array(index, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[:n]], *columns], names=out_names)
-
-    nodes = df.select(*keep, xml).mapInArrow(parse, schema)
-    return nodes.select(*keep, *[F.col(f"__{i}").cast(t).alias(name.lstrip("_")) for i, (name, t) in enumerate(fields.items())])
+    row = step(row_tag)
+    inside = f"count(ancestor::{row})"
+    too_deep = F.coalesce(F.size(paths(xml, f"//{row}[{inside}={nesting}]")) > 0, F.lit(False))
+
+    def column(level: int, name: str) -> Column:
+        nodes = f"//{row}[{inside}={level}]"
+        values = f"{nodes}/{step(name)}" if name.startswith("_") else f"{nodes}/{step(name)}[1]//text()"
+        read = F.coalesce(paths(xml, f"{nodes} | {values}"), F.array().cast("array<string>"))
+        # Each text is added to the last node's.
+        return F.aggregate(read, F.array().cast("array<string>"), lambda held, x: F.when(
+            x.isNull(), F.concat(held, F.array(F.lit(None).cast("string")))).otherwise(F.concat(
+                F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0))),
+                F.array(F.concat(F.coalesce(F.element_at(held, -1), F.lit("")), x)))))
+
+    levels = [F.arrays_zip(*[column(level, name).alias(f"f{i}") for i, name in enumerate(fields)]) for level in range(nesting)]
+    nodes = F.when(too_deep, F.raise_error(F.lit(f"{row_tag} elements stand more than {nesting} deep inside each other"))).otherwise(F.concat(*levels))
+    return df.select(*keep, F.explode(nodes).alias("__node")).select(
+        *keep, *[F.col(f"__node.f{i}").cast(t).alias(name.lstrip("_")) for i, (name, t) in enumerate(fields.items())])
 
 
 def nested_counts(df: DataFrame, entity: str, group: str, item: str, name: str = "doc") -> DataFrame:

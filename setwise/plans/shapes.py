@@ -101,8 +101,7 @@ def xml_nodes_deep(t: Tables):
 @query("xml_value", sql="SELECT c_custkey, c_name || ' & <co>' AS recipient, c_mktsegment AS segment FROM customer")
 def xml_value(t: Tables):
     """Values picked by the name beside them."""
-    plain = parameter_xml(t).withColumn("xml", xp.drop_namespaces("xml"))
-    return plain.select(
+    return parameter_xml(t).select(
         "c_custkey", xp.value_by_sibling("xml", "ParameterValue", "TO").alias("recipient"),
         xp.value_by_sibling("xml", "ParameterValue", "SEGMENT").alias("segment"))
 

@@ -175,7 +175,19 @@ def test_job_texts(value):
 
 def test_xml(value):
     xml = F.lit('<a:P xmlns:a="u"><a:V><a:Name>TO</a:Name><a:Value>x &amp; y</a:Value></a:V><a:V><a:Name>CC</a:Name><a:Value>z</a:Value></a:V></a:P>')
-    plain = xp.drop_namespaces(xml)
-    assert value(xp.value_by_sibling(plain, "V", "CC")) == "z"
-    assert value(xp.value_by_sibling(plain, "V", "TO")) == "x & y"
+    assert value(xp.value_by_sibling(xml, "V", "CC")) == "z"
+    assert value(xp.value_by_sibling(xml, "V", "TO")) == "x & y"
     assert value(xp.xml_escape(F.lit("<&>"))) == "&lt;&amp;&gt;"
+
+
+@pytest.mark.parametrize("name", ["plain", 'a "b"', "it's", """both ' and " and '"'"""])
+def test_xml_values_are_not_edited(value, name):
+    inside = '<![CDATA[x xmlns="u" <a:b>]]>'
+    xml = F.lit(f'<p:D xmlns:p="u"><p:V><p:Name><![CDATA[{name}]]></p:Name><p:Value>{inside}</p:Value></p:V></p:D>')
+    assert value(xp.value_by_sibling(xml, "V", name)) == 'x xmlns="u" <a:b>'
+    assert value(xp.value_by_sibling(xml, "V", name + "?")) == ""
+
+
+@pytest.mark.parametrize("text", ["<open", "plain", "", "<a>x</b>", None])
+def test_text_that_is_no_xml(value, text):
+    assert value(xp.value_by_sibling(F.lit(text).cast("string"), "V", "x")) is None

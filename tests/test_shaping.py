@@ -93,3 +93,23 @@ def test_grid(make, rows):
     df = make([(0, 0)] * 9 + [(2, 1)] * 3, "x int, y int")
     assert rows(sh.char_ramp_grid(df, ("x", 0, 2), ("y", 0, 1), " 123456789")) == [(0, "9  "), (1, "  3")]
     assert rows(sh.char_ramp_grid(df.limit(0), ("x", 0, 1), ("y", 0, 0))) == [(0, "  ")]
+
+
+def test_xml_nodes_at_any_depth(make, rows, plan_of):
+    xml = (
+        '<p:R xmlns:p="u"><p:S><p:Q p:id="1"><p:B><![CDATA[x xmlns="u" <a:b>]]> &amp; <i>in</i> z</p:B><p:B>second</p:B></p:Q></p:S>'
+        '<Q id="2"><B></B><Q id="3"><B>inner</B></Q><N>007</N></Q><Q/><S><Q id="4"><N> 5 </N></Q></S></p:R>')
+    texts = [(1, xml), (2, "<broken"), (3, None), (4, ""), (5, "plain"), (6, "<Q><N>1</N></Q>")]
+    out = sh.xml_nodes_anywhere(make(texts, "k int, xml string"), "xml", "Q", {"_id": "int", "B": "string", "N": "string"}, ["k"])
+    assert rows(out) == sorted([
+        (1, 1, 'x xmlns="u" <a:b> & in z', None), (1, 2, None, "007"), (1, 3, "inner", None), (1, None, None, None), (1, 4, None, " 5 "), (6, None, None, "1"),
+    ], key=lambda r: [(x is None, x) for x in r])
+    assert "Python" not in plan_of(out) and "Arrow" not in plan_of(out)
+    with pytest.raises(Exception, match="deep inside each other"):
+        sh.xml_nodes_anywhere(make(texts, "k int, xml string"), "xml", "Q", {"_id": "int"}, ["k"], nesting=1).collect()
+
+
+def test_xml_nodes_keep_cdata(make, rows):
+    xml = '<p:D xmlns:p="u"><p:V p:q="7"><p:Value><![CDATA[x xmlns="u" <a:b>]]></p:Value></p:V></p:D>'
+    out = sh.xml_nodes(make([(1, xml), (2, "<broken"), (3, None)], "k int, xml string"), "xml", "V", {"_q": "int", "Value": "string"}, ["k"])
+    assert rows(out) == [(1, 7, 'x xmlns="u" <a:b>')]
