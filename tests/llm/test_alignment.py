@@ -105,3 +105,14 @@ def test_pieces_of_the_merge_path(piece):
         assert a[at_a].tolist() == b[at_b].tolist() == sorted(set(a.tolist()) & set(b.tolist()))
         cut_a, cut_b = alignment.path_cuts(a, b, piece)
         assert max(np.diff(cut_a) + np.diff(cut_b), default=0) <= piece
+
+
+def test_both_encoders_of_one_vocabulary(spark):
+    """Every settled character in several surroundings, and the smallest table's texts."""
+    texts = [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}2 {chr(c)}'s\n{chr(c)}  {chr(c)}" for c in range(0x500)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text] + [" " * 600, "x" + "\n" * 499]
+    slow = Tokenizer.from_file(A)
+    slow.encode_special_tokens = True
+    assert alignment.byte_level(A).encode(texts) == [e.ids for e in slow.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
+    assert alignment._ranked(A, alignment.byte_level(A).tokens) is not None
+    assert [alignment._SETTLED.fullmatch(t) is not None for t in ("plain\nÄ", "語", " " * 600, "")] == [True, False, False, True]
