@@ -11,7 +11,8 @@ hold some of them, and so must the partner's. The first sieve drops sets whose
 sketch has too few tokens that any other sketch has; the second does the same
 with all tokens of what is left. For the second, tokens are ordered by how many
 sets hold them: two linked sets share one of their rarest tokens, and only these
-stand in the matrix that finds the groups of a set.
+stand in the matrix that finds the groups of a set. What no other set has of a
+set also bounds the size of its partners.
 
 Tokens are counted in chunks of bounded text: a chunk lists each of its tokens
 once, lists are dealt by ranges of hashes, and every chunk gets one byte for
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from setwise.llm.components import components
@@ -41,7 +42,7 @@ from setwise.llm.texts import parts_of
 
 SPARE = 10  # tokens in common that a sketch is sure to hold, per cent of a set
 CHUNK_BYTES = 2_000_000
-PART_TOKENS = 2_000_000  # tokens of a range of hashes, which one task counts
+PART_TOKENS = 500_000  # tokens of a range of hashes, which one task counts
 GROUP, GROUP_TOKENS = 16, 200_000  # about so many members or tokens in a group
 KEYS = 1_000_000  # so many keys may be broadcast
 CELLS = np.random.default_rng(11).integers(0, 1 << 63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,10 +141,10 @@ def _counted(table: pa.Table) -> pa.Table:
 
 
 def _sieve(chunks: DataFrame, percent: int, spare: int | None, whole: bool, part_tokens: int) -> DataFrame:
-    """Sets that may have a partner: set_id, n, and with ``whole`` weight, rare tokens, all tokens and cells."""
+    """Sets that may have a partner: set_id, n, and with ``whole`` weight, largest size of a partner, rare tokens, all tokens and cells."""
     total = chunks.agg(F.coalesce(F.sum(F.size("tokens").cast("bigint")), F.lit(0))).first()[0]
     codes = _dealt(chunks, max(1, -(-total // part_tokens))).groupBy("part").applyInArrow(_counted, "back bigint, piece int, codes binary")
-    out = StructType.fromDDL("set_id binary, n int" + (", weight double, rare array<bigint>, tokens array<bigint>, cells array<bigint>" if whole else ""))
+    out = StructType.fromDDL("set_id binary, n int" + (", weight double, cap bigint, rare array<bigint>, tokens array<bigint>, cells array<bigint>" if whole else ""))
     names = out.names
 
     def run(chunk: pa.Table, back: pa.Table) -> pa.Table:
@@ -159,38 +160,35 @@ def _sieve(chunks: DataFrame, percent: int, spare: int | None, whole: bool, part
         kept = np.flatnonzero((np.diff(shared) >= sure) & (n > 0))
         columns = [pa.array([ids[i] for i in kept], pa.binary()), pa.array(n[kept], pa.int32())]
         if whole:
-            rows = [_described(tokens[ends[i] - size[i] : ends[i]], code[ends[i] - size[i] : ends[i]], int(size[i] - sure[i]) + 1) for i in kept]
-            weight, rare, held, cells = zip(*rows, strict=True) if rows else ((), (), (), ())
-            columns += [pa.array(weight, pa.float64()), *(pa.array(x, pa.list_(pa.int64())) for x in (rare, held, cells))]
+            rows = [_described(tokens[ends[i] - size[i] : ends[i]], code[ends[i] - size[i] : ends[i]], int(size[i] - sure[i]) + 1, percent) for i in kept]
+            weight, cap, rare, held, cells = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            columns += [pa.array(weight, pa.float64()), pa.array(cap, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (rare, held, cells))]
         return pa.Table.from_arrays(columns, names=names)
 
     read = chunks.select("chunk", "ids", "n", "ends", "tokens")
     return read.groupBy("chunk").cogroup(codes.groupBy("back")).applyInArrow(run, out).dropDuplicates(["set_id"])
 
 
-def _described(tokens: np.ndarray, code: np.ndarray, first: int):
-    """(how common its tokens are, the rarest that others have, all, the least under each cell's hash)."""
+def _described(tokens: np.ndarray, code: np.ndarray, first: int, percent: int):
+    """(how common its tokens are, the largest partner, the rarest tokens that others have, all, the least under each cell's hash).
+
+    A set shares no more than what others have of it, so a partner must be small enough for that to be ``percent`` of the union.
+    """
     rarest = np.lexsort((tokens, code))[:first]
     rarest = rarest[code[rarest] > 0]
     cells = [mixed(tokens * c).min() for c in CELLS]
-    return float(code.mean()), tokens[rarest].view(np.int64), tokens.view(np.int64), np.array(cells, np.uint64).view(np.int64)
-
-
-def _shared(a: str, b: str) -> Column:
-    return F.size(F.array_intersect(f"{a}.tokens", f"{b}.tokens"))
-
-
-def _like_size(a: str, b: str, percent: int) -> Column:
-    return F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent
+    cap = int((code > 0).sum()) * (100 + percent) // percent - len(tokens)
+    return float(code.mean()), cap, tokens[rarest].view(np.int64), tokens.view(np.int64), np.array(cells, np.uint64).view(np.int64)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose sets share ``percent`` of their union."""
-    x = sets.select(F.col("rep").alias("a"), F.struct("n", "tokens").alias("x"))
-    y = sets.select(F.col("rep").alias("b"), F.struct("n", "tokens").alias("y"))
-    both = _shared("x", "y")
+    x = sets.select(F.col("rep").alias("a"), F.struct("n", "cap", "tokens").alias("x"))
+    y = sets.select(F.col("rep").alias("b"), F.struct("n", "cap", "tokens").alias("y"))
+    both = F.size(F.array_intersect("x.tokens", "y.tokens"))
     return pairs.join(x, "a").join(y, "b").where(
-        _like_size("x", "y", percent) & (both * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)).select("a", "b")
+        (F.col("x.n") <= F.col("y.cap")) & (F.col("y.n") <= F.col("x.cap"))
+        & (both * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)).select("a", "b")
 
 
 def _stars(sets: DataFrame) -> DataFrame:
@@ -208,28 +206,28 @@ def _searched(sets: DataFrame, joined: DataFrame, percent: int, hold: Scratch, g
     members = hold.table(by_cell.join(cuts, "cell").withColumn(
         "group", F.xxhash64("cell", F.pmod(F.xxhash64("rep"), F.col("cuts")))).drop("cell", "cuts", "cells", "weight"), "members")
     groups = members.groupBy("group").agg(
-        F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+        F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
 
     # The matrix: the groups of each token, with the components of the members that hold it.
-    entries = members.select(F.explode("rare").alias("token"), "rep", "group", "component", "n")
+    entries = members.select(F.explode("rare").alias("token"), "rep", "group", "component", "n", "cap")
     held = entries.groupBy("token", "component").agg(F.count("*").alias("holders"))
     several = hold.table(held.groupBy("token").agg(
         F.max_by("component", F.struct("holders", "component")).alias("largest"), F.count("*").alias("n_components")).where("n_components > 1"), "tokens")
     open_entries = hold.table(entries.join(several, "token"), "entries")
-    matrix = open_entries.groupBy("token", "group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    asking = open_entries.where("component <> largest").select("token", "rep", "component")
-    met = asking.join(matrix, "token").where("low <> component OR high <> component").select("rep", "group").distinct()
+    matrix = open_entries.groupBy("token", "group").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                                         F.min("n").alias("least_n"), F.max("cap").alias("most_cap"))
+    asking = open_entries.where("component <> largest").select("token", "rep", "component", "n", "cap")
+    met = asking.join(matrix, "token").where(
+        "(low <> component OR high <> component) AND least_n <= cap AND n <= most_cap").select("rep", "group").distinct()
     met = hold.table(met, "met")
 
     q = members.select("rep", F.col("n").alias("q_n"), F.col("tokens").alias("q_tokens"))
     bound = F.size(F.array_intersect("q_tokens", "tokens"))
-    fits = (F.col("most_n") * 100 >= F.col("q_n") * percent) & (F.col("q_n") * 100 >= F.col("least_n") * percent)
-    opened = hold.table(met.join(q, "rep").join(groups, "group").where(
-        fits & (bound * 100 >= F.col("q_n") * percent)).select("rep", "group"), "opened")
-    inside = members.select("group", F.col("rep").alias("b"), F.col("component").alias("b_component"), F.col("n").alias("b_n"))
-    of_a = members.select("rep", "component", "n")
-    return opened.join(of_a, "rep").join(inside, "group").where(
-        (F.col("component") != F.col("b_component")) & (F.least("n", "b_n") * 100 >= F.greatest("n", "b_n") * percent)).select(
+    opened = hold.table(met.join(q, "rep").join(groups, "group").where(bound * 100 >= F.col("q_n") * percent).select("rep", "group"), "opened")
+    inside = members.select(
+        "group", F.col("rep").alias("b"), F.col("component").alias("b_component"), F.col("n").alias("b_n"), F.col("cap").alias("b_cap"))
+    return opened.join(members.select("rep", "component", "n", "cap"), "rep").join(inside, "group").where(
+        "component <> b_component AND n <= b_cap AND b_n <= cap").select(
         F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
 
 
