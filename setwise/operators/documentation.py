@@ -8,6 +8,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DataType, DecimalType, StructField
 
+from setwise.operators.discovery import unique_columns
+
 _INTEGERS = ("byte", "short", "integer", "long")
 _NUMBERS = (*_INTEGERS, "float", "double", "decimal")
 _TIMES = ("date", "timestamp", "timestamp_ntz")
@@ -121,32 +123,10 @@ def large_columns(df: DataFrame, table: str, threshold: int = 8000) -> DataFrame
     ).where(F.col("max_bytes") > threshold)
 
 
-# Relative error of the approximate counts below, and how many of it a count may be off.
-_ERROR, _TIMES_ERROR = 0.05, 6
-
-
-def candidate_keys(df: DataFrame, table: str) -> DataFrame:
-    """Per table how many of its columns are unique and never NULL.
-
-    One pass counts rows, NULLs and approximate values of all columns. Columns
-    with NULLs, and those whose approximate count is out of reach of the rows,
-    are out; only what is left is counted exactly, in a second pass.
-    """
-    names = [f.name for f in df.schema.fields]
-    one = df.selectExpr("count(1) as n", *[x for i, f in enumerate(df.schema.fields) for x in (
-        f"count(`{f.name}`) as c{i}", f"approx_count_distinct({_comparable(f)[1]}, {_ERROR}) as d{i}")]).first()
-    possible = [c for i, c in enumerate(names)
-                if one[f"c{i}"] == one.n and one[f"d{i}"] >= (1 - _TIMES_ERROR * _ERROR) * one.n]
-    head = f"{_quoted(table)} as table_name"
-    if not possible or not one.n:  # in a table without rows every column is unique
-        return df.sparkSession.range(1).selectExpr(head, f"{0 if one.n else len(names)}L as key_columns")
-    unique = distinct_counts(df, possible).agg(F.count_if(F.col("distinct") == one.n).alias("key_columns"))
-    return unique.selectExpr(head, "key_columns")
-
-
 def keyless_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Tables in which no single column identifies a row."""
-    return _union(candidate_keys(df, name) for name, df in tables.items()).where("key_columns = 0").select("table_name")
+    """Tables in which no single column identifies a row. A column is ruled out by a NULL, by two equal values, or by its exact count."""
+    names = [name for name, columns in unique_columns(tables).items() if not columns and tables[name].columns]
+    return next(iter(tables.values())).sparkSession.createDataFrame([(n,) for n in names], "table_name string")
 
 
 def staleness(

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import functools
+import itertools
 
 from pyspark.sql import DataFrame, functions as F
 
-from setwise.operators import documentation as doc
+from setwise.operators import discovery, documentation as doc
 from setwise.plans.aggregation import TABLE_NAMES
 from setwise.plans.registry import number, query
 from setwise.sources.tables import Tables
@@ -93,6 +94,39 @@ def keyless_tables(t: Tables):
     return doc.keyless_tables(all_tables(t))
 
 
+def _key_sets_sql() -> str:
+    parts = []
+    for n in TABLE_NAMES:
+        usable = [c for c, _ in column_kinds(n)]
+        unique = {c: f"(COUNT(DISTINCT {c}) = COUNT(*))" for c in usable}
+        parts += [f"SELECT '{n}' AS table_name, '{c}' AS key_columns, 1 AS n_columns FROM {n} HAVING {unique[c]}" for c in usable]
+        parts += [
+            f"SELECT '{n}', '{a},{b}', 2 FROM {n} HAVING NOT {unique[a]} AND NOT {unique[b]} AND COUNT({a}) = COUNT(*) AND COUNT({b}) = COUNT(*) "
+            f"AND COUNT(DISTINCT ({a}, {b})) = COUNT(*)" for a, b in itertools.combinations(usable, 2)]
+    return " UNION ALL ".join(parts)
+
+
+@query("candidate_key_sets", sql=_key_sets_sql())
+def candidate_key_sets(t: Tables):
+    """Every minimal key of one or two columns, of all tables."""
+    return discovery.candidate_key_sets(all_tables(t), widest=2)
+
+
+# The class of each kind of column, real where the type says so.
+_CLASS = {"n": "integer", "s": "string", "t": "timestamp_ntz", "a": "array"}
+
+@query("fk_edges_by_value", sql="WITH v AS (" + " UNION ALL ".join(
+    f"SELECT DISTINCT '{n}' AS t, '{c}' AS c, '{'real' if c in _TYPES['double'] else _CLASS[k]}' AS kind, {c}::VARCHAR AS v FROM {n} WHERE {c} IS NOT NULL"
+    for n in TABLE_NAMES for c, k in column_kinds(n)) + "), r AS (" + " UNION ALL ".join(f"SELECT '{n}' AS t, COUNT(*) AS n FROM {n}" for n in TABLE_NAMES) + """),
+o AS (SELECT t, c, COUNT(*) AS n FROM v GROUP BY ALL),
+p AS (SELECT a.t AS child, a.c AS child_column, b.t AS parent, b.c AS parent_column, COUNT(*) AS n FROM v a JOIN v b USING (kind, v) WHERE (a.t, a.c) <> (b.t, b.c) GROUP BY ALL)
+SELECT child, child_column, parent, parent_column, x.n AS child_values, y.n AS parent_values, y.n = r.n AS parent_is_key
+FROM p JOIN o x ON x.t = child AND x.c = child_column AND x.n = p.n JOIN o y ON y.t = parent AND y.c = parent_column JOIN r ON r.t = parent""")
+def fk_edges_by_value(t: Tables):
+    """References of all columns to all columns, found from their values alone."""
+    return discovery.inclusions(all_tables(t))
+
+
 @query("staleness", sql="""
 WITH o AS (SELECT d.*, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
 SELECT source, COUNT(*) AS rows, COUNT(quality) AS rows_known, COUNT(*) FILTER (quality IS NULL OR quality <> CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END) AS modifications,
