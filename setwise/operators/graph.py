@@ -1,10 +1,13 @@
 """Reach and closure over "is blocked by" edges, in logarithmically many rounds.
 
-Every node waits for at most one other, so following the edge is a function.
+Where a node waits for one other at most, following the edge is a function.
 Each round joins that function with itself, doubling the distance it spans:
 a chain of a million nodes takes twenty rounds, and no round holds more than
-one row per node. Rounds are stored in the shared folder, so lineage stays
-short and a lost executor re-reads instead of re-running the rounds.
+one row per node. Nodes that wait for several others are cut off as roots of
+trees of their own; pairs are formed between such nodes and the places where
+their blockers enter a tree, and along a tree's path only where several enter
+the same tree. Rounds are stored in the shared folder, so lineage stays short
+and a lost executor re-reads instead of re-running the rounds.
 """
 
 from __future__ import annotations
@@ -27,37 +30,127 @@ def descendant_count(nodes: DataFrame, node: str, blocked_by: str, name: str = "
 
     Input has a row per node and node it waits for, or NULL. Blockers that are
     not nodes themselves are ignored. Nodes waiting in a circle each count the
-    others of the circle and everything behind it. Where every node waits for
-    one other at most, pointers are doubled; else pairs are (see ``_closure``).
+    others of the circle and everything behind it, once however many ways there
+    are.
     """
     pairs = nodes.select(F.col(node).alias("node"), F.col(blocked_by).alias("up")).distinct()
     known = pairs.select(F.col("node").alias("__n")).distinct()
-    pairs = materialize(
-        pairs.join(known, pairs["up"] == known["__n"], "left")
-        .select("node", F.when(F.col("__n") != F.col("node"), F.col("__n")).alias("up")), "edges")
-    total, distinct, linked = pairs.agg(
-        F.count(F.lit(1)), F.count_distinct("node"), F.count("up")).first()
-    if total != distinct:
-        behind = _closure(pairs).where("node <> up").groupBy(F.col("up").alias("__up")).agg(F.count(F.lit(1)).alias("below"))
-        every = pairs.select("node").distinct().join(behind, F.col("node") == F.col("__up"), "left")
-        return _attach(nodes, node, every.select("node", F.coalesce("below", F.lit(0)).alias("below")), name)
-    rounds = max(total, 1).bit_length()
-    # A forest empties within `rounds` doublings; what is left leads into a circle.
-    counted, circles = _subtree_sizes(pairs, rounds)
-    if circles is None:
-        return _attach(nodes, node, counted.select("node", (F.col("below") - 1).alias("below")), name)
-
-    on_circle = materialize(circles.select(F.col("up").alias("node")).distinct(), "circle")
-    cut = materialize(
-        pairs.join(on_circle.withColumnRenamed("node", "__c"), F.col("node") == F.col("__c"), "left")
-        .select("node", F.when(F.col("__c").isNull(), F.col("up")).alias("up")), "cut")
-    sizes, _ = _subtree_sizes(cut, rounds)
-    ids = _circle_ids(pairs.join(on_circle, "node", "left_semi"), rounds)
-    per_circle = sizes.join(ids, "node").groupBy("circle").agg(F.sum("below").alias("__all"))
-    circle_total = ids.join(per_circle, "circle").select(F.col("node").alias("__c"), "__all")
-    result = sizes.join(circle_total, F.col("node") == F.col("__c"), "left").select(
-        "node", (F.coalesce("__all", "below") - 1).alias("below"))
-    return _attach(nodes, node, result, name)
+    edges = materialize(pairs.join(known, pairs["up"] == known["__n"], "left_semi").where("node <> up"), "edges")
+    weights = known.select(F.col("__n").alias("node"), F.lit(1).cast("bigint").alias("weight"))
+    graph = _Graph.of(weights, edges)
+
+    place = None  # node -> the node that stands for its circle
+    if graph.circles is not None:
+        on_circle = graph.circles.select(F.col("up").alias("node")).distinct()
+        place = _circle_ids(graph.forest.join(on_circle, "node", "left_semi"), graph.rounds)
+        weights, edges = _condensed(weights, edges, place)
+        graph = _Graph.of(weights, edges)
+    reach = graph.branches_reached()
+    turning = _turning_groups(graph, reach) if reach is not None else None
+    if turning is not None:
+        weights, edges = _condensed(weights, edges, turning)
+        place = turning if place is None else _chained(place, turning)
+        graph = _Graph.of(weights, edges)
+        reach = graph.branches_reached()
+    total = graph.totals(reach)
+    if place is not None:
+        stands = known.select(F.col("__n").alias("node")).join(place, "node", "left").select("node", F.coalesce("circle", "node").alias("__at"))
+        total = stands.join(total.withColumnRenamed("node", "__at"), "__at")
+    return _attach(nodes, node, total.select("node", (F.col("total") - 1).alias("below")), name)
+
+
+class _Graph:
+    """Weighted nodes and the edges to what they wait for, split into a forest and the edges of nodes that wait for several."""
+
+    def __init__(self, weights: DataFrame, forest: DataFrame, several: DataFrame | None, trees: DataFrame, circles: DataFrame | None, rounds: int):
+        self.weights, self.forest, self.several, self.trees, self.circles, self.rounds = weights, forest, several, trees, circles, rounds
+
+    @classmethod
+    def of(cls, weights: DataFrame, edges: DataFrame) -> _Graph:
+        counted = edges.groupBy("node").agg(F.count(F.lit(1)).alias("n_up"), F.min("up").alias("one"))
+        forest = materialize(weights.join(counted, "node", "left").select(
+            "node", F.when(F.col("n_up") == 1, F.col("one")).alias("up"), "weight", (F.col("n_up") > 1).alias("branches")), "forest")
+        size, branching = forest.agg(F.count(F.lit(1)), F.count_if("branches")).first()
+        rounds = max(size, 1).bit_length()
+        trees, circles = _subtree_sums(forest.select("node", "up", F.col("weight").alias("below")), rounds)
+        several = edges.join(forest.where("branches").select("node"), "node", "left_semi") if branching else None
+        return cls(weights, forest, several, trees, circles, rounds)
+
+    def branches_reached(self) -> DataFrame | None:
+        """(node, up): branching nodes and the branching roots of the trees they get into, directly or through others."""
+        if self.several is None:
+            return None
+        roots = self.forest.where("branches").select(F.col("node").alias("top"))
+        entered = self.several.join(self.trees.select(F.col("node").alias("up"), "top"), "up").join(roots, "top", "left_semi")
+        return _closure(entered.select("node", F.col("top").alias("up")))
+
+    def totals(self, reach: DataFrame | None) -> DataFrame:
+        """(node, total): the weight of each node and of all that wait for it; the graph has no circles."""
+        if reach is None:
+            return self.trees.select("node", F.col("below").alias("total"))
+        behind = self.trees.select(F.col("node").alias("b"), F.col("below").alias("w"))
+        starts = self.several.select(F.col("node").alias("via"), F.col("up").alias("entry"))
+        steps = reach.select(F.col("node").alias("b"), F.col("up").alias("via"))
+        steps = steps.union(self.forest.where("branches").select(F.col("node").alias("b"), F.col("node").alias("via")))
+        entries = steps.join(starts, "via").select("b", "entry").distinct()
+        placed = materialize(entries.join(self.trees.select(F.col("node").alias("entry"), "top"), "entry").join(behind, "b"), "entries")
+        # A tree entered once counts all that comes in by adding it where it enters: the sums over subtrees carry it to the root.
+        # Where several ways enter one tree their paths join, so every node of these paths is named once.
+        ways = placed.groupBy("b", "top").agg(F.count(F.lit(1)).alias("ways"))
+        once = placed.join(ways.where("ways = 1"), ["b", "top"], "left_semi").groupBy(F.col("entry").alias("node")).agg(F.sum("w").alias("more"))
+        joining = placed.join(ways.where("ways > 1"), ["b", "top"], "left_semi").select(F.col("b").alias("tag"), F.col("entry").alias("node"))
+        on_paths = _ancestors(joining, self.forest).join(behind, F.col("tag") == F.col("b")).groupBy("node").agg(F.sum("w").alias("direct"))
+        valued = self.forest.join(once, "node", "left").select("node", "up", (F.col("weight") + F.coalesce("more", F.lit(0))).alias("below"))
+        summed, _ = _subtree_sums(valued, self.rounds)
+        return summed.join(on_paths, "node", "left").select("node", (F.col("below") + F.coalesce("direct", F.lit(0))).alias("total"))
+
+
+def _turning_groups(graph: _Graph, reach: DataFrame) -> DataFrame | None:
+    """(node, circle) for nodes on circles that pass through branching nodes, or None without any.
+
+    Branching nodes that reach each other are on a circle, and so are the paths by which one of them enters the tree of another.
+    """
+    back = reach.select(F.col("node").alias("up"), F.col("up").alias("node"))
+    circle = materialize(reach.join(back, ["node", "up"], "left_semi").groupBy("node").agg(F.min("up").alias("circle")), "turning")
+    if circle.isEmpty():
+        return None
+    of_top = circle.select(F.col("node").alias("top"), F.col("circle").alias("at_top"))
+    inner = graph.several.join(circle, "node").join(graph.trees.select(F.col("node").alias("up"), "top"), "up").join(of_top, "top").where("circle = at_top")
+    paths = _ancestors(inner.select(F.col("circle").alias("tag"), F.col("up").alias("node")), graph.forest)
+    return materialize(paths.select("node", F.col("tag").alias("circle")).union(circle).distinct(), "turning")
+
+
+def _condensed(weights: DataFrame, edges: DataFrame, place: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph with one node for each circle."""
+    heavy = weights.join(place, "node", "left").groupBy(F.coalesce("circle", "node").alias("node")).agg(F.sum("weight").alias("weight"))
+    up = place.select(F.col("node").alias("up"), F.col("circle").alias("up_circle"))
+    fewer = edges.join(place, "node", "left").join(up, "up", "left").select(
+        F.coalesce("circle", "node").alias("node"), F.coalesce("up_circle", "up").alias("up")).where("node <> up").distinct()
+    return materialize(heavy, "weights"), materialize(fewer, "edges")
+
+
+def _chained(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Where nodes stand after both condensations."""
+    later = second.select(F.col("node").alias("circle"), F.col("circle").alias("later"))
+    moved = first.join(later, "circle", "left").select("node", F.coalesce("later", "circle").alias("circle"))
+    return moved.union(second.join(first, "node", "left_anti"))
+
+
+def _ancestors(seeds: DataFrame, forest: DataFrame) -> DataFrame:
+    """(tag, node): the seeds and everything above them in a forest."""
+    jumps = materialize(forest.select("node", "up"), "jumps")
+    reached = materialize(seeds.distinct(), "paths")
+    size = reached.count()
+    while True:
+        ahead = reached.join(jumps, "node").where("up is not null").select("tag", F.col("up").alias("node"))
+        last, reached = reached, materialize(reached.union(ahead).distinct(), "paths")
+        release(last)
+        before, size = size, reached.count()
+        if before == size:
+            release(jumps)
+            return reached
+        last, jumps = jumps, materialize(_double(jumps).select("node", F.col("__up").alias("up")), "jumps")
+        release(last)
 
 
 def _attach(nodes: DataFrame, node: str, counted: DataFrame, name: str) -> DataFrame:
@@ -65,38 +158,41 @@ def _attach(nodes: DataFrame, node: str, counted: DataFrame, name: str) -> DataF
 
 
 def _closure(pairs: DataFrame) -> DataFrame:
-    """(node, up) for everything a node waits for, directly or through others, with several blockers a node.
+    """(node, up) for everything a node gets to, directly or through others.
 
-    A round joins the pairs with themselves, so distances double; it ends when
-    no pair is new, in circles too. The number of pairs is that of the result.
+    A round puts what the last one found before all that is known, so distances
+    double and no pair is put together twice; it ends when no pair is new, in
+    circles too.
     """
-    reach = materialize(pairs.where("up is not null").distinct(), "closure")
-    size = reach.count()
-    while True:
+    reach = materialize(pairs.distinct(), "closure")
+    fresh = reach
+    while not fresh.isEmpty():
         ahead = reach.select(F.col("node").alias("__via"), F.col("up").alias("__up"))
-        more = reach.join(ahead, F.col("up") == F.col("__via")).select("node", F.col("__up").alias("up"))
-        grown = materialize(reach.union(more).distinct(), "closure")
+        more = fresh.join(ahead, F.col("up") == F.col("__via")).select("node", F.col("__up").alias("up")).distinct()
+        found = materialize(more.join(reach, ["node", "up"], "left_anti"), "closure")
+        grown = materialize(reach.union(found), "closure")
+        release(fresh)
         release(reach)
-        grown_size = grown.count()
-        if grown_size == size:
-            return grown
-        reach, size = grown, grown_size
+        reach, fresh = grown, found
+    return reach
 
 
-def _subtree_sizes(pairs: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame | None]:
-    """Sizes of the subtrees (self included), and the jumps that never end, if any.
+def _subtree_sums(pairs: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame | None]:
+    """(node, up, below, top): sums of ``below`` over each node's subtree, the root of its tree, and the jumps that never end, if any.
 
-    After k rounds ``below`` counts the nodes less than 2^k steps behind, and
+    After k rounds ``below`` covers the nodes less than 2^k steps behind, and
     ``up`` is the node 2^k steps ahead; what hangs off u's far end is added there.
     """
-    state = pairs.withColumn("below", F.lit(1).cast("bigint"))
+    state = pairs.withColumn("top", F.col("node"))
+    if pairs.where("up is not null").isEmpty():
+        return state, None
     for _ in range(rounds + 1):
         gained = state.where("up is not null").groupBy(F.col("up").alias("__to")).agg(F.sum("below").alias("__more"))
-        jumped = _double(state.select("node", "up"))
+        ahead = state.select(F.col("node").alias("__via"), F.col("up").alias("__up"), F.col("top").alias("__top"))
         last, state = state, materialize(
-            state.select("node", "below").join(jumped.select("node", F.col("__up").alias("up")), "node")
-            .join(gained, F.col("node") == F.col("__to"), "left")
-            .select("node", "up", (F.col("below") + F.coalesce("__more", F.lit(0))).alias("below")), "reach")
+            state.join(ahead, F.col("up") == F.col("__via"), "left").join(gained, F.col("node") == F.col("__to"), "left").select(
+                "node", F.col("__up").alias("up"), (F.col("below") + F.coalesce("__more", F.lit(0))).alias("below"),
+                F.coalesce("__top", "top").alias("top")), "reach")
         release(last)
         if state.where("up is not null").isEmpty():
             return state, None

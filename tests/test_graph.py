@@ -54,6 +54,56 @@ def test_several_blockers(make):
     assert {r.id: r.blocked_count for r in found.collect()} == {51: 4, 52: 3, 53: 2, 60: 1, 61: 1, 70: 0}
 
 
+def counts_by_force(edges):
+    up = {}
+    for n, b in edges:
+        up.setdefault(n, set()).add(b)
+    below = {n: set() for n in up}
+    for n in up:
+        seen, todo = {n}, [n]
+        while todo:
+            for b in up[todo.pop()]:
+                if b in up and b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        for b in seen - {n}:
+            below[b].add(n)
+    return {n: len(x) for n, x in below.items()}
+
+
+def several(make, edges):
+    found = graph.descendant_count(make(edges, "id int, by int"), "id", "by", "n").collect()
+    return {r.id: r.n for r in found}
+
+
+@pytest.mark.parametrize("seed", (0, 3))
+def test_random_graphs(make, seed):
+    """Trees, circles, circles through nodes with several blockers, and paths that join again."""
+    rnd = random.Random(seed)
+    size = 40
+    edges = [(i, None) for i in range(size) if rnd.random() < 0.2]
+    for i in range(size):
+        for _ in range(rnd.choice((1, 1, 1, 1, 2, 3)) if seed else 1):
+            edges.append((i, rnd.randrange(i) if i and rnd.random() < (0.9 if seed else 1) else rnd.randrange(size)))
+    assert several(make, edges) == counts_by_force(edges)
+
+
+def test_one_node_with_two_blockers_in_a_chain(make, monkeypatch):
+    """The rest of the chain stays at one row a node."""
+    held = []
+    store = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label="stage": held.append((label, store(df, label))) or held[-1][1])
+    monkeypatch.setattr(graph, "release", lambda df: None)
+    edges = [(i, i - 1 if i else None) for i in range(300)] + [(200, 100)]
+    assert several(make, edges) == {i: 299 - i for i in range(300)}
+    assert max(df.count() for _, df in held) <= 301
+
+
+def test_ways_that_join(make):
+    edges = [(4, 2), (4, 3), (2, 1), (3, 1), (1, None), (5, 4), (6, 4), (7, 3), (7, 5)]
+    assert several(make, edges) == counts_by_force(edges) == {1: 6, 2: 4, 3: 4, 4: 3, 5: 1, 6: 0, 7: 0}
+
+
 def test_chase_missing(make, rows):
     table = make([(1, None), (2, 1), (3, 2), (4, 3), (5, 9), (6, 7), (7, 6), (8, None)], "id int, by int")
     chased = lambda seeds: [r[0] for r in rows(graph.chase_missing(make([(s,) for s in seeds], "id int"), table, "id", "by").select("id"))]
