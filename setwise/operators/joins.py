@@ -181,12 +181,16 @@ def first_non_null(df: DataFrame, sides: Sequence[tuple[DataFrame, str]], key: s
     return df.withColumn(name, F.coalesce(*values, F.lit(default))).drop(*values)
 
 
-def chained_lookup(df: DataFrame, links: Sequence[tuple[DataFrame, str, str, Sequence[str]]], dataset: str | None = None) -> DataFrame:
+def chained_lookup(
+    df: DataFrame, links: Sequence[tuple[DataFrame, str, str, Sequence[str]]], dataset: str | None = None, failed: DataFrame | None = None,
+) -> DataFrame:
     """Left-join a chain of lookups: each link is (table, table key, key expression, columns to bring).
 
     A key expression may use columns earlier links brought in. With
     ``dataset`` the tables carry that column too and it is part of each key,
-    so rows of many datasets resolve in one pass.
+    so rows of many datasets resolve in one pass. ``failed`` (dataset,
+    query_error) are datasets whose tables could not be had: their rows find
+    nothing and get that ``query_error``, all others NULL.
     """
     for i, (table, table_key, key_expr, bring) in enumerate(links):
         k, d = f"__k{i}", f"__d{i}"
@@ -195,4 +199,8 @@ def chained_lookup(df: DataFrame, links: Sequence[tuple[DataFrame, str, str, Seq
         if dataset:
             cond = cond & (F.col(dataset) == F.col(d))
         df = df.join(picked, cond, "left").drop(k, d)
-    return df
+    if failed is None:
+        return df
+    if not dataset:
+        raise ValueError("failed datasets need the name of the dataset column")
+    return df.join(failed.groupBy(dataset).agg(F.min("query_error").alias("query_error")), dataset, "left").select(*df.columns, "query_error")

@@ -9,13 +9,14 @@ from setwise.functions.times import int_div
 from setwise.operators import aggregates as ag
 from setwise.operators import documentation as doc
 from setwise.operators import incremental as inc
+from setwise.operators import joins as jn
 from setwise.operators import maintenance as mt
 from setwise.operators import ranking as rk
 from setwise.plans.aggregation import TABLE_NAMES
 from setwise.plans.registry import day_text, number, query, time_text
 from setwise.session import scratch_path
 from setwise.sources import sinks
-from setwise.sources.tables import Dataset, Tables, choose_datasets, for_each_dataset
+from setwise.sources.tables import Dataset, Tables, choose_datasets, for_each_dataset, run_each_dataset
 
 
 def user_snapshot(t: Tables, until: str) -> DataFrame:
@@ -237,6 +238,48 @@ def each_dataset(t: Tables):
                       F.coalesce("query_error", F.lit("none")).alias("query_error"))
 
 
+def labels_by_dataset(t: Tables) -> DataFrame:
+    """Labels of each entity by key, from datasets of which one has texts where numbers are asked for and one cannot be read."""
+    unreadable = scratch_path(t.spark, "no-parquet")
+    t.region.select("r_name").write.text(unreadable)
+    broken = lambda: t.spark.read.schema("nationkey bigint, name string").parquet(unreadable)
+    read = lambda n, key, label: lambda: t.read(n).select(F.col(key).alias("nationkey"), F.col(label).alias("name"))
+    sets = [
+        Dataset("customer", read("customer", "c_custkey", "c_name")), Dataset("supplier", read("supplier", "s_suppkey", "s_name")),
+        Dataset("part", read("part", "p_brand", "p_name")), Dataset("region", broken)]
+    query = lambda df: df.select(F.col("nationkey").cast("bigint").alias("key"), F.col("name").alias("label"))
+    return run_each_dataset(t.spark, sets, query, scratch_path(t.spark, "parts"))
+
+
+_FAILED_DATASETS = "(VALUES ('part', 'CAST_INVALID_INPUT'), ('region', 'FAILED_READ_FILE.NO_HINT')) AS f(dataset, query_error)"
+
+
+@query("datasets_apart", sql=f"""
+SELECT 'customer' AS dataset, c_custkey AS key, c_name AS label, 'none' AS query_error FROM customer
+UNION ALL SELECT 'supplier', s_suppkey, s_name, 'none' FROM supplier UNION ALL SELECT dataset, -1, 'none', query_error FROM {_FAILED_DATASETS}""")
+def datasets_apart(t: Tables):
+    """One query over datasets of which two fail while they run: the others are complete."""
+    return labels_by_dataset(t).select(
+        "dataset", F.coalesce("key", F.lit(-1)).alias("key"), *[F.coalesce(c, F.lit("none")).alias(c) for c in ("label", "query_error")])
+
+
+@query("chained_lookup_datasets", sql=f"""
+WITH w AS (SELECT 'customer' AS dataset, o_orderkey AS id, o_custkey AS k FROM orders UNION ALL SELECT 'supplier', l_orderkey * 10 + l_linenumber, l_suppkey FROM lineitem
+  UNION ALL SELECT 'part', p_partkey, p_partkey FROM part),
+t AS (SELECT 'customer' AS dataset, c_custkey AS k, c_name AS label FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier)
+SELECT w.dataset, id, COALESCE(label, 'unknown') AS label, COALESCE(query_error, 'none') AS query_error, COUNT(*) AS n
+FROM w LEFT JOIN t USING (dataset, k) LEFT JOIN {_FAILED_DATASETS} ON f.dataset = w.dataset GROUP BY ALL""")
+def chained_lookup_datasets(t: Tables):
+    """Keys of three datasets resolved in one pass; those of the dataset that failed say so."""
+    held = labels_by_dataset(t)
+    work = t.orders.select(F.lit("customer").alias("dataset"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k")).union(
+        t.lineitem.select(F.lit("supplier"), F.expr("l_orderkey * 10 + l_linenumber"), "l_suppkey")).union(
+        t.part.select(F.lit("part"), "p_partkey", "p_partkey"))
+    out = jn.chained_lookup(work, [(held.where("query_error IS NULL"), "key", "k", ["label"])], "dataset", held.where("query_error IS NOT NULL"))
+    return out.select("dataset", "id", F.coalesce("label", F.lit("unknown")).alias("label"), F.coalesce("query_error", F.lit("none")).alias("query_error")).groupBy(
+        "dataset", "id", "label", "query_error").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("restore_chain", sql="""
 WITH f AS (SELECT o_custkey, o_orderdate AS fd, o_orderkey AS fk FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r
   FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW') WHERE r = 1),

@@ -67,6 +67,11 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     if Scratch._open:

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import fnmatch
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
+from py4j.protocol import Py4JError, Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from setwise.session import exists
+
 
 class Tables:
     """Lazy access to ``<folder>/<name>.parquet``: ``Tables(spark, d).orders``."""
@@ -128,3 +133,60 @@ def for_each_dataset(
     if out is None:
         raise ValueError("no dataset chosen")
     return out
+
+
+def _error_text(error: Exception) -> str:
+    """The error's condition, or that of what caused it, or else the kind of error."""
+    if isinstance(error, PySparkException):
+        return error.getCondition() or type(error).__name__
+    cause = error.java_exception
+    while cause is not None:
+        try:
+            if condition := cause.getCondition():
+                return condition
+        except Py4JError:  # not one of Spark's
+            pass
+        cause = cause.getCause()
+    return error.java_exception.getClass().getSimpleName()
+
+
+def run_each_dataset(
+    spark: SparkSession, datasets: Sequence[Dataset], query: Callable[[DataFrame], DataFrame], target: str,
+    name: str = "dataset", at_once: int = 4,
+) -> DataFrame:
+    """One query over every dataset, each run and kept apart under ``target``; results stacked with the dataset's name.
+
+    A dataset that fails while it is planned or while it runs (a value that
+    cannot be cast, a file that cannot be read) gives one row with
+    ``query_error``, and the others complete. A part counts once its outcome is
+    stored after its rows: run again over the same ``target``, as after a
+    restart, complete parts are read, failed and unfinished ones run again.
+    ``at_once`` datasets run side by side.
+    """
+    if not datasets:
+        raise ValueError("no dataset chosen")
+    folders = {d.name: f"{target.rstrip('/')}/{quote(d.name, safe='')}" for d in datasets}
+
+    def done(d: Dataset) -> bool:
+        return exists(spark, f"{folders[d.name]}/complete/_SUCCESS")
+
+    def run(d: Dataset) -> str | None:
+        if done(d):
+            return None
+        try:
+            query(d.read()).write.mode("overwrite").parquet(f"{folders[d.name]}/rows")
+            spark.range(1).select(F.lit(d.name).alias(name)).write.mode("overwrite").parquet(f"{folders[d.name]}/complete")
+        except (PySparkException, Py4JJavaError) as error:
+            return _error_text(error)
+        return None
+
+    with ThreadPoolExecutor(at_once) as pool:
+        errors = dict(zip(folders, pool.map(run, datasets), strict=True))
+    out: DataFrame | None = None
+    for d in datasets:
+        if errors[d.name] is None:
+            part = spark.read.parquet(f"{folders[d.name]}/rows").select(F.lit(d.name).alias(name), "*", F.lit(None).cast("string").alias("query_error"))
+        else:
+            part = spark.range(1).select(F.lit(d.name).alias(name), F.lit(errors[d.name]).alias("query_error"))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out

@@ -84,6 +84,27 @@ def test_datasets(make, spark):
         src.for_each_dataset(spark, [], query)
 
 
+def test_datasets_that_fail_while_running(make, spark):
+    bad_file = scratch_path(spark, "bad-file")
+    make([("no parquet",)], "t string").write.text(bad_file)
+    runs, target = [], scratch_path(spark, "apart")
+    sets = [src.Dataset("good", lambda: runs.append("good") or make([("1",), ("2",)], "a string")), src.Dataset("a/b c", lambda: make([("5",)], "a string")),
+            src.Dataset("cast", lambda: make([("3",), ("x",)], "a string")), src.Dataset("file", lambda: spark.read.schema("a string").parquet(bad_file)),
+            src.Dataset("column", lambda: make([(1,)], "b int")), src.Dataset("empty", lambda: make([], "a string"))]
+    query = lambda df: df.select(F.col("a").cast("int").alias("a"))
+    got = src.run_each_dataset(spark, sets, query, target).collect()
+    assert sorted((r.dataset, r.a) for r in got if r.query_error is None) == [("a/b c", 5), ("good", 1), ("good", 2)]
+    errors = {r.dataset: r.query_error for r in got if r.query_error}
+    assert set(errors) == {"cast", "file", "column"} and errors["cast"] == "CAST_INVALID_INPUT" and errors["column"].startswith("UNRESOLVED_COLUMN")
+    # After a restart complete parts are read, failed ones run again.
+    mended = [src.Dataset("cast", lambda: make([("3",)], "a string")) if d.name == "cast" else d for d in sets]
+    again = src.run_each_dataset(spark, mended, query, target).collect()
+    assert sorted((r.dataset, r.a) for r in again if r.query_error is None) == [("a/b c", 5), ("cast", 3), ("good", 1), ("good", 2)]
+    assert runs == ["good"]
+    with pytest.raises(ValueError):
+        src.run_each_dataset(spark, [], query, target)
+
+
 def test_sources_and_sinks(make, spark):
     path = scratch_path(spark, "events")
     make([(1, "x")], "id int, kind string").write.json(path)
