@@ -8,8 +8,10 @@ from setwise.functions import measures as ms
 from setwise.functions import texts as tx
 from setwise.functions import xmlpath as xp
 from setwise.operators import shaping as sh
+from setwise.operators import textindex as ti
 from setwise.plans.aggregation import revenue
 from setwise.plans.registry import number, query
+from setwise.session import scratch_path
 from setwise.sources.tables import Tables
 
 
@@ -235,6 +237,24 @@ def text_search(t: Tables):
         documents.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id")))
 
 
+# What the indexed search looks for.
+SNIPPETS = ["License", "the ", "All rights reserved", "example.com", "class=", "No text holds this", "Ä", "q7"]
+
+
+@query("text_search_indexed", sql="WITH s(snippet) AS (VALUES " + ", ".join(f"('{s}')" for s in SNIPPETS) + """)
+SELECT 'page' AS kind, snippet, page_id AS id FROM pages, s WHERE contains(lower(html), lower(snippet))
+UNION ALL SELECT 'document', snippet, doc_id FROM documents, s WHERE contains(lower(text), lower(snippet))""")
+def text_search_indexed(t: Tables):
+    """Several snippets found by a stored trigram index of all texts; pages as binary."""
+    pages = t.pages.select("page_id", F.encode("html", "UTF-8").alias("content"))
+    out = []
+    for kind, texts, key, text in (("page", pages, "page_id", tx.decode_utf8("content")), ("document", t.documents, "doc_id", F.col("text"))):
+        index = scratch_path(t.spark, "text-index")
+        ti.build_index(texts, key, text, index)
+        out.append(ti.search(texts, key, text, index, SNIPPETS).select(F.lit(kind).alias("kind"), "snippet", F.col("key").alias("id")))
+    return out[0].unionByName(out[1])
+
+
 _GRID = """WITH g AS (SELECT h, w FROM range(24) a(h), range(1, 8) b(w)),
 e AS (SELECT hour(ts) AS h, dayofweek(ts) + 1 AS w, COUNT(*) AS n FROM events GROUP BY ALL)
 """
