@@ -4,7 +4,8 @@ A window is 13 consecutive words of an item (a shorter item is one window).
 Windows of one length share three tables: how far the search may jump for the
 last two words it stands on, the windows that end in two words that allow no
 jump, and among those the windows by first word. What is left is compared word
-by word.
+by word. Words are interned as numbers and a window is the place where it
+starts, so a block's tables are a small multiple of its text.
 
 The windows are a stated query set. They go to the tasks in blocks of a fixed
 number of words, so neither driver nor tasks hold more than a block of them;
@@ -14,8 +15,12 @@ a benchmark of more than one block costs one pass over the documents a block.
 from __future__ import annotations
 
 import hashlib
+import uuid
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,50 +32,110 @@ from setwise.llm.store import prepare, scratch
 from setwise.llm.texts import parts_of, plain_words
 
 WINDOW = 13
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 
 
 class WordSearch:
-    """Wu-Manber tables for patterns of one length (a list of words each)."""
-
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], list[str | None]]):
-        self.length, self.step = length, min(2, length)
-        self.far = length - self.step + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.ends: dict[tuple[bytes, ...], dict[bytes, list]] = defaultdict(lambda: defaultdict(list))
-        for words, owners in patterns.items():
-            for end in range(self.step, length + 1):
-                block = words[end - self.step : end]
-                self.shift[block] = min(self.shift.get(block, self.far), length - end)
-            self.ends[words[-self.step :]][words[0]].append((list(words), owners))
+    """Wu-Manber tables for the windows of some items: one length each for windows of ``window`` words and for items of fewer.
 
-    def find(self, words: list[bytes]):
-        """(start, owners) of every occurrence."""
-        n, shift, far, length, step = len(words), self.shift, self.far, self.length, self.step
-        at = length - 1
+    Words are numbers, items lie behind each other in one array, and a window is
+    the place where it starts. The table has, for a pair of words (or a single
+    one, for windows of one word), how far it lets the search jump, or if not at
+    all, where the windows that end in it begin among those sorted by their end
+    and first word.
+    """
+
+    def __init__(self, length: int, words: np.ndarray, first: np.ndarray, size: np.ndarray, owner: np.ndarray):
+        self.length, self.far, self.words = length, length - min(2, length) + 1, words
+        codes = lambda ends: words[ends - 1] << 32 | words[ends] if length > 1 else words[ends]
+        spread = lambda n: np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        n = size - length + 1
+        starts = np.repeat(first, n) + spread(n)
+        ends = codes(starts + length - 1)
+        order = np.lexsort((words[starts], ends))
+        starts, ends = starts[order], ends[order]
+        self.starts, self.owners, self.first = (array("q", x.tobytes()) for x in (starts, np.repeat(owner, n)[order], words[starts]))
+        begins = np.flatnonzero(np.diff(ends, prepend=-1))
+        self.stops = array("q", np.append(begins[1:], len(ends)).tobytes())
+        # A pair inside an item stands at some window's end unless it is too near to the item's beginning.
+        step = min(2, length)
+        place = spread(size - step + 1) + step - 1
+        code, ahead = codes(np.repeat(first, size - step + 1) + place), np.maximum(length - 1 - place, 0)
+        by = np.lexsort((ahead, code))
+        code, ahead = code[by], ahead[by]
+        least = np.flatnonzero(np.diff(code, prepend=-1))
+        code, ahead = code[least], ahead[least]
+        ahead[ahead == 0] = -1 - np.arange(len(begins))  # both are sorted by code
+        self.table = dict(zip(code.tolist(), ahead.tolist(), strict=True))
+        self.begins = array("q", begins.tobytes())
+
+    def find(self, text: list[int]):
+        """(start, owner) of every occurrence in a text's words; words that no item has are -1."""
+        n, table, far, length = len(text), self.table, self.far, self.length
+        held, at = self.words, length - 1
         while at < n:
-            block = (words[at - 1], words[at]) if step == 2 else (words[at],)
-            jump = shift.get(block, far)
-            if jump:
+            last, before = text[at], text[at - 1] if length > 1 else 0
+            if last < 0 or before < 0:
+                at += far if last >= 0 or length == 1 else length  # no window holds an unknown word
+                continue
+            jump = table.get(before << 32 | last if length > 1 else last, far)
+            if jump > 0:
                 at += jump
                 continue
             start = at - length + 1
-            for pattern, owners in self.ends[block].get(words[start], ()):
-                if words[start : at + 1] == pattern:
-                    yield start, owners
+            if (first := text[start]) >= 0:
+                inside, these = text[start : at + 1], (self.begins[-1 - jump], self.stops[-1 - jump])
+                for k in range(bisect_left(self.first, first, *these), bisect_right(self.first, first, *these)):
+                    if held[self.starts[k] : self.starts[k] + length].tolist() == inside:
+                        yield start, self.owners[k]
             at += 1
 
 
-def item_windows(words: list[bytes], window: int = WINDOW) -> set[tuple[bytes, ...]]:
-    return {tuple(words[i : i + window]) for i in range(max(len(words) - window, 0) + 1)} if words else set()
+@dataclass
+class Searches:
+    """All tables of a block of items, and the numbers of its words."""
+
+    numbers: dict[bytes, int]
+    names: list[str | None]
+    tables: list[WordSearch]
 
+    def find(self, words: list[bytes]):
+        """(start, length, item) of every occurrence."""
+        text = [self.numbers.get(w, -1) for w in words]
+        for table in self.tables:
+            for start, owner in table.find(text):
+                yield start, table.length, self.names[owner]
 
-def searches(items: list[tuple[str | None, str]], window: int = WINDOW) -> list[WordSearch]:
-    by_length: dict[int, dict[tuple[bytes, ...], list[str | None]]] = defaultdict(lambda: defaultdict(list))
+
+def searches(items: list[tuple[str | None, str]], window: int = WINDOW) -> Searches:
+    numbers: dict[bytes, int] = {}
+    lists, names, spots = [], [], defaultdict(list)
+    at = 0
     for item, text in items:
-        for w in item_windows(plain_words(text), window):
-            by_length[len(w)][w].append(item)
-    return [WordSearch(n, patterns) for n, patterns in sorted(by_length.items())]
+        words = [numbers.setdefault(w, len(numbers)) for w in plain_words(text)]
+        if not words:
+            continue
+        length = min(window, len(words))
+        spots[length].append((at, len(words), len(names)))
+        names.append(item)
+        lists.append(np.array(words, np.int64))
+        at += len(words)
+    held = np.concatenate([*lists, np.zeros(0, np.int64)])
+    tables = []
+    for length, here in sorted(spots.items()):
+        tables.append(WordSearch(length, held, *np.array(here, np.int64).T))
+    return Searches(numbers, names, tables)
+
+
+# A worker keeps the tables of the block it has last searched for: a task of the same block builds none.
+_BUILT: dict[str, Searches] = {}
+
+
+def _built(shared, key: str, window: int) -> Searches:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = searches(shared.value, window)
+    return _BUILT[key]
 
 
 def find_contamination(
@@ -87,7 +152,8 @@ def find_contamination(
     every document clean. Columns of ``keep`` must not have the new names.
     """
     spark, keep = prepare(docs.sparkSession), list(keep)
-    wanted = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("body")).where("body is not null")
+    # Rows that repeat are one: a block's bound holds whatever their number.
+    wanted = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("body")).where("body is not null").distinct()
     size = wanted.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     found = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"),
@@ -107,9 +173,10 @@ def find_contamination(
 def _search(found: DataFrame, shared, keep: list[str], window: int) -> DataFrame:
     """One block of windows against all texts; occurrences and items of earlier blocks are added to."""
     schema = StructType(found.schema.fields + StructType.fromDDL("n_words bigint, n_hit bigint, items_sha256 string").fields)
+    key = uuid.uuid4().hex
 
     def run(batches):
-        tables = searches(shared.value, window)
+        tables = _built(shared, key, window)
         for batch in batches:
             for part in parts_of(batch, len(keep)):
                 rows = [_hits(tables, *r) for r in zip(*(c.to_pylist() for c in part.columns[-3:]), strict=True)]
@@ -119,12 +186,11 @@ def _search(found: DataFrame, shared, keep: list[str], window: int) -> DataFrame
     return found.mapInArrow(run, schema)
 
 
-def _hits(tables: list[WordSearch], text: str | None, spans: list[int], items: list[str | None]):
+def _hits(tables: Searches, text: str | None, spans: list[int], items: list[str | None]):
     words, spans, items = plain_words(text), list(spans), set(items)
-    for table in tables:
-        for start, owners in table.find(words):
-            spans += (start, start + table.length)
-            items.update(owners)
+    for start, length, item in tables.find(words):
+        spans += (start, start + length)
+        items.add(item)
     edges = np.zeros(len(words) + 1, np.int64)
     at = np.asarray(spans, np.int64).reshape(-1, 2)
     np.add.at(edges, at[:, 0], 1)
