@@ -64,6 +64,32 @@ def stream_login_rollup(t: Tables):
                       time_text("earliest", "earliest"), "n")
 
 
+_LATE = "ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12'"
+
+
+@query("stream_windowed_rollup", sql=f"""
+WITH e AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w, ({_LATE}) OR ts >= TIMESTAMP '2024-01-20' AS last_part FROM events),
+m AS (SELECT MAX(ts) - INTERVAL 1 DAY AS passed, MAX(ts) FILTER (NOT last_part) - INTERVAL 1 DAY AS passed_before FROM e),
+r AS (SELECT e.*, last_part AND w + INTERVAL 1 HOUR <= passed_before AS late FROM e, m)
+SELECT strftime(w, '%Y-%m-%d %H') AS hour, event_type, COALESCE(strftime(MAX(ts) FILTER (NOT late), '%Y-%m-%d %H:%M:%S.%f'), 'none') AS latest,
+  COALESCE(strftime(MIN(ts) FILTER (NOT late), '%Y-%m-%d %H:%M:%S.%f'), 'none') AS earliest, COUNT(*) FILTER (NOT late) AS n, COUNT(*) FILTER (late) AS n_late
+FROM r, m WHERE w + INTERVAL 1 HOUR <= passed GROUP BY ALL""")
+def stream_windowed_rollup(t: Tables):
+    """Hours closed by a watermark one day behind; what arrives for a closed hour is counted apart."""
+    target = scratch_path(t.spark, "windowed")
+
+    def run(source: DataFrame, checkpoint: str, _: str) -> StreamingQuery:
+        closed, everything = jobs.stream_windowed_rollup(source, target, checkpoint, ["event_type"], "ts", delay="1 day")
+        closed.awaitTermination()
+        return everything
+
+    in_arrivals(t, run, LATE_ARRIVALS)
+    out = jobs.closed_windows(t.spark, target, ["event_type"], "event_type string, latest timestamp_ntz, earliest timestamp_ntz", delay="1 day")
+    return out.select(
+        F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "event_type",
+        *[F.coalesce(time_text(c, c), F.lit("none")).alias(c) for c in ("latest", "earliest")], "n", "n_late")
+
+
 def rule_hits(events: DataFrame) -> DataFrame:
     """Events against the rules; severity comes from the property k."""
     severity = (F.get_json_object("props", "$.k").cast("int") % 10 + 10).alias("severity_level")

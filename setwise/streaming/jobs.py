@@ -103,6 +103,39 @@ def windowed_rollup(source: DataFrame, keys: Sequence[str], time: str, width: st
     ).select(F.col("w.start").alias("window_start"), *keys, "latest", "earliest", "n")
 
 
+def stream_windowed_rollup(
+    source: DataFrame, target: str, checkpoint: str, keys: Sequence[str], time: str, width: str = "1 hour", delay: str = "1 hour",
+) -> tuple[StreamingQuery, StreamingQuery]:
+    """Final rows of closed windows from Spark's keyed state, and beside them partials of all rows, late ones too.
+
+    A window is closed, and its state dropped, once the watermark passes its
+    end; rows that come later do not change it. ``closed_windows`` reads both
+    and counts the late rows apart. Each query keeps its own checkpoint, so a
+    restart goes on where it stood and a repeated batch replaces its output.
+    """
+    closed = windowed_rollup(source, keys, time, width, delay).writeStream.format("parquet").outputMode("append").option(
+        "path", f"{target}/closed").option("checkpointLocation", f"{checkpoint}/closed").trigger(availableNow=True).start()
+    return closed, stream_rollup(source, f"{target}/all", f"{checkpoint}/all", keys, time, width)
+
+
+def closed_windows(spark: SparkSession, target: str, keys: Sequence[str], schema: str, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """(window_start, keys, latest, earliest, n, n_late) of every window that the watermark has passed.
+
+    ``n_late`` rows came after their window was closed and are in none of the
+    other columns; a window that only late rows fell into has NULL times.
+    ``schema`` declares the keys and ``latest`` and ``earliest``.
+    """
+    columns = f"window_start timestamp, {schema}, n bigint"
+    final = spark.read.schema(columns).parquet(f"{target}/closed")
+    seen = spark.read.schema(columns).parquet(f"{target}/all").groupBy("window_start", *keys).agg(
+        F.sum("n").alias("__all"), F.max("latest").alias("__latest"))
+    passed = seen.agg((F.max("__latest").cast("timestamp") - F.expr(f"interval {delay}")).alias("__watermark"))
+    over = seen.join(F.broadcast(passed), F.col("window_start") + F.expr(f"interval {width}") <= F.col("__watermark"))  # one row
+    return over.join(final, ["window_start", *keys], "left").select(
+        "window_start", *keys, "latest", "earliest", F.coalesce("n", F.lit(0)).alias("n"),
+        (F.col("__all") - F.coalesce("n", F.lit(0))).alias("n_late"))
+
+
 def stream_alerts(
     source: DataFrame, hits: Callable[[DataFrame], DataFrame], target: str, state: str, checkpoint: str,
 ) -> StreamingQuery:

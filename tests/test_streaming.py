@@ -74,6 +74,19 @@ def test_windowed_rollup_emits_closed_windows(spark, history, rows):
     assert got and set(got) <= want and len(want) - len(got) <= 6
 
 
+def test_late_rows_of_closed_windows_are_counted_apart(spark, make, rows):
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    files = [[(1, at(0), "a", "x", 1), (2, at(1), "a", "x", 1)], [(3, at(5), "a", "x", 1)], [(4, at(0, 30), "a", "x", 1), (5, at(2), "b", "x", 1), (6, at(9), "b", "x", 1)]]
+    folder, target, check = paths(spark, "files", "windowed", "check")
+    schema = "who string, latest timestamp_ntz, earliest timestamp_ntz"
+    for part in files:  # each time anew from the checkpoint
+        make(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        for query in jobs.stream_windowed_rollup(stream(spark, folder), target, check, ["who"], "t"):
+            query.awaitTermination()
+    got = rows(jobs.closed_windows(spark, target, ["who"], schema).select(F.hour("window_start"), "who", "latest", "n", "n_late"))
+    assert got == [(0, "a", at(0), 1, 1), (1, "a", at(1), 1, 0), (2, "b", None, 0, 1), (5, "a", at(5), 1, 0)]
+
+
 def fired(data, delay):
     last, out = None, []
     for us, i in sorted(data):
