@@ -7,9 +7,10 @@ import itertools
 
 from pyspark.sql import DataFrame, functions as F
 
-from setwise.operators import discovery, documentation as doc
+from setwise.operators import discovery, documentation as doc, profiles
 from setwise.plans.aggregation import TABLE_NAMES
 from setwise.plans.registry import number, query
+from setwise.session import scratch_path
 from setwise.sources.tables import Tables
 
 # The columns of the given tables, for the SQL checks below.
@@ -127,6 +128,60 @@ def fk_edges_by_value(t: Tables):
     return discovery.inclusions(all_tables(t))
 
 
+# The column by whose time each of these tables grows, and when its second and third batch begin.
+_GROWS = {"orders": ("o_orderdate", "1995-01-01", "1997-01-01"), "events": ("ts", "2024-01-10", "2024-01-20")}
+
+
+def profiled(t: Tables) -> DataFrame:
+    """Profiles of two tables, stored in three batches each."""
+    folder = scratch_path(t.spark, "profiles")
+    for name, (time, second, third) in _GROWS.items():
+        at = [F.lit(x).cast("timestamp_ntz") for x in (second, third)]
+        c = F.col(time).cast("timestamp_ntz")
+        for batch, part in enumerate((c < at[0], (c >= at[0]) & (c < at[1]), c >= at[1])):
+            profiles.store_batch(t.read(name).where(part), name, batch, folder)
+    return profiles.stored_batches(t.spark, folder)
+
+
+@query("profile_merged", sql=" UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, '{c}' AS column_name, COUNT(*) AS rows, COUNT(*) - COUNT({c}) AS nulls, "
+    f"{f'MIN({c})::DOUBLE' if k == 'n' else f'epoch_us(MIN({c}))::DOUBLE / 1e6' if k == 't' else 'NULL::DOUBLE'} AS low, "
+    f"{f'MAX({c})::DOUBLE' if k == 'n' else f'epoch_us(MAX({c}))::DOUBLE / 1e6' if k == 't' else 'NULL::DOUBLE'} AS high, "
+    f"{f'MIN({c})' if k == 's' else 'NULL::VARCHAR'} AS low_text, {f'MAX({c})' if k == 's' else 'NULL::VARCHAR'} AS high_text, "
+    f"true AS distinct_within, {'NULL::BOOLEAN' if k == 's' else 'true'} AS median_within FROM {n}"
+    for n in _GROWS for c, k in column_kinds(n)))
+def profile_merged(t: Tables):
+    """Profiles of three batches merged; estimates held against exact counts and ranks within their stated error."""
+    merged = profiles.merged_profile(profiled(t))
+    exact = _stack([doc.distinct_counts(t.read(n)).select(F.lit(n).alias("table_name"), "column_name", F.col("distinct").alias("exact")) for n in _GROWS])
+    medians = {(r.table_name, r.column_name): r.quantile for r in merged.where("quantile IS NOT NULL").select("table_name", "column_name", "quantile").collect()}
+    ranks = []
+    for n in _GROWS:
+        of = [(f, medians[n, f.name]) for f in t.read(n).schema.fields if (n, f.name) in medians]
+        pairs = ", ".join(f"'{f.name}', avg(if({profiles._number(f)} < {m!r}D, 1, 0)), avg(if({profiles._number(f)} <= {m!r}D, 1, 0))" for f, m in of)
+        ranks.append(t.read(n).selectExpr(f"stack({len(of)}, {pairs}) as (column_name, below, upto)").select(F.lit(n).alias("table_name"), "*"))
+    error = profiles.RANK_ERROR * 2
+    held = merged.join(exact, ["table_name", "column_name"], "left").join(_stack(ranks), ["table_name", "column_name"], "left")
+    return held.select(
+        "table_name", "column_name", "rows", "nulls", "low", "high", "low_text", "high_text",
+        (F.abs(F.col("distinct") - F.col("exact")) <= 5 * profiles.DISTINCT_ERROR * F.col("exact")).alias("distinct_within"),
+        ((F.col("below") - error <= 0.5) & (F.col("upto") + error >= 0.5)).alias("median_within"))
+
+
+def _widened_sql(n: str) -> str:
+    time, _, third = _GROWS[n]
+    known = f"FILTER ({time} < TIMESTAMP '{third}')"
+    moved = " + ".join(f"(MIN({c}) IS DISTINCT FROM MIN({c}) {known} OR MAX({c}) IS DISTINCT FROM MAX({c}) {known})::INT" for c, _ in column_kinds(n))
+    return (f"SELECT '{n}' AS table_name, COUNT(*) AS rows, COUNT(*) {known} AS rows_known, ({moved})::BIGINT AS columns_widened, "
+            f"ROUND(100.0 * COUNT(*) {known} / COUNT(*), 2) AS known_percent FROM {n}")
+
+
+@query("staleness_profiled", sql=" UNION ALL ".join(_widened_sql(n) for n in _GROWS))
+def staleness_profiled(t: Tables):
+    """What two batches of three knew of each table, from the stored profiles alone."""
+    return profiles.profile_staleness(profiled(t), 2).withColumn("known_percent", number("known_percent"))
+
+
 @query("staleness", sql="""
 WITH o AS (SELECT d.*, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
 SELECT source, COUNT(*) AS rows, COUNT(quality) AS rows_known, COUNT(*) FILTER (quality IS NULL OR quality <> CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END) AS modifications,
