@@ -171,11 +171,23 @@ def rollup_strings(
 def accumulate_list(
     df: DataFrame, value: str, delimiter: str = ", ", strip_chars: int = 0, quote: str = '"', name: str = "joined",
 ) -> DataFrame:
-    """Distinct values of the whole set in one string, optionally cut at the front and quoted."""
+    """Distinct values of the whole set in one string, optionally cut at the front and quoted.
+
+    One cell holds them all: for sets without a bound use ``accumulate_parts``.
+    """
+    return _items(df, value, strip_chars, quote).agg(ordered_list("__item", delimiter, "__item").alias(name))
+
+
+def accumulate_parts(
+    df: DataFrame, value: str, delimiter: str = ", ", strip_chars: int = 0, quote: str = '"', rows_per_part: int = 1000, name: str = "joined",
+) -> DataFrame:
+    """The same as numbered parts (part_no, n, ``name``) of at most ``rows_per_part`` values, in order; no task holds more than its range of them."""
+    return group_concat_parts(_items(df, value, strip_chars, quote), [], "__item", [F.col("__item").asc()], delimiter, rows_per_part, name)
+
+
+def _items(df: DataFrame, value: str, strip_chars: int, quote: str) -> DataFrame:
     item = F.substring(value, F.lit(1 + strip_chars), F.length(value))
-    return df.where(F.col(value).isNotNull()).select(
-        F.concat(F.lit(quote), item, F.lit(quote)).alias("__item")
-    ).distinct().agg(ordered_list("__item", delimiter, "__item").alias(name))
+    return df.where(F.col(value).isNotNull()).select(F.concat(F.lit(quote), item, F.lit(quote)).alias("__item")).distinct()
 
 
 def wait_digest(df: DataFrame, entity: Sequence[str], kind: str, wait_ms: str, name: str = "digest") -> DataFrame:

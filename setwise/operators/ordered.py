@@ -44,13 +44,19 @@ def ordered_rows(
     so_far = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Stored once: the slice a row falls into must not be drawn again when the
     # passes below read it, nor when an executor is lost.
-    stored = materialize(
-        sliced.select(
-            *df.columns, _SLICE, F.row_number().over(local).cast("bigint").alias(number),
-            *[F.sum(c).over(so_far).alias(new) for new, c in running.items()],
-            *[F.last(c, ignorenulls=True).over(so_far).alias(new) for new, c in carried.items()],
-            *[F.lag(c).over(local).alias(new) for new, c in previous.items()],
-        ), "ordered")
+    if not by and not (running or carried or previous):
+        # Numbers of the whole table need no window: a row's place in its sorted slice is its number there.
+        placed = ranged.sortWithinPartitions(*keys).select(*df.columns, F.monotonically_increasing_id().alias("__at"))
+        stored = materialize(placed.select(
+            *df.columns, F.shiftright("__at", 33).cast("int").alias(_SLICE), (F.col("__at").bitwiseAND((1 << 33) - 1) + 1).alias(number)), "ordered")
+    else:
+        stored = materialize(
+            sliced.select(
+                *df.columns, _SLICE, F.row_number().over(local).cast("bigint").alias(number),
+                *[F.sum(c).over(so_far).alias(new) for new, c in running.items()],
+                *[F.last(c, ignorenulls=True).over(so_far).alias(new) for new, c in carried.items()],
+                *[F.lag(c).over(local).alias(new) for new, c in previous.items()],
+            ), "ordered")
 
     at_end = lambda c: F.max_by(c, number)
     held = stored.groupBy(_SLICE, *by).agg(

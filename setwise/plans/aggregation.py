@@ -235,6 +235,15 @@ def accumulate_list(t: Tables) -> DataFrame:
     return ag.accumulate_list(t.events, "event_type", strip_chars=1, name="seen")
 
 
+@query("accumulate_parts", sql="""
+WITH d AS (SELECT DISTINCT '"' || substr(url, 2) || '"' AS e FROM pages WHERE url IS NOT NULL),
+r AS (SELECT e, (ROW_NUMBER() OVER (ORDER BY e) - 1) // 100 + 1 AS part_no FROM d)
+SELECT part_no, COUNT(*) AS n, string_agg(e, ', ' ORDER BY e) AS seen FROM r GROUP BY part_no""")
+def accumulate_parts(t: Tables) -> DataFrame:
+    """All different addresses as numbered lists of a hundred."""
+    return ag.accumulate_parts(t.pages, "url", strip_chars=1, rows_per_part=100, name="seen")
+
+
 @query("wait_digest", sql="""
 WITH w AS (SELECT user_id, event_type, COUNT(*) AS n, MIN(v) AS lo, MAX(v) AS hi, SUM(v)::BIGINT // COUNT(*) AS mid
   FROM (SELECT user_id, event_type, CAST(ROUND(value * 100) AS BIGINT) AS v FROM events) GROUP BY ALL)

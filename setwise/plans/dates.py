@@ -99,6 +99,17 @@ def utc_to_local(t: Tables):
     return t.events.select("event_id", time_text(tm.utc_to_local("ts"), "local_time"))
 
 
+@query("utc_to_local_tzdb", sql="""
+WITH u AS (SELECT o_orderkey, o_orderdate + to_minutes(CAST(o_orderkey % 1440 AS BIGINT)) AS utc FROM orders),
+y AS (SELECT *, make_date(year(utc), 4, 1) AS a, make_date(year(utc), 10, 25) AS z FROM u),
+f AS (SELECT *, (a + ((7 - dayofweek(a)) % 7)::INTEGER)::TIMESTAMP + INTERVAL 8 HOUR AS s, (z + ((7 - dayofweek(z)) % 7)::INTEGER)::TIMESTAMP + INTERVAL 7 HOUR AS e FROM y)
+SELECT o_orderkey, strftime(utc - CASE WHEN utc >= s AND utc < e THEN INTERVAL 5 HOUR ELSE INTERVAL 6 HOUR END, '%Y-%m-%d %H:%M:%S.%f') AS local_time FROM f""")
+def utc_to_local_tzdb(t: Tables):
+    """Order moments by the time zone database, in years in which summer began on the first Sunday of April and ended on October's last."""
+    moment = (F.col("o_orderdate") + F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))).cast("timestamp_ntz")
+    return t.orders.select("o_orderkey", time_text(tm.utc_to_local(moment, mode="tzdb"), "local_time"))
+
+
 @query("utc_to_local_orders", sql="""
 WITH l AS (SELECT o_orderkey, o_orderdate + to_minutes(CAST(o_orderkey % 1440 AS BIGINT)) - INTERVAL 6 HOUR AS lt FROM orders),
 y AS (SELECT *, make_date(year(lt), 4, 1) AS a, make_date(year(lt), 10, 25) AS z FROM l),

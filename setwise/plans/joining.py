@@ -165,6 +165,16 @@ def or_join(t: Tables):
     return hits.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), number(F.sum(money("l_quantity")), "quantity"))
 
 
+@query("or_join_left", sql="""
+SELECT o_orderstatus, COALESCE(c_mktsegment, 'none') AS segment, COUNT(*) AS n
+FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal < 0) ON c_custkey = o_custkey OR c_custkey = o_orderkey GROUP BY ALL""")
+def or_join_left(t: Tables):
+    """Orders with the indebted customers of either key; orders without any are kept."""
+    debtors = t.customer.where("c_acctbal < 0").select("c_custkey", "c_mktsegment")
+    out = jn.or_join(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), debtors, ["o_custkey", "o_orderkey"], "c_custkey", how="left")
+    return out.groupBy("o_orderstatus", F.coalesce("c_mktsegment", F.lit("none")).alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("star_report", sql="""
 SELECT r_name, n_name, year(o_orderdate) AS y, COUNT(*) AS lines,
   CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS revenue

@@ -15,7 +15,7 @@ from setwise.operators import ranking as rk
 from setwise.plans.aggregation import TABLE_NAMES
 from setwise.plans.registry import day_text, number, query, time_text
 from setwise.session import scratch_path
-from setwise.sources import sinks
+from setwise.sources import sinks, tables
 from setwise.sources.tables import Dataset, Tables, choose_datasets, for_each_dataset, run_each_dataset
 
 
@@ -238,6 +238,30 @@ def each_dataset(t: Tables):
                       F.coalesce("query_error", F.lit("none")).alias("query_error"))
 
 
+@query("dated_archive", sql="""
+SELECT 'now' AS version, event_type, COUNT(*) AS n FROM events GROUP BY ALL
+UNION ALL SELECT 'old', event_type, COUNT(*) FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY ALL""")
+def dated_archive(t: Tables):
+    """A rollup written twice: the second takes the first's place, which is kept under its date."""
+    path = scratch_path(t.spark, "rollup")
+    rollup = lambda rows: rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    sinks.replace_and_archive(rollup(t.events.where(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"))), path, "2024-01-14")
+    old = sinks.replace_and_archive(rollup(t.events), path, "2024-01-15")
+    read = lambda p, version: t.spark.read.parquet(p).select(F.lit(version).alias("version"), "event_type", "n")
+    return read(path, "now").unionByName(read(old, "old"))
+
+
+@query("event_files", sql="""
+SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, COUNT(*) AS n, COUNT(json_extract_string(props, '$.k')) AS n_k FROM events GROUP BY ALL""")
+def event_files(t: Tables):
+    """Events landed as JSON files, read in one batch with a declared schema."""
+    landed = scratch_path(t.spark, "event-files")
+    t.events.write.json(landed)
+    read = tables.event_files(t.spark, landed, "event_id bigint, ts timestamp_ntz, event_type string, props string")
+    return read.groupBy(day_text("ts", "day"), "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.get_json_object("props", "$.k")).alias("n_k"))
+
+
 def labels_by_dataset(t: Tables) -> DataFrame:
     """Labels of each entity by key, from datasets of which one has texts where numbers are asked for and one cannot be read."""
     unreadable = scratch_path(t.spark, "no-parquet")

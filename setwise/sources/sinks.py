@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from setwise.session import exists, remove, rename
+
 
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
@@ -29,6 +31,19 @@ def save_as(df: DataFrame, destination: str, schema_only: bool = False, mode: st
     return ddl
 
 
+def replace_and_archive(df: DataFrame, path: str, as_of: str) -> str:
+    """Write a table anew and keep what stood there under its dated path, which is returned.
+
+    The old version is moved, not copied; a version of the same date is replaced.
+    """
+    spark, old = df.sparkSession, dated_path(path, as_of)
+    if exists(spark, path):
+        remove(spark, old)
+        rename(spark, path, old)
+    df.write.parquet(path)
+    return old
+
+
 def dated_path(path: str, as_of: str) -> str:
     """Where a table's old version goes: its path with a date suffix."""
     return f"{path.rstrip('/')}_{as_of.replace('-', '')}"
