@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from setwise.operators import aggregates as ag
 from setwise.operators import shaping as sh
@@ -24,7 +24,11 @@ FILTER_FIELDS = {"session": "session_id", "program": "program_name", "database":
 
 @dataclass(frozen=True)
 class ActivityOptions:
-    """What to show, in which order and layout. Empty filters are off."""
+    """What to show, in which order and layout. Empty filters are off.
+
+    ``show_sleeping``: all sleeping sessions (True), none (False), or with
+    ``"open"`` only those with an open transaction (``open_tran_count``).
+    """
 
     include: str = ""
     include_by: str = "session"
@@ -36,7 +40,17 @@ class ActivityOptions:
     largest_cpu: tuple[str, str] | None = None
     find_block_leaders: bool = False
     format_output: Mapping[str, int] = field(default_factory=dict)
-    show_sleeping: bool = True
+    show_sleeping: bool | str = True
+
+
+def _awake(show_sleeping: bool | str) -> Column:
+    """Sessions that are shown where not all are; one without a status is not asleep."""
+    awake = ~F.col("status").eqNullSafe("sleeping")
+    if show_sleeping is False:
+        return awake
+    if show_sleeping != "open":
+        raise ValueError(f"show_sleeping must be True, False or 'open', not {show_sleeping!r}")
+    return awake | (F.coalesce("open_tran_count", F.lit(0)) > 0)
 
 
 def activity_report(
@@ -53,7 +67,7 @@ def activity_report(
     table; with ``return_schema`` only its column definitions come back.
     """
     o = options
-    out = sessions if o.show_sleeping else sessions.where("status <> 'sleeping'")
+    out = sessions if o.show_sleeping is True else sessions.where(_awake(o.show_sleeping))
     # Chains are counted before filtering: a hidden session still blocks others.
     blocked = None
     if o.find_block_leaders:

@@ -147,6 +147,6 @@ SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, COUNT(*) AS n, CAST(SUM(CAST
 def stream_daily_snapshot(t: Tables):
     target = scratch_path(t.spark, "daily")
     in_arrivals(t, lambda source, checkpoint, landed: jobs.stream_daily_snapshot(
-        source, lambda: t.spark.read.schema(EVENTS).parquet(landed), target, checkpoint, "ts", day_summary))
+        source, lambda: t.spark.read.schema(EVENTS).parquet(landed), target, checkpoint, "ts", day_summary), LATE_ARRIVALS)
     stored = t.spark.read.schema("event_type string, n bigint, value decimal(28,2), snapshot_date date").parquet(target)
     return stored.select(day_text("snapshot_date", "day"), "event_type", "n", number("value"))

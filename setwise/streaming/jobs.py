@@ -11,8 +11,10 @@ under the number of the present batch, and reading takes the newest version:
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date, timedelta
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -233,6 +235,13 @@ def current_captures(captures: DataFrame, entity: Sequence[str], time: str, tieb
     return latest_per_group(captures, [*entity, time, *tiebreak], "batch").drop("batch")
 
 
+def _runs(days: Sequence[date]) -> list[tuple[date, date]]:
+    """First day and the day after the last of each run of consecutive days."""
+    starts = [d for i, d in enumerate(days) if not i or days[i - 1] + timedelta(1) < d]
+    ends = [d + timedelta(1) for i, d in enumerate(days) if i + 1 == len(days) or d + timedelta(1) < days[i + 1]]
+    return list(zip(starts, ends, strict=True))
+
+
 def stream_daily_snapshot(
     source: DataFrame, reread: Callable[[], DataFrame], target: str, checkpoint: str, time: str,
     summarise: Callable[[DataFrame], DataFrame], day: str = "snapshot_date",
@@ -243,15 +252,16 @@ def stream_daily_snapshot(
     arrives in pieces is complete after its last piece, however often it is reloaded.
     """
     with_day = lambda df: df.withColumn(day, col(time).cast("date"))
+    at = lambda d: F.lit(d).cast("timestamp_ntz")
 
     def work(df: DataFrame, batch: int) -> None:
-        days = with_day(df).select(day).distinct()
-        first, last = days.agg(F.min(day), F.max(day)).first()
-        if first is None:
+        days = with_day(df).select(day).where(F.col(day).isNotNull()).distinct()
+        touched = sorted(r[0] for r in days.collect())  # a row a day
+        if not touched:
             return
-        # The two bounds reach the file scan; the semi join keeps just the touched days.
-        lo, hi = F.lit(first).cast("timestamp_ntz"), F.date_add(F.lit(last), 1).cast("timestamp_ntz")
-        rows = with_day(reread().where((F.col(time) >= lo) & (F.col(time) < hi))).join(days, day, "left_semi")
+        # Runs of touched days reach the file scan; days between them are not read.
+        wanted = reduce(Column.__or__, [(F.col(time) >= at(lo)) & (F.col(time) < at(hi)) for lo, hi in _runs(touched)])
+        rows = with_day(reread().where(wanted))
         replace_partitions(summarise(rows), target, [day])
 
     return run_batches(source, work, checkpoint)

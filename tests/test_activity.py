@@ -62,3 +62,12 @@ def test_sql_functions(spark, make):
     assert one("utc_to_local(timestamp_ntz'2006-03-20 12:00:00')") == datetime(2006, 3, 20, 6)
     rows = spark.sql("select * from bucket_profile(timestamp_ntz'2024-01-01 00:00:00')").collect()
     assert [tuple(r)[:7] for r in rows] == [("a", 2, 5.0, 10, 7.5, 2, 1)]
+
+
+def test_sleeping_sessions(make, sessions):
+    """All, none, or those with an open transaction; a session without a status is not asleep."""
+    more = make([(54, "sleeping", 2), (55, "sleeping", None), (56, None, 0), (57, "running", 0), (58, "sleeping", 0)], "session_id int, status string, open_tran_count int")
+    shown = lambda how: sorted(r[0] for r in activity_report(more, ActivityOptions(columns="[session_id]", order="[session_id]", show_sleeping=how)).collect())
+    assert shown(True) == [54, 55, 56, 57, 58] and shown(False) == [56, 57] and shown("open") == [54, 56, 57]
+    with pytest.raises(ValueError):
+        shown("some")

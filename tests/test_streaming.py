@@ -1,7 +1,7 @@
 """Streams over several files give what one batch over all of them gives."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +153,8 @@ def test_stream_daily_snapshot(spark, history, rows):
     for c in (check, scratch_path(spark, "check")):  # a second run from the start changes nothing
         run(c)
         assert rows(spark.read.parquet(target).select("day", "n", "v")) == want
+
+
+def test_runs_of_days():
+    days = [date(2024, 1, d) for d in (1, 2, 5, 7, 8, 9)]
+    assert jobs._runs(days) == [(date(2024, 1, 1), date(2024, 1, 3)), (date(2024, 1, 5), date(2024, 1, 6)), (date(2024, 1, 7), date(2024, 1, 10))]
