@@ -230,8 +230,9 @@ def encode(
     form give the byte of the text at which each token begins, so any range of
     tokens can be decoded to a place in the text. With ``decoded`` a column of
     that name holds what the ids decode to, found in the same pass. NULL and
-    empty texts have no tokens. Texts of any length are encoded whole. ``keep``
-    must not have the new names.
+    empty texts have no tokens. Texts of any length are encoded whole. Rows that
+    repeat get the same ids each, of pairs of one rank the first is merged, and
+    an empty table stays empty. ``keep`` must not have the new names.
     """
     shared = _ranks_of(docs.sparkSession, ranks)
 

@@ -68,7 +68,9 @@ def scan_licenses(
 
     ``score`` is the largest share of a template's words in a window that meets
     the threshold, else 0. NULL and empty texts have no words, no labels and
-    score 0. Repeated rows each get their row. Templates and phrases are
+    score 0. Very long texts are read whole; repeated rows each get their row,
+    templates that match equally are all named, and an empty table stays empty.
+    Templates and phrases are
     parameters of fixed size; what is broadcast follows from them alone.
     """
     spark, hold = docs.sparkSession, scratch(docs.sparkSession)

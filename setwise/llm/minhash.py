@@ -193,7 +193,7 @@ def near_duplicates(
     """One row per document: key, n_shingles, component (smallest key reachable over links) and kept (key = component).
 
     Two documents are linked when ``percent`` of the united shingles are shared. Texts without
-    words have no shingles and no links. Rows without a key have no links and are kept; rows that repeat a key are
+    words have no shingles and no links; very long texts count whole. Rows without a key have no links and are kept; rows that repeat a key are
     one document and are kept together. An empty table stays empty.
     """
     hold = scratch(docs.sparkSession)

@@ -200,7 +200,9 @@ def find_personal(
     """``keep`` columns with n_email, n_ip, n_card, n_phone, base_sha256 and spans (kind:start:end) of every whole text.
 
     With ``redacted`` a column of that name holds the text with its spans
-    replaced (NULL stays NULL). NULL and empty texts have no spans. Columns of
+    replaced (NULL stays NULL). NULL and empty texts have no spans. Very long
+    texts are read whole, rows that repeat get the same result each, spans of
+    one place are listed by kind, and an empty table stays empty. Columns of
     ``keep`` must not have the new names.
     """
     fields = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"

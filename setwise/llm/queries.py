@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import public_tokenizers
@@ -74,7 +75,9 @@ def op3(spark, read):
 
 
 def _license_sql() -> str:
-    sets = ", ".join(f"('{n}', {sorted(set(t.split()))})" for n, t in licenses.TEMPLATES.items())
+    sets = ", ".join(
+        f"('{n}', {sorted(set(x.split()))}, {len(set(x.split()))}, {math.ceil(licenses.THRESHOLD * len(set(x.split())) - 1e-9)}, {licenses.STRETCH * len(x.split())})"
+        for n, x in licenses.TEMPLATES.items())
     starts = []
     for phrase, label in licenses.PHRASES.items():
         words = phrase.split()
@@ -84,12 +87,14 @@ def _license_sql() -> str:
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 words AS (SELECT r, doc_id, {PLAIN_WORDS.format(UPPER)} AS w FROM docs),
 hits AS (SELECT r, doc_id, len(w) AS n_words, flatten([{', '.join(starts)}]) AS h FROM words),
-lines AS (SELECT r, unnest(string_split(text, chr(10))) AS text FROM docs),
-sets AS (SELECT r, list_distinct({PLAIN_WORDS.format(UPPER)}) AS s FROM lines),
-templates AS (SELECT * FROM (VALUES {sets}) AS t(template, t)),
+templates AS (SELECT template, size, needed, width, unnest(t) AS word FROM (VALUES {sets}) AS t(template, t, size, needed, width)),
+positions AS (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS word FROM words),
+spots AS (SELECT r, i, t.* FROM positions JOIN templates t USING (word)),
+enough AS (SELECT r, template FROM spots GROUP BY r, template, needed HAVING count(DISTINCT word) >= needed),
+near AS (SELECT * FROM spots SEMI JOIN enough USING (r, template)),
 matches AS (
-  SELECT r, template, len(list_intersect(s, t)) / len(t) AS share FROM sets, templates
-  WHERE len(list_intersect(s, t)) >= ceil({licenses.THRESHOLD} * len(t) - 1e-9)),
+  SELECT a.r, a.template, count(DISTINCT b.word) / a.size AS share FROM near a JOIN near b ON a.r = b.r AND a.template = b.template AND b.i BETWEEN a.i AND a.i + a.width - 1
+  GROUP BY a.r, a.template, a.i, a.size, a.needed HAVING count(DISTINCT b.word) >= a.needed),
 found AS (SELECT r, list(DISTINCT template) AS names, max(share) AS best FROM matches GROUP BY r)
 SELECT doc_id, n_words::BIGINT AS n_words, len(h)::BIGINT AS n_base,
   list_min(list_transform(h, lambda x: x.at))::BIGINT AS first_word, list_max(list_transform(h, lambda x: x.at))::BIGINT AS last_word,

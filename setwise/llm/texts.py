@@ -62,6 +62,8 @@ def add_from_text(
     ``work`` is called once a task and returns the function: from a list of
     texts to one list (or Arrow array) per field of ``fields``.
     """
+    if clash := set(keep) & set(StructType.fromDDL(fields).names):
+        raise ValueError(f"columns to keep have names of the result: {sorted(clash)}")
     prepare(df.sparkSession)
     kept = df.select(*[f"`{c}`" for c in keep]).schema
     added = StructType.fromDDL(fields)

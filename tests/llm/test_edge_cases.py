@@ -47,6 +47,29 @@ def test_edge_rows(spark, name):
     assert threes[0] == threes[1]  # repeated rows get the same result
 
 
+# The text of row 3 is an example of two languages: the first by name is predicted.
+# What rows 1 (NULL), 2 (empty), 3 (three words), 4 (very long) and 6 (white space) give.
+VALUES = {
+    "op1": ("n_shingles", 0, 0, 1, 25922, 0), "op2": ("spans", "", "", "", "", ""), "op3": ("size", 1, 1, 17, len(LONG) + 1, 5),
+    "op4": ("lang_pred", "und", "und", "de", "en", "und"), "op6": ("n_removed", 0, 0, 0, 0, 0), "op7": ("n_words", 0, 0, 3, 120_000, 0),
+    "op8": ("n_words", 0, 0, 3, 120_000, 0), "op9": ("n_hit", 0, 0, 3, 0, 0), "op10": ("n_tokens", 0, 0, 3, None, None),
+}
+
+
+@pytest.mark.parametrize("name", sorted(VALUES))
+def test_edge_values(spark, name):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    column, *want = VALUES[name]
+    found = {r["doc_id"]: r[column] for r in operators(spark)[name][0](docs).collect()}
+    assert [found[i] for i, w in zip((1, 2, 3, 4, 6), want, strict=True) if w is not None] == [w for w in want if w is not None]
+
+
+def test_clashing_names_are_refused(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    with pytest.raises(ValueError, match="n_words"):
+        quality.quality(docs, keep=["doc_id", "n_words"])
+
+
 @pytest.mark.parametrize("name", [f"op{n}" for n in range(1, 11)])
 def test_empty_table(spark, name):
     docs = spark.createDataFrame([], SCHEMA)
