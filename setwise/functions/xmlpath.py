@@ -58,9 +58,9 @@ def cdata_as_text(xml: Column | str) -> Column:
     return F.when(F.contains(col(xml), opened), F.array_join(F.transform(pieces, rewritten), "")).otherwise(col(xml))
 
 
-def paths(xml: Column | str, path: str) -> Column:
-    """Values of all nodes of an XPath in document order, NULL for nodes that are elements; NULL for text that is no XML."""
-    return F.when(is_xml(xml), F.xpath(cdata_as_text(xml), F.lit(path)))
+def readable(xml: Column | str) -> Column:
+    """The document for paths that ask for texts, or NULL for text that is no XML."""
+    return F.when(is_xml(xml), cdata_as_text(xml))
 
 
 def value_by_sibling(xml: Column | str, row: str, name: str, value_tag: str = "Value", name_tag: str = "Name") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from setwise.functions.texts import pad_left, thousands, wildcard_regex
 from setwise.functions.times import elapsed_parts_text, int_div
-from setwise.functions.xmlpath import PARSE, paths, step
+from setwise.functions.xmlpath import PARSE, readable, step
 from setwise.operators.aggregates import ordered_list
 
 
@@ -81,23 +81,26 @@ def xml_nodes_anywhere(
     order: nodes come as NULL, values as text, so every value belongs to the
     last node before it. Nodes that stand inside others are asked for apart.
     """
-    row = step(row_tag)
+    row, none = step(row_tag), F.array().cast("array<string>")
     inside = f"count(ancestor::{row})"
-    too_deep = F.coalesce(F.size(paths(xml, f"//{row}[{inside}={nesting}]")) > 0, F.lit(False))
+    found = lambda path: F.xpath(F.col("__xml"), F.lit(path))
+    at = lambda level: f"//{row}[{inside}={level}]"
 
     def column(level: int, name: str) -> Column:
-        nodes = f"//{row}[{inside}={level}]"
-        values = f"{nodes}/{step(name)}" if name.startswith("_") else f"{nodes}/{step(name)}[1]//text()"
-        read = F.coalesce(paths(xml, f"{nodes} | {values}"), F.array().cast("array<string>"))
+        values = f"{at(level)}/{step(name)}" if name.startswith("_") else f"{at(level)}/{step(name)}[1]//text()"
         # Each text is added to the last node's.
-        return F.aggregate(read, F.array().cast("array<string>"), lambda held, x: F.when(
+        return F.aggregate(found(f"{at(level)} | {values}"), none, lambda held, x: F.when(
             x.isNull(), F.concat(held, F.array(F.lit(None).cast("string")))).otherwise(F.concat(
                 F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0))),
                 F.array(F.concat(F.coalesce(F.element_at(held, -1), F.lit("")), x)))))
 
+    # Checked and rewritten once; deeper levels are looked at only where there are any.
+    ready = df.select(*keep, readable(xml).alias("__xml")).where("__xml IS NOT NULL").withColumn("__nested", F.size(found(f"//{row}[{inside}>0]")) > 0)
+    too_deep = F.col("__nested") & (F.size(found(at(nesting))) > 0)
     levels = [F.arrays_zip(*[column(level, name).alias(f"f{i}") for i, name in enumerate(fields)]) for level in range(nesting)]
-    nodes = F.when(too_deep, F.raise_error(F.lit(f"{row_tag} elements stand more than {nesting} deep inside each other"))).otherwise(F.concat(*levels))
-    return df.select(*keep, F.explode(nodes).alias("__node")).select(
+    nodes = F.when(~F.col("__nested"), levels[0]).when(
+        too_deep, F.raise_error(F.lit(f"{row_tag} elements stand more than {nesting} deep inside each other"))).otherwise(F.concat(*levels))
+    return ready.select(*keep, F.explode(nodes).alias("__node")).select(
         *keep, *[F.col(f"__node.f{i}").cast(t).alias(name.lstrip("_")) for i, (name, t) in enumerate(fields.items())])
 
 
