@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from setwise import session
+
 
 # Most rows of an Arrow batch: a batch is held whole, and texts may be long.
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
@@ -21,12 +22,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 class Scratch:
-    """A folder of its own under ``spark.checkpoint.dir`` (or the warehouse where that is unset)."""
+    """A folder of its own under ``spark.checkpoint.dir`` (or the warehouse where that is unset).
+
+    Inside ``with setwise.session.Scratch(spark):`` it is removed at the end with all else that was stored.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = prepare(spark)
-        root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-        self.folder = f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+        self.folder = session.scratch_path(spark, "llm")
         self._held: list[tuple[DataFrame, str]] = []
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -40,8 +43,7 @@ class Scratch:
         """Remove a table that ``table`` gave and that nothing reads any more."""
         for held, path in self._held:
             if held is df:
-                target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+                session.remove(self.spark, path)
 
 
 def scratch(spark: SparkSession) -> Scratch:
