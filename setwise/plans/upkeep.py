@@ -243,7 +243,7 @@ SELECT 'now' AS version, event_type, COUNT(*) AS n FROM events GROUP BY ALL
 UNION ALL SELECT 'old', event_type, COUNT(*) FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY ALL""")
 def dated_archive(t: Tables):
     """A rollup written twice: the second takes the first's place, which is kept under its date."""
-    path = scratch_path(t.spark, "rollup")
+    path = f"{scratch_path(t.spark, 'archive')}/rollup"
     rollup = lambda rows: rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     sinks.replace_and_archive(rollup(t.events.where(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"))), path, "2024-01-14")
     old = sinks.replace_and_archive(rollup(t.events), path, "2024-01-15")
