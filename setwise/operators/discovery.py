@@ -2,7 +2,8 @@
 
 Everything is exact. What reaches the driver is metadata: counts by column or
 combination, and a bounded number of rows per table in which two equal ones
-prove that a combination is no key.
+prove that a combination is no key. What these leave is looked for repeats among
+the values of one slice of hashes, and only what has none there is counted whole.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField
 
 WITNESSES = 1000  # rows per table in which equal ones are looked for
+SLICE = 64  # one in so many values is looked at for repeats before all are counted; a power of two
+PASS = 32  # combinations looked at in one reading of a table
 _INTEGERS = ("byte", "short", "integer", "long")
 _REALS = ("float", "double")
 _TIMES = ("date", "timestamp", "timestamp_ntz")
@@ -32,6 +35,12 @@ def _fixed(f: StructField) -> str:
     return f"unhex(sha2({text}, 256))"
 
 
+def _hashed(f: StructField, salt: int) -> str:
+    """A hash by which values are dealt to slices, another one for each column."""
+    c = f"`{f.name}`"
+    return f"xxhash64({salt}, {c if f.dataType.typeName() in (*_INTEGERS, *_REALS, *_TIMES, 'string', 'decimal', 'boolean', 'binary') else f'to_json({c})'})"
+
+
 def _class(f: StructField) -> str:
     """Columns of one class may hold the same values."""
     t = f.dataType.typeName()
@@ -95,45 +104,67 @@ def _distinct(held: Mapping[str, _Table], wanted: Mapping[str, Sequence[tuple[in
     return found | {places[r.p]: r.n for r in counted}
 
 
+def _repeats(held: Mapping[str, _Table], wanted: Mapping[str, Sequence[tuple[int, ...]]]) -> set[tuple[str, tuple[int, ...]]]:
+    """Wanted combinations that two rows are equal in, looked for in a slice of their values; such are no keys, the others may be."""
+    parts, places = [], []
+    for name, combinations in wanted.items():
+        t = held[name]
+        for some in (combinations[i : i + PASS] for i in range(0, len(combinations), PASS)):
+            used = sorted({i for c in some for i in c})
+            values = t.df.selectExpr(*[f"`{t.fields[i].name}` as v{i}" for i in used], *[f"{_hashed(t.fields[i], i)} as x{i}" for i in used])
+            at = range(len(places), len(places) + len(some))
+            taken = [f"if((({' ^ '.join(f'x{i}' for i in c)}) & {SLICE - 1}L) = 0L, {p}, -1)" for p, c in zip(at, some)]
+            # Values are only written out for the rows of a slice.
+            key = [f"if(p in ({', '.join(str(p) for p, c in zip(at, some) if i in c)}), {_fixed(StructField(f'v{i}', t.fields[i].dataType))}, x'')" for i in used]
+            sliced = values.selectExpr(*[f"v{i}" for i in used], f"explode(array_remove(array({', '.join(taken)}), -1)) as p")
+            parts.append(sliced.selectExpr("p", f"concat({', '.join(key)}) as k"))
+            places += [(name, c) for c in some]
+    if not parts:
+        return set()
+    equal = _union(parts).groupBy("p", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return {places[r.p] for r in equal.select("p").distinct().collect()}
+
+
+def _keys(held: Mapping[str, _Table], wanted: Mapping[str, Sequence[tuple[int, ...]]]) -> dict[str, list[tuple[int, ...]]]:
+    """Of the wanted combinations, columns without a NULL, those that no two rows are equal in."""
+    left = {name: [c for c in combinations if not held[name].repeated(c)] for name, combinations in wanted.items()}
+    repeated = _repeats(held, left)
+    left = {name: [c for c in combinations if (name, c) not in repeated] for name, combinations in left.items()}
+    counts = _distinct(held, left)
+    return {name: [c for c in combinations if counts[name, c] == held[name].rows] for name, combinations in left.items()}
+
+
 def unique_columns(tables: Mapping[str, DataFrame], witnesses: int = WITNESSES) -> dict[str, list[str]]:
     """Per table the columns that are never NULL and never repeat; in a table without rows all of them.
 
-    A repeated value among the rows at hand rules a column out; what is left is counted exactly.
+    A repeated value among the rows at hand or in a slice of the values rules a column out; what is left is counted exactly.
     """
     held = _examined(tables, witnesses)
-    wanted = {name: [(i,) for i in t.full if not t.repeated((i,))] for name, t in held.items()}
-    counts = _distinct(held, wanted)
-    return {name: [t.fields[c[0]].name for c in wanted[name] if counts[name, c] == t.rows] for name, t in held.items()}
+    found = _keys(held, {name: [(i,) for i in t.full] for name, t in held.items()})
+    return {name: [t.fields[i].name for i, in found[name]] for name, t in held.items()}
 
 
 def candidate_key_sets(tables: Mapping[str, DataFrame], widest: int = 3, witnesses: int = WITNESSES) -> DataFrame:
     """(table_name, key_columns, n_columns): the minimal sets of at most ``widest`` columns that identify a row.
 
     Only columns without a NULL can be in a key. Combinations grow level by
-    level from those that are no key. One is out without a scan when the known
-    counts of its parts multiply to fewer than the rows, or when two of the rows
-    at hand are equal in it; the rest of a level, of all tables, is counted in
-    one pass. In a table without rows every column is a key.
+    level from those that are no key. One is out without a scan when two of the
+    rows at hand are equal in it, and without a count when two rows of a slice
+    of its values are; the rest of a level, of all tables, is counted in one
+    pass. In a table without rows every column is a key.
     """
     held = _examined(tables, witnesses)
-    most: dict[tuple[str, tuple[int, ...]], int] = dict(_distinct(held, {n: [(i,) for i in t.full] for n, t in held.items()}))
-    keys = {n: [(i,) for i in t.full if most[n, (i,)] == t.rows] for n, t in held.items()}
+    keys = _keys(held, {n: [(i,) for i in t.full] for n, t in held.items()})
     open_sets = {n: {(i,) for i in t.full} - set(keys[n]) for n, t in held.items()}
     for width in range(2, widest + 1):
         wanted: dict[str, list[tuple[int, ...]]] = {}
-        for n, t in held.items():
+        for n in held:
             single = sorted({i for c in open_sets[n] for i in c})
-            grown = [c for c in itertools.combinations(single, width) if all(s in open_sets[n] for s in itertools.combinations(c, width - 1))]
-            for c in grown:
-                most[n, c] = min(most[n, s] * most[n, (i,)] for i in c for s in [tuple(x for x in c if x != i)])
-            wanted[n] = [c for c in grown if most[n, c] >= t.rows and not t.repeated(c)]
-            open_sets[n] = set(grown)
-        counts = _distinct(held, wanted)
-        most |= counts
-        for n, t in held.items():
-            found = [c for c in wanted[n] if counts[n, c] == t.rows]
-            keys[n] += found
-            open_sets[n] -= set(found)
+            wanted[n] = [c for c in itertools.combinations(single, width) if all(s in open_sets[n] for s in itertools.combinations(c, width - 1))]
+        found = _keys(held, wanted)
+        for n in held:
+            keys[n] += found[n]
+            open_sets[n] = set(wanted[n]) - set(found[n])
     rows = [(n, ",".join(t.fields[i].name for i in c), len(c)) for n, t in held.items() for c in keys[n]]
     spark = next(iter(tables.values())).sparkSession
     return spark.createDataFrame(rows, "table_name string, key_columns string, n_columns int")

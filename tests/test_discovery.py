@@ -60,3 +60,18 @@ def test_parent_is_key(make):
     tables = {"child": make([(1,), (2,), (2,), (None,)], "k int"), "parent": make([(1, 1), (2, 1), (3, 2)], "id bigint, g int")}
     got = {(r.child_column, r.parent_column): r.parent_is_key for r in discovery.inclusions(tables).collect()}
     assert got == {("k", "id"): True, ("k", "g"): False, ("g", "k"): False, ("g", "id"): True}
+
+
+def test_repeats_out_of_sight_are_not_counted_whole(make, monkeypatch):
+    """Columns and pairs with many repeats are ruled out by a slice of their values; only what may be a key is counted."""
+    counted, whole = [], discovery._distinct
+
+    def recorded(held, wanted):
+        counted.extend(c for combinations in wanted.values() for c in combinations)
+        return whole(held, wanted)
+
+    monkeypatch.setattr(discovery, "_distinct", recorded)
+    t = make([(i, i % 4000, f"n{i % 4000}", float(i % 2500)) for i in range(8000)], "a int, b int, c string, d double")
+    found = {r.key_columns for r in discovery.candidate_key_sets({"t": t}, widest=2, witnesses=5).collect()}
+    assert found == {"a", "b,d", "c,d"}
+    assert set(counted) == {(0,), (1, 3), (2, 3)}
