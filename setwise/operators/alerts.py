@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from setwise.functions.times import from_micros, micros
-from setwise.operators.graph import chase_missing
+from setwise.operators.graph import reached_forward
 from setwise.operators.ordered import ordered_rows
 from setwise.session import materialize
 
@@ -64,9 +64,9 @@ def _double(times: DataFrame) -> DataFrame:
         hits.unionByName(asks), [F.col("at").desc(), F.col("asks").asc(), F.col("us").asc()], ["rule", "run"],
         carried={"next": "hit"})
     node = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("rule"), F.col(c).alias("us")))
-    pointers = seen.where("asks = 1").select("rule", "us", node("us").alias("node"), node("next").alias("after"))
+    pointers = seen.where("asks = 1").select(node("us").alias("node"), node("next").alias("after"))
     first = times.groupBy("rule", "run").agg(F.min("us").alias("us")).select(node("us").alias("node"))
-    fired = chase_missing(first, pointers, "node", "after").select("rule", "us")
+    fired = reached_forward(first, pointers.select("node", F.col("after").alias("up"))).select("node.rule", "node.us")
     return times.join(fired, ["rule", "us"], "left_semi").select("rule", "us", "event_id")
 
 

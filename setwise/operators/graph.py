@@ -232,3 +232,38 @@ def chase_missing(
         last, jumps = jumps, materialize(_double(jumps).select("node", F.col("__up").alias("up")), "jumps")
         release(last)
     return table.join(reached.withColumnRenamed("node", key), key, "left_semi")
+
+
+def reached_forward(seeds: DataFrame, pointers: DataFrame, stride: int = 4) -> DataFrame:
+    """(node): the seeds and all they lead to over pointers (node, up) that never turn back; NULL ends a way.
+
+    A level holds jumps ``stride`` times as long as the one before, and only for nodes that some jump of that one ends in:
+    where ways join it is a fraction of it, and all levels together are little more than the pointers. Seeds move one jump
+    a level, so the places found on a level and those that its jumps fill in between are all places after them.
+    """
+    first = seeds.select("node", F.lit(True).alias("first")).distinct()
+    level = materialize(pointers.select("node", "up").distinct().join(first, "node", "left").select("node", "up", F.coalesce("first", F.lit(False)).alias("first")), "jumps")
+    levels = [level]
+    while not level.where("up is not null").isEmpty():
+        ends = level.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.max("first").alias("first"))
+        further = ends.withColumn("up", F.col("node"))
+        for _ in range(stride):
+            further = _stepped(further, level, "up", "up")
+        level = materialize(further.select("node", "up", "first").distinct(), "jumps")
+        levels.append(level)
+    found = level.where("first").select("node").distinct()
+    for level in reversed(levels[:-1]):
+        places = [f"__at{i}" for i in range(stride)]
+        between = found.select(F.col("node").alias(places[0]))
+        for at, to in zip(places, places[1:]):
+            between = _stepped(between, level, at, to)
+        filled = between.select(F.explode(F.array_compact(F.array(*places))).alias("node"))
+        found = materialize(filled.union(level.where("first").select("node")).distinct(), "reached")
+    return found
+
+
+def _stepped(rows: DataFrame, jumps: DataFrame, at: str, to: str) -> DataFrame:
+    """Rows with ``to``, the end of the jump from ``at``; NULL where there is none."""
+    ahead = jumps.where("up is not null").select(F.col("node").alias("__via"), F.col("up").alias("__up"))
+    kept = [c for c in rows.columns if c != to]
+    return rows.join(ahead, F.col(at) == F.col("__via"), "left").select(*kept, F.col("__up").alias(to))

@@ -158,3 +158,24 @@ def test_stream_daily_snapshot(spark, history, rows):
 def test_runs_of_days():
     days = [date(2024, 1, d) for d in (1, 2, 5, 7, 8, 9)]
     assert jobs._runs(days) == [(date(2024, 1, 1), date(2024, 1, 3)), (date(2024, 1, 5), date(2024, 1, 6)), (date(2024, 1, 7), date(2024, 1, 10))]
+
+
+def test_dense_hits_are_not_stored_again_each_round(make, rows, monkeypatch):
+    """Of hits that come many in a delay few are where others lead to; rounds hold only these."""
+    from setwise.operators import graph
+
+    rnd, us, data = random.Random(3), 0, []
+    for i in range(3000):
+        us += rnd.randrange(1, 4)
+        data.append(("dense", 60, us, i))
+    stored, store = [], graph.materialize
+
+    def recorded(df, label="stage"):
+        out = store(df, label)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "materialize", recorded)
+    want = sorted(("dense", us, i) for us, i in fired([(x[2], x[3]) for x in data], 60))
+    assert rows(al.fire_alerts(hits_of(make, data))) == want
+    assert sum(stored) < 3 * len(data)
