@@ -1,9 +1,9 @@
 """Many snippets searched in stored texts by a trigram index.
 
 Every text is cut into its distinct trigrams of lowered characters. A trigram's
-keys are its posting list; a list of more than LIST keys is dealt to several
-rows by a hash of the key, so neither a row nor a task grows with a trigram
-that stands in every text. Lists are written by bucket of the trigram and
+keys are its posting list; keys are dealt by a hash to parts of about LIST, and
+a list has a row for each part, so no row grows with a trigram that stands in
+every text. Lists are written by bucket of the trigram and
 sorted by it, so a search reads the buckets of its trigrams and there only row
 groups that can hold them. Keys that stand in all lists looked at are compared
 with the text itself, so a search finds what a scan finds.
@@ -16,21 +16,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from setwise.functions.texts import contains_text
-from setwise.session import materialize
+from setwise.session import materialize, release
 from setwise.sources.tables import literal_rows
 
 LIST = 20_000  # keys in a row of a posting list
 BUCKETS = 64
+PARTS = 32  # parts of a list in a file of a bucket
 RAREST = 4  # lists looked at for a snippet
 
 
 def trigrams(text: Column) -> Column:
     """Distinct three-character pieces of a lowered text; NULL and shorter texts have none."""
-    chars = F.split(F.lower(text), "")
-    # Held by the outer array, the characters are split once and not again for every piece.
-    pieces = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(c[i], c[i + 1], c[i + 2]))
-    cut = F.transform(F.array(chars), lambda c: F.when(F.size(c) >= 3, F.array_distinct(pieces(c))))
-    return F.coalesce(F.element_at(cut, 1), F.array().cast("array<string>"))
+    # One pass of a pattern that looks ahead three characters and moves on by one.
+    pieces = F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))."), F.lit(1))
+    return F.coalesce(F.array_distinct(pieces), F.array().cast("array<string>"))
 
 
 def _bucket(gram: Column) -> Column:
@@ -38,15 +37,20 @@ def _bucket(gram: Column) -> Column:
 
 
 def build_index(texts: DataFrame, key: str, text: Column, folder: str, most: int = LIST) -> None:
-    """Write posting lists (gram, holders, keys) and list sizes (gram, holders) of all texts with a key."""
-    pairs = texts.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.explode(trigrams(text)).alias("gram")).distinct()
-    pairs = materialize(pairs, "grams")
-    sizes = pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("holders"))
-    dealt = pairs.join(sizes, "gram").withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("holders") / most)))
-    lists = dealt.groupBy("gram", "holders", "part").agg(F.collect_list("key").alias("keys"))
-    by = lambda df: df.withColumn("bucket", _bucket(F.col("gram"))).repartition("bucket", F.col("gram")).sortWithinPartitions("bucket", "gram")
-    by(lists).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/lists")
+    """Write posting lists (gram, part, keys, holders) and list sizes (gram, holders) of all texts with a key."""
+    keyed = texts.where(F.col(key).isNotNull())
+    parts = -(-keyed.count() // most) or 1
+    part = F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int").alias("part")
+    pairs = keyed.select(F.col(key).alias("key"), part, F.explode(trigrams(text)).alias("gram"))
+    # Grouped where the texts are read, so that lists are shuffled and not pairs; rows that repeat a key fall into one list.
+    lists = materialize(pairs.groupBy("gram", "part").agg(F.collect_set("key").alias("keys")), "lists")
+    sizes = lists.groupBy("gram").agg(F.sum(F.size("keys")).alias("holders"))
+    # A file for each bucket, or several where it holds many parts, and not one for each bucket and task.
+    dealt = F.pmod(F.xxhash64("gram", F.lit("file")), F.lit(-(-parts // PARTS)))
+    by = lambda df: df.withColumn("bucket", _bucket(F.col("gram"))).repartition("bucket", dealt).sortWithinPartitions("bucket", "gram")
+    by(lists.join(sizes, "gram")).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/lists")
     by(sizes).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/sizes")
+    release(lists)
 
 
 def matching(spark: SparkSession, folder: str, part: str, grams: Sequence[str]) -> DataFrame:

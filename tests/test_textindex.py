@@ -41,3 +41,20 @@ def test_binary_and_nothing(make, spark):
     ti.build_index(df, "k", text, index)
     assert [tuple(r) for r in ti.search(df, "k", text, index, ["<report>"]).collect()] == [("<report>", 1)]
     assert ti.search(df, "k", text, index, []).collect() == []
+
+
+def test_lists_are_stored_and_not_pairs(make, spark, monkeypatch):
+    """What is stored while an index is built has a row for each trigram and part, however many texts hold it."""
+    stored, store = [], ti.materialize
+
+    def recorded(df, label="stage"):
+        out = store(df, label)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(ti, "materialize", recorded)
+    df, index = make([(i % 250, "abcdefgh") for i in range(300)], "k int, t string"), scratch_path(spark, "index")
+    ti.build_index(df, "k", F.col("t"), index, 200)
+    assert sum(stored) <= 6 * 2
+    sizes = {r.gram: r.holders for r in spark.read.parquet(f"{index}/sizes").collect()}
+    assert sizes == dict.fromkeys(("abc", "bcd", "cde", "def", "efg", "fgh"), 250)
