@@ -6,18 +6,23 @@ a chain of a million nodes takes twenty rounds, and no round holds more than
 one row per node. Nodes that wait for several others are cut off as roots of
 trees of their own; pairs are formed between such nodes and the places where
 their blockers enter a tree, and along a tree's path only where several enter
-the same tree. Rounds are stored in the shared folder, so lineage stays short
-and a lost executor re-reads instead of re-running the rounds.
+the same tree. Where no way passes many branching nodes, a node's places are
+one array, put together level by level from those of the nodes it waits for.
+Rounds are stored in the shared folder, so lineage stays short and a lost
+executor re-reads instead of re-running the rounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from setwise.session import materialize, release
 
+LEVELS = 40  # branching nodes on one way that are still followed level by level
+PLACES = 1 << 22  # places that one array may hold
+
 
 def _double(jumps: DataFrame) -> DataFrame:
     """Follow each jump twice."""
@@ -45,14 +50,19 @@ def descendant_count(nodes: DataFrame, node: str, blocked_by: str, name: str = "
         place = _circle_ids(graph.forest.join(on_circle, "node", "left_semi"), graph.rounds)
         weights, edges = _condensed(weights, edges, place)
         graph = _Graph.of(weights, edges)
-    reach = graph.branches_reached()
-    turning = _turning_groups(graph, reach) if reach is not None else None
-    if turning is not None:
-        weights, edges = _condensed(weights, edges, turning)
-        place = turning if place is None else _chained(place, turning)
-        graph = _Graph.of(weights, edges)
+    entries = graph.entries_by_level()
+    if entries is None and graph.several is not None:
         reach = graph.branches_reached()
-    total = graph.totals(reach)
+        turning = _turning_groups(graph, reach)
+        if turning is not None:
+            weights, edges = _condensed(weights, edges, turning)
+            place = turning if place is None else _chained(place, turning)
+            graph = _Graph.of(weights, edges)
+            entries = graph.entries_by_level()
+            reach = graph.branches_reached() if entries is None else None
+        if reach is not None:
+            entries = graph.entries_of(reach)
+    total = graph.totals(entries)
     if place is not None:
         stands = known.select(F.col("__n").alias("node")).join(place, "node", "left").select("node", F.coalesce("circle", "node").alias("__at"))
         total = stands.join(total.withColumnRenamed("node", "__at"), "__at")
@@ -76,28 +86,74 @@ class _Graph:
         several = edges.join(forest.where("branches").select("node"), "node", "left_semi") if branching else None
         return cls(weights, forest, several, trees, circles, rounds)
 
+    def _entered(self) -> DataFrame:
+        """(node, up): branching nodes and the branching roots of the trees their blockers are in."""
+        roots = self.forest.where("branches").select(F.col("node").alias("top"))
+        tops = self.trees.select(F.col("node").alias("up"), "top")
+        return self.several.join(tops, "up").join(roots, "top", "left_semi").select("node", F.col("top").alias("up"))
+
     def branches_reached(self) -> DataFrame | None:
         """(node, up): branching nodes and the branching roots of the trees they get into, directly or through others."""
+        return None if self.several is None else _closure(self._entered())
+
+    def entries_of(self, reach: DataFrame) -> DataFrame:
+        """(b, w, entry): branching nodes, their weights and the places where they get into trees, from the pairs of ``branches_reached``."""
+        starts = self.several.select(F.col("node").alias("via"), F.col("up").alias("entry"))
+        steps = reach.select(F.col("node").alias("b"), F.col("up").alias("via"))
+        steps = steps.union(self.forest.where("branches").select(F.col("node").alias("b"), F.col("node").alias("via")))
+        return steps.join(starts, "via").select("b", "entry").distinct().join(self.trees.select(F.col("node").alias("b"), F.col("below").alias("w")), "b")
+
+    def entries_by_level(self) -> DataFrame | None:
+        """What ``entries_of`` gives; None without branching nodes, with circles through them, or if over ``LEVELS`` are on one way.
+
+        The places of a node are its blockers and the places of the roots above these. A level is worked on when all it waits
+        for is known, so an array goes over each edge once, and no pair is found by more ways than its node has blockers.
+        """
         if self.several is None:
             return None
-        roots = self.forest.where("branches").select(F.col("node").alias("top"))
-        entered = self.several.join(self.trees.select(F.col("node").alias("up"), "top"), "up").join(roots, "top", "left_semi")
-        return _closure(entered.select("node", F.col("top").alias("up")))
-
-    def totals(self, reach: DataFrame | None) -> DataFrame:
+        edges = materialize(self._entered().distinct(), "entered")
+        heights = _heights(edges, self.forest.where("branches").select("node"), LEVELS)
+        if heights is None:
+            release(edges)
+            return None
+        above = heights.select(F.col("node").alias("up"), F.col("height").alias("up_height"))
+        heights = heights.join(self.trees.select("node", F.col("below").alias("w")), "node")
+        placed = materialize(edges.join(heights, "node").join(above, "up"), "entered")
+        release(edges)
+        needs: dict[int, list[int]] = {}
+        for height, up_height in placed.select("height", "up_height").distinct().collect():
+            needs.setdefault(height, []).append(up_height)
+        parts = -(-self.several.select("up").distinct().count() // PLACES)
+        own = materialize(self.several.join(heights, "node").groupBy(
+            "node", "w", "height", F.pmod(F.xxhash64("up"), F.lit(parts)).alias("part")).agg(F.collect_set("up").alias("places")), "own")
+        held: dict[int, DataFrame] = {}
+        for height in range(own.agg(F.max("height")).first()[0], -1, -1):
+            level = own.where(F.col("height") == height).select("node", "w", "part", "places")
+            for up_height in needs.get(height, ()):
+                known = held[up_height].select(F.col("node").alias("up"), "part", "places")
+                waits = placed.where((F.col("height") == height) & (F.col("up_height") == up_height)).select("node", "w", "up")
+                level = level.union(waits.join(known, "up").select("node", "w", "part", "places"))
+            if height in needs:
+                level = level.groupBy("node", "w", "part").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+            held[height] = materialize(level, "places")
+        return reduce(DataFrame.union, held.values()).select(F.col("node").alias("b"), "w", F.explode("places").alias("entry"))
+
+    def totals(self, entries: DataFrame | None) -> DataFrame:
         """(node, total): the weight of each node and of all that wait for it; the graph has no circles."""
-        if reach is None:
+        if entries is None:
             return self.trees.select("node", F.col("below").alias("total"))
         behind = self.trees.select(F.col("node").alias("b"), F.col("below").alias("w"))
-        starts = self.several.select(F.col("node").alias("via"), F.col("up").alias("entry"))
-        steps = reach.select(F.col("node").alias("b"), F.col("up").alias("via"))
-        steps = steps.union(self.forest.where("branches").select(F.col("node").alias("b"), F.col("node").alias("via")))
-        entries = steps.join(starts, "via").select("b", "entry").distinct()
-        placed = materialize(entries.join(self.trees.select(F.col("node").alias("entry"), "top"), "entry").join(behind, "b"), "entries")
         # A tree entered once counts all that comes in by adding it where it enters: the sums over subtrees carry it to the root.
-        # Where several ways enter one tree their paths join, so every node of these paths is named once.
+        # Where several ways enter one tree their paths join, so every node of these paths is named once. Most trees have one
+        # place to enter, and what enters there needs no look at the others.
+        places = self.several.select(F.col("up").alias("entry")).distinct().join(self.trees.select(F.col("node").alias("entry"), "top"), "entry")
+        wide = places.groupBy("top").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        shared = materialize(places.join(wide, "top", "left_semi").select("entry", "top"), "shared")
+        alone = entries.groupBy("entry").agg(F.sum("w").alias("w")).join(shared, "entry", "left_anti")
+        placed = materialize(entries.join(shared, "entry"), "entries")
         ways = placed.groupBy("b", "top").agg(F.count(F.lit(1)).alias("ways"))
-        once = placed.join(ways.where("ways = 1"), ["b", "top"], "left_semi").groupBy(F.col("entry").alias("node")).agg(F.sum("w").alias("more"))
+        alone = alone.union(placed.join(ways.where("ways = 1"), ["b", "top"], "left_semi").select("entry", "w"))
+        once = alone.groupBy(F.col("entry").alias("node")).agg(F.sum("w").alias("more"))
         joining = placed.join(ways.where("ways > 1"), ["b", "top"], "left_semi").select(F.col("b").alias("tag"), F.col("entry").alias("node"))
         on_paths = _ancestors(joining, self.forest).join(behind, F.col("tag") == F.col("b")).groupBy("node").agg(F.sum("w").alias("direct"))
         valued = self.forest.join(once, "node", "left").select("node", "up", (F.col("weight") + F.coalesce("more", F.lit(0))).alias("below"))
@@ -105,6 +161,25 @@ class _Graph:
         return summed.join(on_paths, "node", "left").select("node", (F.col("below") + F.coalesce("direct", F.lit(0))).alias("total"))
 
 
+def _heights(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame | None:
+    """(node, height): how many edges (node, up) the longest way from below to a node has; None with circles or if over ``most``.
+
+    Nodes that nobody waits for any more are taken off in rounds, and a round holds only the edges among those that are left.
+    """
+    left, size = edges, edges.count()
+    floors = [nodes.select("node", F.lit(0).alias("height"))]
+    while size:
+        floors.append(materialize(left.select(F.col("up").alias("node")).distinct().withColumn("height", F.lit(len(floors))), "floor"))
+        last, before = left, size
+        left = materialize(last.join(floors[-1], "node", "left_semi").select("node", "up"), "waiting")
+        size = left.count()
+        if last is not edges:
+            release(last)
+        if size == before or len(floors) > most:
+            return None
+    return materialize(reduce(DataFrame.union, floors).groupBy("node").agg(F.max("height").alias("height")), "heights")
+
+
 def _turning_groups(graph: _Graph, reach: DataFrame) -> DataFrame | None:
     """(node, circle) for nodes on circles that pass through branching nodes, or None without any.
 

@@ -99,6 +99,30 @@ def test_one_node_with_two_blockers_in_a_chain(make, monkeypatch):
     assert max(df.count() for _, df in held) <= 301
 
 
+def test_every_node_waits_for_two_others(make, monkeypatch):
+    """Nodes are held with what they reach as one row: nothing stored grows with the reachable pairs."""
+    held = []
+    store = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label="stage": held.append((label, store(df, label))) or held[-1][1])
+    monkeypatch.setattr(graph, "release", lambda df: None)
+    edges = [(i, up) for i in range(1, 400) for up in (i // 2, i // 3)]
+    want = counts_by_force(edges)
+    assert dict(several(make, edges)) == want
+    most = max(df.count() for _, df in held)
+    assert most <= 3 * 400 < sum(want.values()) / 3
+
+
+def test_long_ways_and_circles_of_branching_nodes(make, monkeypatch):
+    """Over the number of levels, and on circles, pairs are followed as before; arrays in parts hold the same places."""
+    edges = [(i, up) for i in range(9) for up in (i - 1, i - 2)]
+    turning = edges + [(0, 5), (10, 8), (10, 3), (11, 10), (11, 2)]
+    monkeypatch.setattr(graph, "LEVELS", 3)
+    assert several(make, edges) == counts_by_force(edges)
+    monkeypatch.setattr(graph, "LEVELS", 40)
+    monkeypatch.setattr(graph, "PLACES", 4)
+    assert several(make, turning) == counts_by_force(turning)
+
+
 def test_ways_that_join(make):
     edges = [(4, 2), (4, 3), (2, 1), (3, 1), (1, None), (5, 4), (6, 4), (7, 3), (7, 5)]
     assert several(make, edges) == counts_by_force(edges) == {1: 6, 2: 4, 3: 4, 4: 3, 5: 1, 6: 0, 7: 0}
