@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from setwise.functions.texts import pad_left, thousands, wildcard_regex
 from setwise.functions.times import elapsed_parts_text, int_div
-from setwise.functions.xmlpath import PARSE, readable, step
+from setwise.functions.xmlpath import BETWEEN, PARSE, few_nodes, open_tags, readable, step
 from setwise.operators.aggregates import ordered_list
 
 
@@ -77,9 +77,11 @@ def xml_nodes_anywhere(
     is how deep ``row_tag`` elements may stand inside each other; a document in
     which they go deeper is an error.
 
-    A path that asks for the nodes and one field of each gives both in document
-    order: nodes come as NULL, values as text, so every value belongs to the
-    last node before it. Nodes that stand inside others are asked for apart.
+    Where tags alone show that there are few nodes and none inside another, one
+    path gives all fields. Any other text is asked for each field: a path for
+    the nodes and one field of each gives both in document order, nodes as NULL,
+    values as text, so every value belongs to the last node before it. Nodes
+    that stand inside others are asked for apart.
     """
     row, none = step(row_tag), F.array().cast("array<string>")
     inside = f"count(ancestor::{row})"
@@ -95,10 +97,31 @@ def xml_nodes_anywhere(
                 F.array(F.concat(F.coalesce(F.element_at(held, -1), F.lit("")), x)))))
 
     # Checked and rewritten once; deeper levels are looked at only where there are any.
-    ready = df.select(*keep, readable(xml).alias("__xml")).where("__xml IS NOT NULL").withColumn("__nested", F.size(found(f"//{row}[{inside}>0]")) > 0)
+    ready = df.select(*keep, readable(xml).alias("__xml")).where("__xml IS NOT NULL").withColumn("__tags", open_tags("__xml", row_tag))
+    few, most = few_nodes("__xml", "__tags", row_tag, list(fields))
+    ready = ready.withColumn("__few", F.split(few, BETWEEN))
+    attributes = [name for name in fields if name.startswith("_")]
+    places = F.slice(F.array(*[F.lit(k) for k in range(max(most, 1))]), F.lit(1), F.col("__tags"))
+
+    def given(k: Column, i: int) -> Column:
+        value = F.get("__few", k * len(fields) + (i + 1 + len(attributes)))
+        return F.when(value != "", value)
+
+    one = lambda i: lambda k: given(k, i)
+    # The document has as many nodes as its tags say, and of each attribute as many as nodes that have a value of it.
+    at_once = F.get("__few", F.lit(0)).cast("int") == F.col("__tags")
+    for a, name in enumerate(attributes, 1):
+        i = list(fields).index(name)
+        at_once = at_once & (F.get("__few", F.lit(a)).cast("int") == F.size(F.array_compact(F.transform(places, one(i)))))
+    at_once = (F.col("__tags") == 0) | F.coalesce(at_once, F.lit(False))
+    at_once = F.coalesce(at_once, F.lit(False))
+    ready = ready.withColumn("__at_once", at_once).withColumn(
+        "__nested", F.when(~F.col("__at_once"), F.size(found(f"//{row}[{inside}>0]")) > 0))
     too_deep = F.col("__nested") & (F.size(found(at(nesting))) > 0)
     levels = [F.arrays_zip(*[column(level, name).alias(f"f{i}") for i, name in enumerate(fields)]) for level in range(nesting)]
-    nodes = F.when(~F.col("__nested"), levels[0]).when(
+
+    nodes = F.when(F.col("__at_once"), F.transform(places, lambda k: F.struct(*[given(k, i).alias(f"f{i}") for i in range(len(fields))]))).when(
+        ~F.col("__nested"), levels[0]).when(
         too_deep, F.raise_error(F.lit(f"{row_tag} elements stand more than {nesting} deep inside each other"))).otherwise(F.concat(*levels))
     return ready.select(*keep, F.explode(nodes).alias("__node")).select(
         *keep, *[F.col(f"__node.f{i}").cast(t).alias(name.lstrip("_")) for i, (name, t) in enumerate(fields.items())])

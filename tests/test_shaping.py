@@ -109,6 +109,27 @@ def test_xml_nodes_at_any_depth(make, rows, plan_of):
         sh.xml_nodes_anywhere(make(texts, "k int, xml string"), "xml", "Q", {"_id": "int"}, ["k"], nesting=1).collect()
 
 
+def test_xml_nodes_by_one_path(make, rows, monkeypatch):
+    """Texts whose tags show few nodes side by side are asked once; what the paths a field give is the same."""
+    texts = [
+        '<R xmlns:p="u"><p:Q p:id="1"><B>a<i>b</i> c</B><N></N></p:Q><Q id=""><!-- <Q/> --><N>2</N></Q></R>',
+        "<R><Q id='x'><B> </B></Q><Q>own<N>3</N><B><![CDATA[<Q>]]>&amp;</B></Q><Q ><N>4</N><N>5</N></Q></R>",
+        '<R xmlns:p="u" xmlns:q="v"><Q p:id="6" q:id="7"><B>two</B></Q><Qx id="8"/></R>', "<R><Q/><Q id='>'/><Q><Q id='9'/></Q></R>",
+        "<R>" + "".join(f"<Q id='{i}'><B>b{i}</B></Q>" for i in range(6)) + "</R>", "<R>" + "".join(f"<Q id='{i}'><B>b{i}</B></Q>" for i in range(11)) + "</R>",
+        "<?xml version='1.0'?><Q id='10'><N>1</N></Q>", "<R/>", "<Q id='&lt;Q&gt;'><a:B xmlns:a='u'>z</a:B></Q>", "<Q><B>unclosed</Q>"]
+    df = make(list(enumerate(texts)), "k int, xml string")
+    fields = {"_id": "string", "B": "string", "N": "string"}
+    asked = sh.few_nodes
+    monkeypatch.setattr(sh, "few_nodes", lambda *a: (F.lit(None).cast("string"), 0))
+    by_field = rows(sh.xml_nodes_anywhere(df, "xml", "Q", fields, ["k"]))
+    monkeypatch.setattr(sh, "few_nodes", asked)
+    assert rows(sh.xml_nodes_anywhere(df, "xml", "Q", fields, ["k"])) == by_field
+    assert len(by_field) == 2 + 3 + 1 + 4 + 6 + 11 + 1 + 1
+    monkeypatch.setattr(F, "xpath", lambda xml, path: F.lit(None).cast("array<string>"))
+    once = df.where("k IN (1, 4, 7, 8)")
+    assert rows(sh.xml_nodes_anywhere(once, "xml", "Q", fields, ["k"])) == [r for r in by_field if r[0] in (1, 4, 7, 8)]
+
+
 def test_xml_nodes_keep_cdata(make, rows):
     xml = '<p:D xmlns:p="u"><p:V p:q="7"><p:Value><![CDATA[x xmlns="u" <a:b>]]></p:Value></p:V></p:D>'
     out = sh.xml_nodes(make([(1, xml), (2, "<broken"), (3, None)], "k int, xml string"), "xml", "V", {"_q": "int", "Value": "string"}, ["k"])
