@@ -95,7 +95,7 @@ def few_nodes(xml: Column | str, count: Column | str, name: str, fields: Sequenc
     paths, ends = [[f"count({path})" for path in (node, *[f"{node}/{step(f)}" for f in fields if f.startswith("_")])]], []
     taken = lambda values: 1 + sum(len(re.findall(r"//|[/(\[*=@]", re.sub(r"\"[^\"]*\"|'[^']*'", "", v))) for v in values)
     most = 0
-    while len(paths) <= max(len(fields), 1):
+    while taken(paths[0]) <= OPERATORS and len(paths) <= max(len(fields), 1):
         k, i = divmod(most, max(len(fields), 1))
         value = f"string(({node})[{k + 1}]/{step(fields[i])})" if fields else ""
         if not fields or taken([value]) > OPERATORS:

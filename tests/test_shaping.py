@@ -130,6 +130,13 @@ def test_xml_nodes_by_one_path(make, rows, monkeypatch):
     assert rows(sh.xml_nodes_anywhere(once, "xml", "Q", fields, ["k"])) == [r for r in by_field if r[0] in (1, 4, 7, 8)]
 
 
+def test_xml_nodes_of_many_attributes(make, rows):
+    names = [f"a{i}" for i in range(12)]
+    df = make([(1, "<R><Q " + " ".join(f"{n}='{n}'" for n in names) + "/></R>"), (2, "<R><Q a3='x'></Q></R>")], "k int, xml string")
+    out = sh.xml_nodes_anywhere(df, "xml", "Q", {f"_{n}": "string" for n in names}, ["k"])
+    assert rows(out) == [(1, *names), (2, *[None] * 3, "x", *[None] * 8)]
+
+
 def test_xml_nodes_keep_cdata(make, rows):
     xml = '<p:D xmlns:p="u"><p:V p:q="7"><p:Value><![CDATA[x xmlns="u" <a:b>]]></p:Value></p:V></p:D>'
     out = sh.xml_nodes(make([(1, xml), (2, "<broken"), (3, None)], "k int, xml string"), "xml", "V", {"_q": "int", "Value": "string"}, ["k"])
