@@ -22,6 +22,12 @@ Sets that are alike are not compared in pairs. Each is compared with the most
 central set of its cells (sets of one least hash); after that only sets outside
 the largest component around a token look for groups, and only for groups that
 hold members of other components.
+
+Near-copies that are not linked share nearly all tokens, so these tell nothing.
+The most central of them is their hub, and two sets of one hub differ in all in
+which one of them differs from it, save what both have lost or gained: linked
+sets of two components have some of that in common. Sets of one hub look for
+groups by these differences alone, and by their tokens only for other hubs.
 """
 
 from __future__ import annotations
@@ -192,42 +198,96 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _stars(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of every set and the most central one of each of its cells."""
+    """(rep, hub) of every set and (weight, rep) of the most central one of each of its cells."""
     cells = sets.select("rep", "weight", F.posexplode("cells").alias("which", "cell"))
-    hubs = cells.groupBy("which", "cell").agg(F.max_by("rep", F.struct("weight", "rep")).alias("b"))
-    return cells.join(hubs, ["which", "cell"]).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    hubs = cells.groupBy("which", "cell").agg(F.max(F.struct("weight", "rep")).alias("hub"))
+    return cells.join(hubs, ["which", "cell"]).select("rep", "hub")
+
+
+def _apart(sets: DataFrame, stars: DataFrame, percent: int, group: int) -> DataFrame:
+    """(rep, hub, differing): the tokens that one of a set and its most central hub has alone, where these are few and the hub has many sets."""
+    hung = stars.groupBy("rep").agg(F.max("hub")["rep"].alias("hub"))
+    many = hung.groupBy("hub").agg(F.count("*").alias("n_hung")).where(F.col("n_hung") > group).select("hub")
+    center = sets.select(F.col("rep").alias("hub"), F.col("tokens").alias("of_hub"))
+    differing = F.concat(F.array_except("tokens", "of_hub"), F.array_except("of_hub", "tokens"))
+    return sets.select("rep", "n", "tokens").join(hung.join(many, "hub"), "rep").join(center, "hub").select("rep", "hub", "n", differing.alias("differing")).where(
+        F.size("differing") * 100 <= F.col("n") * (3 * (100 - percent))).drop("n")
+
+
+def _bounded(placed: DataFrame, apart: DataFrame, percent: int, hold: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(``placed`` with hub, far and reach, differences (hub, token, rep) that sets of several components have).
+
+    Linked sets differ in (100 - percent) / (100 + percent) of their sizes at most, and that is what both differ from their hub less
+    twice what these differences have in common. So the ``far`` of one is no more than the ``reach`` of the other.
+    """
+    each = apart.join(placed.select("rep", "component"), "rep").select("rep", "hub", "component", F.explode("differing").alias("token"))
+    several = each.groupBy("hub", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("hub", "token")
+    shared = hold.table(each.join(several, ["hub", "token"]).select("hub", "token", "rep"), "differences")
+    counted = shared.groupBy("rep").agg(F.count("*").alias("n_shared"))
+    bounds = apart.select("rep", "hub", F.size("differing").alias("n_differing")).join(counted, "rep", "left")
+    far = (100 + percent) * F.col("n_differing").cast("bigint") - (100 - percent) * F.col("n")
+    reach = 2 * (100 + percent) * F.coalesce("n_shared", F.lit(0)) - F.col("far")
+    hung = placed.join(bounds, "rep", "left").withColumn("far", far).withColumn("reach", F.when(F.col("hub").isNotNull(), reach))
+    return hung.drop("n_differing", "n_shared"), shared
+
 
+def _met_by_tokens(members: DataFrame, hold: Scratch) -> DataFrame:
+    """(rep, group): sets and the groups of other hubs with a rare token and a member of another component.
 
-def _searched(sets: DataFrame, joined: DataFrame, percent: int, hold: Scratch, group: int) -> DataFrame:
+    Around a token there are components and hubs within which nothing is looked for; sets of the largest of these do not ask.
+    """
+    entries = members.select(F.explode("rare").alias("token"), "rep", "group", "component", "hub", "n", "cap")
+    most = lambda by: entries.where(f"{by} IS NOT NULL").groupBy("token", by).agg(F.count("*").alias("holders")).groupBy("token").agg(
+        F.max(F.struct("holders", by)).alias(f"most_{by}"), F.count("*").alias(f"n_{by}"))
+    several = hold.table(most("component").where("n_component > 1").join(most("hub"), "token", "left").select(
+        "token", F.when(F.col("most_hub.holders") > F.col("most_component.holders"), F.col("most_hub.hub")).alias("largest_hub"),
+        F.col("most_component.component").alias("largest")), "tokens")
+    open_entries = hold.table(entries.join(several, "token"), "entries")
+    matrix = open_entries.groupBy("token", "group", F.col("hub").alias("of_hub")).agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least_n"), F.max("cap").alias("most_cap"))
+    asking = open_entries.where(
+        "IF(largest_hub IS NULL, component <> largest, hub IS NULL OR hub <> largest_hub)").select("token", "rep", "component", "hub", "n", "cap")
+    return asking.join(matrix, "token").where(
+        "(low <> component OR high <> component) AND least_n <= cap AND n <= most_cap AND (hub IS NULL OR of_hub IS NULL OR hub <> of_hub)").select(
+        "rep", "group").distinct()
+
+
+def _met_by_differences(members: DataFrame, shared: DataFrame, percent: int, hold: Scratch) -> DataFrame:
+    """(rep, group): sets outside the largest component of their hub and its groups that may hold a linked set of another component."""
+    entries = shared.join(members.select("rep", "group", "component", "n", "cap", "far", "reach"), "rep")
+    ends = entries.groupBy("hub", "token").agg(F.min("far").alias("least_far"), F.max("reach").alias("most_reach"))
+    entries = hold.table(entries.join(ends, ["hub", "token"]).where("far <= most_reach AND least_far <= reach").drop("least_far", "most_reach"), "entries")
+    sizes = members.where("hub IS NOT NULL").groupBy("hub", "component").agg(F.count("*").alias("holders"))
+    largest = sizes.groupBy("hub").agg(F.max(F.struct("holders", "component"))["component"].alias("largest"))
+    asking = entries.join(largest, "hub").where("component <> largest").select("hub", "token", "rep", "component", "n", "cap", "far", "reach")
+    matrix = entries.groupBy("hub", "token", "group").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least_n"), F.max("cap").alias("most_cap"),
+        F.min("far").alias("least_far"), F.max("reach").alias("most_reach"))
+    met = asking.join(matrix, ["hub", "token"]).where(
+        "(low <> component OR high <> component) AND least_n <= cap AND n <= most_cap AND least_far <= reach AND far <= most_reach")
+    common = met.groupBy("rep", "group").agg(F.count("*").alias("common"), F.min(F.col("far") + F.col("least_far")).alias("apart"))
+    return common.where(F.col("common") * (2 * (100 + percent)) >= F.col("apart")).select("rep", "group")
+
+
+def _searched(sets: DataFrame, joined: DataFrame, apart: DataFrame, percent: int, hold: Scratch, group: int) -> DataFrame:
     """Pairs (a, b) still to be compared: sets of different components, b in a group whose bound reaches the threshold for a."""
     placed = sets.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    by_cell = placed.withColumn("cell", F.col("cells")[0])
+    placed, shared = _bounded(placed, apart, percent, hold)
+    by_cell = placed.withColumn("cell", F.when(F.col("hub").isNull(), F.col("cells")[0]).otherwise(F.xxhash64("hub")))
     cuts = by_cell.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("cuts"))
     members = hold.table(by_cell.join(cuts, "cell").withColumn(
         "group", F.xxhash64("cell", F.pmod(F.xxhash64("rep"), F.col("cuts")))).drop("cell", "cuts", "cells", "weight"), "members")
     groups = members.groupBy("group").agg(
         F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
 
-    # The matrix: the groups of each token, with the components of the members that hold it.
-    entries = members.select(F.explode("rare").alias("token"), "rep", "group", "component", "n", "cap")
-    held = entries.groupBy("token", "component").agg(F.count("*").alias("holders"))
-    several = hold.table(held.groupBy("token").agg(
-        F.max_by("component", F.struct("holders", "component")).alias("largest"), F.count("*").alias("n_components")).where("n_components > 1"), "tokens")
-    open_entries = hold.table(entries.join(several, "token"), "entries")
-    matrix = open_entries.groupBy("token", "group").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                                         F.min("n").alias("least_n"), F.max("cap").alias("most_cap"))
-    asking = open_entries.where("component <> largest").select("token", "rep", "component", "n", "cap")
-    met = asking.join(matrix, "token").where(
-        "(low <> component OR high <> component) AND least_n <= cap AND n <= most_cap").select("rep", "group").distinct()
-    met = hold.table(met, "met")
-
+    met = hold.table(_met_by_tokens(members, hold).union(_met_by_differences(members, shared, percent, hold)).distinct(), "met")
     q = members.select("rep", F.col("n").alias("q_n"), F.col("tokens").alias("q_tokens"))
     bound = F.size(F.array_intersect("q_tokens", "tokens"))
     opened = hold.table(met.join(q, "rep").join(groups, "group").where(bound * 100 >= F.col("q_n") * percent).select("rep", "group"), "opened")
-    inside = members.select(
-        "group", F.col("rep").alias("b"), F.col("component").alias("b_component"), F.col("n").alias("b_n"), F.col("cap").alias("b_cap"))
-    return opened.join(members.select("rep", "component", "n", "cap"), "rep").join(inside, "group").where(
-        "component <> b_component AND n <= b_cap AND b_n <= cap").select(
+    asking = members.select("rep", "component", "n", "cap", "hub", "far", "reach")
+    inside = members.select("group", *[F.col(c).alias("b" if c == "rep" else f"b_{c}") for c in asking.columns])
+    return opened.join(asking, "rep").join(inside, "group").where(
+        "component <> b_component AND n <= b_cap AND b_n <= cap AND (hub IS NULL OR b_hub IS NULL OR hub <> b_hub OR (far <= b_reach AND b_far <= reach))").select(
         F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
 
 
@@ -261,9 +321,12 @@ def similar_groups(
     of_key = rows.where("key IS NOT NULL AND n > 0").select("key", "set_id").distinct()
     mixed_keys = of_key.groupBy("key").agg(F.count("*").alias("n_sets")).where("n_sets > 1")
     same_key = of_key.join(mixed_keys, "key").join(classes, "set_id").select(F.col("key").alias("a"), F.col("rep").alias("b"))
-    first = hold.table(_linked(_stars(sets), sets, percent), "links")
+    stars = hold.table(_stars(sets), "stars")
+    pairs = stars.select(F.col("rep").alias("a"), F.col("hub")["rep"].alias("b")).where("a <> b").distinct()
+    first = hold.table(_linked(pairs, sets, percent), "links")
     joined = components(first.union(same_key), "a", "b", hold)
-    late = hold.table(_linked(_searched(sets, joined, percent, hold, group), sets, percent), "late-links")
+    apart = hold.table(_apart(sets, stars, percent, group), "apart")
+    late = hold.table(_linked(_searched(sets, joined, apart, percent, hold, group), sets, percent), "late-links")
     joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late), "a", "b", hold)
 
     of_class = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))

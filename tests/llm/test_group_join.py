@@ -81,3 +81,34 @@ def test_pages_of_a_template_below_the_threshold(spark, monkeypatch):
     monkeypatch.setattr(group_join, "_linked", lambda pairs, *a: compared.append(pairs.count()) or linked(pairs, *a))
     assert all(r.component == r.doc_id for r in found(spark, rows))
     assert sum(compared) == 0
+
+
+def variants(seed, n, vocabulary, places, most=5):
+    """Copies of a text of 150 words with up to ``most`` words replaced."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    rows = [base]
+    for _ in range(n):
+        words = base[:]
+        for at in rng.sample(range(150), rng.randint(1, most)):
+            words[at * places // 150 * 150 // places] = f"own{rng.randrange(vocabulary)}"
+        rows.append(words)
+    rng.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_near_copies_that_are_not_linked_are_compared_with_few(spark, monkeypatch):
+    rows = variants(5, 500, 30, 150)
+    compared = []
+    linked = group_join._linked
+    monkeypatch.setattr(group_join, "_linked", lambda pairs, *a: compared.append(pairs.count()) or linked(pairs, *a))
+    want = brute.components([i for i, _ in rows], brute.similar_pairs(rows, 4, 85))
+    assert {r.doc_id: r.component for r in found(spark, rows)} == want
+    assert sum(compared) < 20 * len(rows)
+
+
+@pytest.mark.parametrize(("seed", "vocabulary", "places", "options"), [(6, 3, 10, {}), (7, 2, 150, {"group": 3}), (8, 6, 6, {"percent": 80, "k": 3, "group": 4}), (9, 40, 20, {"percent": 90})])
+def test_near_copies_with_edits_in_common(spark, seed, vocabulary, places, options):
+    rows = variants(seed, 250, vocabulary, places, 9)
+    want = brute.components([i for i, _ in rows], brute.similar_pairs(rows, options.get("k", 4), options.get("percent", 85)))
+    assert {r.doc_id: r.component for r in found(spark, rows, **options)} == want
