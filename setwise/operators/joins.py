@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from setwise.functions.times import int_div, micros, slot_of
 
+TASK_ROWS = 500_000  # about so many rows of a large table in one task
+
 
 def active_at(df: DataFrame, start: Column, end: Column, moment: Column, state: str | None = None, running=4) -> DataFrame:
     """Rows whose [start, end] contains ``moment``, both ends included.
@@ -181,8 +183,21 @@ def first_non_null(df: DataFrame, sides: Sequence[tuple[DataFrame, str]], key: s
     return df.withColumn(name, F.coalesce(*values, F.lit(default))).drop(*values)
 
 
+def parts_for(df: DataFrame) -> int | None:
+    """How many partitions keep a task at about ``TASK_ROWS`` rows of ``df``; None where every core has fewer anyway."""
+    parts = -(-df.count() // TASK_ROWS)
+    spark = df.sparkSession
+    return max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))) if parts > spark.sparkContext.defaultParallelism else None
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """``df`` in ``parts`` partitions by its keys; as it is without a number."""
+    return df.repartition(parts, *keys) if parts else df
+
+
 def chained_lookup(
     df: DataFrame, links: Sequence[tuple[DataFrame, str, str, Sequence[str]]], dataset: str | None = None, failed: DataFrame | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Left-join a chain of lookups: each link is (table, table key, key expression, columns to bring).
 
@@ -190,15 +205,23 @@ def chained_lookup(
     ``dataset`` the tables carry that column too and it is part of each key,
     so rows of many datasets resolve in one pass. ``failed`` (dataset,
     query_error) are datasets whose tables could not be had: their rows find
-    nothing and get that ``query_error``, all others NULL.
+    nothing and get that ``query_error``, all others NULL. With ``parts``
+    tables that are not broadcast are joined in so many partitions; rows
+    without a key, which find nothing, are spread over all of them.
     """
     for i, (table, table_key, key_expr, bring) in enumerate(links):
-        k, d = f"__k{i}", f"__d{i}"
+        k, d, spread = f"__k{i}", f"__d{i}", f"__s{i}"
         picked = table.select(F.col(table_key).alias(k), *bring, *([F.col(dataset).alias(d)] if dataset else []))
         cond = F.expr(key_expr) == F.col(k)
         if dataset:
             cond = cond & (F.col(dataset) == F.col(d))
-        df = df.join(picked, cond, "left").drop(k, d)
+        if parts:
+            plain = [F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct", "variant"))]
+            keyless = F.when(F.expr(key_expr).isNull(), F.xxhash64(*plain))
+            picked = picked.withColumn(spread, F.when(F.col(k).isNull(), F.lit(1)).otherwise(0).cast("bigint"))
+            picked = picked.repartition(parts, k, *([d] if dataset else []), spread)
+            cond = cond & (F.coalesce(keyless, F.lit(0).cast("bigint")) == F.col(spread))
+        df = df.join(picked, cond, "left").drop(k, d, spread)
     if failed is None:
         return df
     if not dataset:

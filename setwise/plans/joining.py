@@ -246,17 +246,20 @@ LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON s_suppkey = l_suppkey
 LEFT JOIN nation ON n_nationkey = COALESCE(s_nationkey, l_linenumber) LEFT JOIN region ON r_regionkey = n_regionkey GROUP BY ALL""")
 def chained_lookup(t: Tables):
     """Names for a line's ids through a chain with gaps: a missing supplier falls back to another key."""
-    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    ids = "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"
+    parts = jn.parts_for(t.lineitem)
+    lines = jn.dealt(t.lineitem.select(*ids), parts, *ids).groupBy(*ids).agg(F.count(F.lit(1)).alias("n"))
     out = jn.chained_lookup(lines, [
         (t.part.where("p_size < 40"), "p_partkey", "l_partkey", ["p_name"]),
         (t.supplier.where("s_acctbal > 0"), "s_suppkey", "l_suppkey", ["s_name", "s_nationkey"]),
         (t.nation, "n_nationkey", "coalesce(s_nationkey, l_linenumber)", ["n_name", "n_regionkey"]),
         (t.region, "r_regionkey", "n_regionkey", ["r_name"]),
-    ])
+    ], parts=parts)
     named = out.select("l_orderkey", "l_linenumber", "n", *[
         F.coalesce(c, F.lit("?")).alias(name)
         for c, name in (("p_name", "part"), ("s_name", "supplier"), ("n_name", "nation"), ("r_name", "region"))])
-    return named.groupBy("l_orderkey", "l_linenumber", "part", "supplier", "nation", "region").agg(F.sum("n").alias("n"))
+    names = "l_orderkey", "l_linenumber", "part", "supplier", "nation", "region"
+    return jn.dealt(named, parts, *names).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def turn_edges(t: Tables) -> DataFrame:

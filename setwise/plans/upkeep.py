@@ -299,9 +299,10 @@ def chained_lookup_datasets(t: Tables):
     work = t.orders.select(F.lit("customer").alias("dataset"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k")).union(
         t.lineitem.select(F.lit("supplier"), F.expr("l_orderkey * 10 + l_linenumber"), "l_suppkey")).union(
         t.part.select(F.lit("part"), "p_partkey", "p_partkey"))
-    out = jn.chained_lookup(work, [(held.where("query_error IS NULL"), "key", "k", ["label"])], "dataset", held.where("query_error IS NOT NULL"))
-    return out.select("dataset", "id", F.coalesce("label", F.lit("unknown")).alias("label"), F.coalesce("query_error", F.lit("none")).alias("query_error")).groupBy(
-        "dataset", "id", "label", "query_error").agg(F.count(F.lit(1)).alias("n"))
+    parts = jn.parts_for(work)
+    out = jn.chained_lookup(work, [(held.where("query_error IS NULL"), "key", "k", ["label"])], "dataset", held.where("query_error IS NOT NULL"), parts)
+    named = out.select("dataset", "id", F.coalesce("label", F.lit("unknown")).alias("label"), F.coalesce("query_error", F.lit("none")).alias("query_error"))
+    return jn.dealt(named, parts, *named.columns).groupBy(*named.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("restore_chain", sql="""

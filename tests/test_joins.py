@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from setwise.operators import joins as jn
+from setwise.plans import joining  # noqa: F401  (it registers)
+from setwise.plans.registry import QUERIES
 
 T0 = datetime(2024, 1, 1)
 LOOPS = ("CartesianProduct", "BroadcastNestedLoopJoin")
@@ -101,3 +103,43 @@ def test_chained_lookup_by_dataset(make, rows):
     objects = make([("d1", 3, "t3"), ("d2", 4, "t4")], "db string, object_id int, name string")
     out = jn.chained_lookup(locks, [(hobts, "hobt_id", "hobt", ["hobt_obj"]), (objects, "object_id", "coalesce(obj, hobt_obj)", ["name"])], "db")
     assert rows(out.select("db", "name")) == [("d1", "t3"), ("d1", "t3"), ("d2", "t4")]
+
+
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_chained_lookup_deals_many_rows_to_many_tasks(spark, make, rows, monkeypatch, tmp_path, broadcast):
+    """Tasks hold about TASK_ROWS rows however many there are; repeated rows and rows without keys keep their place."""
+    lines = [(i // 4, i % 4, None if i % 5 == 0 else i % 90, None if i % 3 == 0 else i % 70) for i in range(3000)] + [(None, None, 1, 1)] * 3 + [(0, 1, 1, 1)] * 2
+    tables = {
+        "lineitem": (lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint"),
+        "part": ([(i, f"p{i % 40}", i % 50) for i in range(80)] + [(7, "p7", 1), (None, "none", 1)], "p_partkey bigint, p_name string, p_size int"),
+        "supplier": ([(i, f"s{i}", i % 4, i - 5.0) for i in range(60)] + [(None, "none", 1, 1.0)], "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double"),
+        "nation": ([(i, f"n{i}", i % 2) for i in range(3)] + [(None, "none", 1)], "n_nationkey int, n_name string, n_regionkey int"),
+        "region": ([(0, "r0"), (None, "none")], "r_regionkey int, r_name string"),
+    }
+    for name, (data, schema) in tables.items():
+        make(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    want = rows(QUERIES["chained_lookup"](spark, str(tmp_path)))
+    monkeypatch.setattr(jn, "TASK_ROWS", 100, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        out = QUERIES["chained_lookup"](spark, str(tmp_path))
+        assert rows(out) == want
+        sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(sizes) == len(want) and max(sizes) < 300
+
+
+def test_chained_lookup_spreads_rows_without_a_key(spark, make, rows):
+    df = make([(i, None if i % 2 else i % 10) for i in range(1000)], "id int, k int")
+    table = make([(i, f"v{i}") for i in range(0, 10, 4)] + [(None, "none")], "key int, v string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = jn.chained_lookup(df, [(table, "key", "k", ["v"])], parts=10)
+        assert rows(out) == rows(jn.chained_lookup(df, [(table, "key", "k", ["v"])]))
+        parts = [r[0] for r in out.select(F.spark_partition_id(), "k").collect() if r[1] is None]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert max(parts.count(p) for p in parts) < 150
