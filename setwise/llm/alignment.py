@@ -11,7 +11,9 @@ How many documents hold a pair of ids linked is a corpus-wide count. Documents
 are held in chunks of bounded text; a chunk lists each pair once, with the
 number of its documents. The lists are summed by pair, and every chunk gets the
 counts of its own pairs back, so a pair that all documents hold is one row a
-chunk, no table of all pairs is broadcast, and no key is hot.
+chunk, no table of all pairs is broadcast, and no key is hot. A chunk is stored
+in rows of bounded lists, and these in bounded row groups: what Spark writes,
+reads or deals out at a time depends neither on a chunk nor on a task's input.
 """
 
 from __future__ import annotations
@@ -39,8 +41,11 @@ from setwise.llm.store import scratch
 from setwise.llm.texts import parts_of
 
 PIECE = 16_384  # ends of both sides in a piece
-PART_BYTES = 2_000_000  # text that is encoded together
+PART_BYTES = 500_000  # text that is encoded together
 CHUNK_BYTES = 8_000_000  # text whose pairs are listed together
+ROW = 16_384  # pairs and links of a chunk in a row
+DOC_LINKS = 16  # links that a document's other columns count for in a row
+GROUP_BYTES = 8_000_000  # stored bytes of a row group, 100 rows at least
 LINKS = 4_000_000  # links spread out at a time
 
 
@@ -213,8 +218,8 @@ def _aligned(a_side: Side, b_side: Side, names: np.ndarray, texts: list[str | No
     return rows, links
 
 
-def _chunk(number: int, keys: list[pa.Array], rows: list[tuple], links: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    """One row: the chunk's texts, its distinct pairs with the number of texts that hold each, and every text's pairs by their place."""
+def _chunk(number: int, keys: list[pa.Array], rows: list[tuple], links: list[tuple], schema: pa.Schema, row: int) -> Iterator[pa.RecordBatch]:
+    """The chunk's texts, its distinct pairs with the number of texts that hold each, and every text's pairs by their place, in rows of bounded lists."""
     pairs, place = np.unique(np.concatenate([k for k, _ in links]), return_inverse=True)
     held = np.bincount(place, minlength=len(pairs))
     docs = pa.StructArray.from_arrays(
@@ -222,13 +227,16 @@ def _chunk(number: int, keys: list[pa.Array], rows: list[tuple], links: list[tup
          pa.array(np.cumsum([len(k) for k, _ in links]), pa.int64())],
         fields=list(schema.field("docs").type.value_type))
     lists = [docs, pa.array(pairs), pa.array(held, pa.int64()), pa.array(place, pa.int32()), pa.array(np.concatenate([t for _, t in links]), pa.int64())]
-    one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x).cast(f.type) for x, f in zip(lists, list(schema)[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *one], schema=schema)
+    most = [max(1, row // DOC_LINKS), *[row] * 4]
+    for part in range(max(-(-len(x) // n) for x, n in zip(lists, most, strict=True))):
+        cut = [x.slice(part * n, n) for x, n in zip(lists, most, strict=True)]
+        one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x).cast(f.type) for x, f in zip(cut, list(schema)[2:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([part], pa.int64()), *one], schema=schema)
 
 
 def align(
     docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text", groups: bool = False,
-    piece: int = PIECE, chunk_bytes: int = CHUNK_BYTES, most: int = LINKS,
+    piece: int = PIECE, chunk_bytes: int = CHUNK_BYTES, most: int = LINKS, row: int = ROW,
 ) -> DataFrame:
     """key, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 (or with ``groups`` the text it digests).
 
@@ -243,9 +251,9 @@ def align(
     counted = ("n_a", "n_b", "n_groups", "n_links")
     doc_fields = pa.struct([pa.field(key, to_arrow_type(key_type)), *[pa.field(c, pa.int64()) for c in counted], pa.field(said, pa.string()), pa.field("link_end", pa.int64())])
     of_docs = ", ".join([f"`{key}`: {key_type.simpleString()}", *[f"{c}: bigint" for c in counted], f"{said}: string", "link_end: bigint"])
-    chunk_ddl = f"chunk bigint, docs array<struct<{of_docs}>>, pairs array<bigint>, held array<bigint>, place array<int>, times array<bigint>"
+    chunk_ddl = f"chunk bigint, part bigint, docs array<struct<{of_docs}>>, pairs array<bigint>, held array<bigint>, place array<int>, times array<bigint>"
     lists = [pa.field(n, pa.list_(t)) for n, t in (("docs", doc_fields), ("pairs", pa.int64()), ("held", pa.int64()), ("place", pa.int32()), ("times", pa.int64()))]
-    chunk_schema = pa.schema([pa.field("chunk", pa.int64()), *lists])
+    chunk_schema = pa.schema([pa.field("chunk", pa.int64()), pa.field("part", pa.int64()), *lists])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_side, b_side = byte_level(a_path), pieces(b_path)
@@ -258,22 +266,24 @@ def align(
                 keys, rows, links = [*keys, part.column(0)], rows + more, links + linked
                 size += part.column(1).nbytes
                 if size >= chunk_bytes:
-                    yield _chunk(number, keys, rows, links, chunk_schema)
+                    yield from _chunk(number, keys, rows, links, chunk_schema, row)
                     number, size, keys, rows, links = number + 1, 0, [], [], []
         if rows:
-            yield _chunk(number, keys, rows, links, chunk_schema)
+            yield from _chunk(number, keys, rows, links, chunk_schema, row)
 
-    chunks = hold.table(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(encode, chunk_ddl), "chunks")
+    chunks = hold.table(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(encode, chunk_ddl), "chunks", **{"parquet.block.size": GROUP_BYTES})
     n_b_ids = len(pieces(b_path).tokens)
     counts = hold.table(chunks.select(F.explode(F.arrays_zip("pairs", "held")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(
         F.sum("p.held").alias("n")).withColumn("a", F.expr(f"pair div {n_b_ids}")), "counts")
     judged = counts.join(counts.groupBy("a").agg(F.max("n").alias("most")), "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-    own = chunks.select(F.col("chunk").alias("of"), F.posexplode("pairs").alias("at", "pair")).join(judged, "pair").select("of", "at", "n", "best")
+    own = chunks.select(F.col("chunk").alias("of"), "part", F.posexplode("pairs").alias("at", "pair")).withColumn("at", F.col("part") * row + F.col("at"))
+    own = own.select("of", "at", "pair").join(judged, "pair").select("of", "at", "n", "best")
 
     out = StructType([StructField(key, key_type), *[StructField(c, LongType()) for c in (*counted, "n_best", "count_sum")], StructField(said, StringType())])
     arrow_out = pa.schema([pa.field(key, to_arrow_type(key_type)), *[pa.field(c, pa.int64()) for c in (*counted, "n_best", "count_sum")], pa.field(said, pa.string())])
 
     def total(chunk: pa.Table, counts: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("part")
         one = lambda name: chunk.column(name).combine_chunks().flatten()
         place, times, held = one("place").to_numpy(), one("times").to_numpy(), one("docs")
         n, best = np.zeros(counts.num_rows, np.int64), np.zeros(counts.num_rows, np.int64)
@@ -284,4 +294,4 @@ def align(
         flat = [held.field(i) for i in range(6)]
         return pa.Table.from_arrays([*flat[:5], *(pa.array(np.diff(s)) for s in sums), flat[5]], schema=arrow_out)
 
-    return chunks.select("chunk", "docs", "place", "times").groupBy("chunk").cogroup(own.groupBy("of")).applyInArrow(total, out)
+    return chunks.select("chunk", "part", "docs", "place", "times").groupBy("chunk").cogroup(own.groupBy("of")).applyInArrow(total, out)

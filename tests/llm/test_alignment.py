@@ -7,11 +7,13 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from setwise.llm import alignment, queries
+from setwise.llm import alignment, queries, store
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id bigint, text string, n_a string, chunk int"
@@ -83,6 +85,37 @@ def test_against_force(spark, piece, chunk, most):
     assert ordered(alignment.align(docs, A, B, piece=piece, chunk_bytes=chunk, most=most).collect()) == ordered(aligned_by_force(rows))
 
 
+@pytest.mark.parametrize("row", [1, 7, 100])
+def test_rows_of_a_chunk(spark, row):
+    rows = [(i, t) for i, t in enumerate(ODD) if len(t or "") < 4000] + [(5, "plain words"), (None, "plain words")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    assert ordered(alignment.align(docs, A, B, row=row).collect()) == ordered(aligned_by_force(rows))
+
+
+def test_stored_rows_and_row_groups_are_bounded(spark, monkeypatch):
+    """One task's documents: no stored row holds a chunk's whole lists, no row group all rows."""
+    stored, table = {}, store.Scratch.table
+
+    def kept(self, df, name, **options):
+        stored[name] = table(self, df, name, **options)
+        return stored[name]
+
+    monkeypatch.setattr(store.Scratch, "table", kept)
+    rng = random.Random(7)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(30))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    want = ordered(aligned_by_force(rows))
+    assert ordered(alignment.align(docs, A, B).collect()) == want
+    sizes = stored["chunks"].select(*[F.max(F.size(c)) for c in ("docs", "pairs", "held", "place", "times")], F.sum(F.size("place")), F.count("*")).first()
+    assert sizes[5] > 2 * alignment.ROW and sizes[6] > 2
+    assert max(sizes[1:5]) <= alignment.ROW and sizes[0] <= alignment.ROW // alignment.DOC_LINKS
+    monkeypatch.setattr(alignment, "GROUP_BYTES", 10_000)
+    assert ordered(alignment.align(docs, A, B, row=64).collect()) == want
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in stored["chunks"].inputFiles()]
+    rows_in = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
+    assert sum(rows_in) > 400 and max(rows_in) <= 200
+
+
 def test_smallest_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert ordered(queries.QUERIES["op12_token_alignment"](spark, "/root/testdata/sf0.001").collect()) == ordered(aligned_by_force(rows))
