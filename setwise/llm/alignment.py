@@ -37,12 +37,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from setwise.llm.store import scratch
+from setwise.llm.store import scratch, small_batches
 from setwise.llm.texts import parts_of
 
 PIECE = 16_384  # ends of both sides in a piece
 PART_BYTES = 500_000  # text that is encoded together
 CHUNK_BYTES = 8_000_000  # text whose pairs are listed together
+DOC_BYTES = 500  # that a document counts for beside its text
 ROW = 16_384  # pairs and links of a chunk in a row
 DOC_LINKS = 16  # links that a document's other columns count for in a row
 GROUP_BYTES = 8_000_000  # stored bytes of a row group, 100 rows at least
@@ -264,14 +265,15 @@ def align(
                 texts = part.column(1).to_pylist()
                 more, linked = _aligned(a_side, b_side, names, texts, groups, piece, most)
                 keys, rows, links = [*keys, part.column(0)], rows + more, links + linked
-                size += part.column(1).nbytes
+                size += part.column(1).nbytes + DOC_BYTES * part.num_rows
                 if size >= chunk_bytes:
                     yield from _chunk(number, keys, rows, links, chunk_schema, row)
                     number, size, keys, rows, links = number + 1, 0, [], [], []
         if rows:
             yield from _chunk(number, keys, rows, links, chunk_schema, row)
 
-    chunks = hold.table(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(encode, chunk_ddl), "chunks", **{"parquet.block.size": GROUP_BYTES})
+    with small_batches(spark):
+        chunks = hold.table(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(encode, chunk_ddl), "chunks", **{"parquet.block.size": GROUP_BYTES})
     n_b_ids = len(pieces(b_path).tokens)
     counts = hold.table(chunks.select(F.explode(F.arrays_zip("pairs", "held")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(
         F.sum("p.held").alias("n")).withColumn("a", F.expr(f"pair div {n_b_ids}")), "counts")

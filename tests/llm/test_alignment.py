@@ -116,6 +116,25 @@ def test_stored_rows_and_row_groups_are_bounded(spark, monkeypatch):
     assert sum(rows_in) > 400 and max(rows_in) <= 200
 
 
+def test_chunks_of_short_texts_are_bounded(spark, monkeypatch):
+    stored, table = {}, store.Scratch.table
+
+    def kept(self, df, name, **options):
+        stored[name] = table(self, df, name, **options)
+        return stored[name]
+
+    monkeypatch.setattr(store.Scratch, "table", kept)
+    before = spark.conf.get(store.ARROW_ROWS[0], None)
+    docs = spark.range(40_000).coalesce(1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "ab").alias("text"))
+    found = alignment.align(docs, A, B).groupBy("n_best", "count_sum").count().collect()
+    links = sum(len(a) * len(b) for a, b in groups_by_force(["ab"])[0])
+    held = sum(i % 3 > 0 for i in range(40_000))
+    assert sorted(map(tuple, found)) == [(0, 0, 40_000 - held), (links, links * held, held)]
+    assert spark.conf.get(store.ARROW_ROWS[0], None) == before
+    sizes = [r.n for r in stored["chunks"].groupBy("chunk").agg(F.sum(F.size("docs")).alias("n")).collect()]
+    assert sum(sizes) == 40_000 and max(sizes) <= alignment.CHUNK_BYTES // alignment.DOC_BYTES + 500
+
+
 def test_smallest_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert ordered(queries.QUERIES["op12_token_alignment"](spark, "/root/testdata/sf0.001").collect()) == ordered(aligned_by_force(rows))
